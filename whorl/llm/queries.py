@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality, secrets, tokens
+from . import jaccard, quality, secrets, tokens
 from .common import table
 
 
@@ -27,5 +27,9 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.span_columns(secrets.secret_scan(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op5_byte_bpe, op7_quality_rules, op8_secret_scan)}
+def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_join(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op5_byte_bpe, op7_quality_rules, op8_secret_scan, op9_ngram_jaccard)}
 ORACLES: dict[str, str] = {}
