@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard, quality, secrets, tokens
+from . import jaccard, pii, quality, secrets, tokens
 from .common import table
 
 
@@ -31,5 +31,9 @@ def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_join(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op5_byte_bpe, op7_quality_rules, op8_secret_scan, op9_ngram_jaccard)}
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.span_columns(pii.pii_spans(table(spark, sf_dir, "documents")))
+
+
+QUERIES = {f.__name__: f for f in (op5_byte_bpe, op7_quality_rules, op8_secret_scan, op9_ngram_jaccard, op10_pii)}
 ORACLES: dict[str, str] = {}
