@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard, pii, quality, secrets, tokens
+from . import decontaminate, jaccard, pii, quality, secrets, tokens
 from .common import table
 
 
@@ -14,6 +14,10 @@ def _ranks() -> dict:
     return {"path": public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "pattern": public_tokenizers.PATTERN}
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = _ranks()
     return tokens.digests(tokens.decode(tokens.encode(table(spark, sf_dir, "documents"), **ranks), **ranks))
@@ -35,5 +39,5 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.span_columns(pii.pii_spans(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op5_byte_bpe, op7_quality_rules, op8_secret_scan, op9_ngram_jaccard, op10_pii)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op5_byte_bpe, op7_quality_rules, op8_secret_scan, op9_ngram_jaccard, op10_pii)}
 ORACLES: dict[str, str] = {}
