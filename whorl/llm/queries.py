@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard, pii, quality, secrets, tokens
+from . import decontaminate, html_text, jaccard, licenses, pii, quality, secrets, sharding, tokens, url_lists
 from .common import table
 
 
@@ -18,6 +19,42 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def list_changes(pages: DataFrame) -> DataFrame:
+    """Dated list changes made by rule from the hosts of ``pages``.
+
+    Each host is put on a list on a day given by its digest and taken off 90
+    days later; each parent domain is allowed for 60 days; every host's
+    ``/en`` prefix is blocked for good from a day on.
+    """
+    hosts = pages.select(url_lists.host_of(F.col("url")).alias("host")).where("host <> ''").distinct()
+    day = lambda key, off: F.pmod(F.conv(F.substring(F.md5(key.cast("binary")), 1, 4), 16, 10).cast("int"), F.lit(300)) + off
+    at = lambda n: F.timestamp_seconds(F.lit(1704067200) + n.cast("long") * 86400)
+    domains = hosts.select(F.regexp_extract("host", r"([^.]+\.[^.]+)$", 1).alias("domain")).where("domain <> ''").distinct()
+    host, domain, prefix = F.col("host"), F.col("domain"), F.concat("host", F.lit("/en"))
+    row = lambda df, name, action, kind, key, n, listed: df.select(F.lit(name).alias("list"), F.lit(action).alias("action"), F.lit(kind).alias("kind"), key.alias("key"), at(n).alias("at"), F.lit(listed).alias("listed"))
+    return row(hosts, "abuse", "block", "host", host, day(host, 0), True).union(row(hosts, "abuse", "block", "host", host, day(host, 90), False)).union(row(domains, "trusted", "allow", "domain", domain, day(domain, 0), True)).union(row(domains, "trusted", "allow", "domain", domain, day(domain, 60), False)).union(row(hosts, "paths", "block", "prefix", prefix, day(prefix, 0), True))
+
+
+def op2_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    fetched = F.timestamp_seconds(F.lit(1704067200) + F.pmod(F.col("page_id") * 7919, F.lit(365)) * 86400)
+    return url_lists.url_filter(pages.withColumn("fetched", fetched), list_changes(pages))
+
+
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    known = spark.createDataFrame(licenses.known_texts(), "license_id string, text string")
+    found = licenses.license_scan(table(spark, sf_dir, "documents"), known)
+    return found.withColumn("notices", F.array_join("notices", ","))
+
+
+def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_text(table(spark, sf_dir, "pages"))
+
+
+def op6_extendible_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(table(spark, sf_dir, "documents"))
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = _ranks()
     return tokens.digests(tokens.decode(tokens.encode(table(spark, sf_dir, "documents"), **ranks), **ranks))
@@ -39,5 +76,5 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.span_columns(pii.pii_spans(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op5_byte_bpe, op7_quality_rules, op8_secret_scan, op9_ngram_jaccard, op10_pii)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_url_lists, op3_license_scan, op4_main_text, op5_byte_bpe, op6_extendible_shards, op7_quality_rules, op8_secret_scan, op9_ngram_jaccard, op10_pii)}
+ORACLES: dict[str, str] = {"op6_extendible_shards": sharding.SQL}
