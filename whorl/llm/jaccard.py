@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from .common import OWN, Scratch
 from .shingles import mix, shingle_set
 
-GROUPS = 32
+GROUPS = 256
 #: Most classes of one cell that a task indexes at a time.
 CELL = 512
 _U = np.uint64
@@ -88,7 +88,7 @@ def directory_keys(s: np.ndarray, percent: int) -> np.ndarray:
 
 def sketch(docs: DataFrame, words: int, percent: int) -> DataFrame:
     """id, n, cls, other, vec, keys of every row; keys once per class and task."""
-    out = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("cls", pa.int64()), ("other", pa.int64()), ("vec", pa.list_(pa.int32())), ("keys", pa.list_(pa.int64()))])
+    out = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("cls", pa.int64()), ("other", pa.int64()), ("vec", pa.list_(pa.int16())), ("keys", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set = set()
@@ -107,11 +107,11 @@ def sketch(docs: DataFrame, words: int, percent: int) -> DataFrame:
                             seen.clear()
                         seen.add((a, b))
                         keys = directory_keys(s, percent).view(np.int64)
-                    rows.append((len(s), a, b, np.bincount((mix(s, 3) >> _U(40)).astype(np.int64) % GROUPS, minlength=GROUPS).astype(np.int32), keys))
+                    rows.append((len(s), a, b, np.bincount((mix(s, 3) >> _U(40)).astype(np.int64) % GROUPS, minlength=GROUPS).clip(0, 32767).astype(np.int16), keys))
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array([r[i] for r in rows], t.type) for i, t in enumerate(list(out)[1:]))], schema=out)
 
     source = docs.select(F.col("id").cast("long"), F.col("text").cast("binary"))
-    return source.mapInArrow(run, "id bigint, n bigint, cls bigint, other bigint, vec array<int>, keys array<bigint>")
+    return source.mapInArrow(run, "id bigint, n bigint, cls bigint, other bigint, vec array<smallint>, keys array<bigint>")
 
 
 class CountTree:
@@ -231,10 +231,10 @@ def _rest(live: DataFrame, labels: DataFrame, reps: DataFrame, percent: int, scr
             points, probes = cell[~cell["probe"]], cell[cell["probe"]]
             if not len(points) or not len(probes):
                 continue
-            vecs, sizes, ids, marks = np.stack(points["vec"].to_numpy()), points["n"].to_numpy(), points["cls"].to_numpy(), points["label"].to_numpy()
+            vecs, sizes, ids, marks = np.stack(points["vec"].to_numpy()).astype(np.int32), points["n"].to_numpy(), points["cls"].to_numpy(), points["label"].to_numpy()
             tree = CountTree(vecs)
             for vec, n, cls, mark in zip(probes["vec"], probes["n"], probes["cls"], probes["label"], strict=True):
-                hit = tree.reach(np.asarray(vec), -(-percent * (sizes + n) // (100 + percent)))
+                hit = tree.reach(np.asarray(vec, np.int32), -(-percent * (sizes + n) // (100 + percent)))
                 hit = hit[marks[hit] != mark]
                 found += [(min(cls, x), max(cls, x)) for x in ids[hit]]
         return pd.DataFrame(found, columns=["a", "b"]).drop_duplicates().astype("int64")
