@@ -215,29 +215,52 @@ def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, bytes]]]:
         yield block
 
 
+def _leaks(own: Benchmark, texts) -> Iterator[list[dict]]:
+    """Found items of each text (an Arrow array of bytes), searched in bounded parts."""
+    part, size = [], 0
+    for text in [*texts, None]:
+        if text is not None:
+            raw = text.as_py() or b""
+            part.append(word_hashes(raw))
+            size += len(raw)
+        if text is None or size >= TOGETHER:
+            for got in own.search(part):
+                yield sorted(({"item": int(own.ids[i]), "edits": e} for i, e in got.items()), key=lambda x: (x["item"], x["edits"]))
+            part, size = [], 0
+
+
+def _items(benchmark: DataFrame, item_col: str, item_text_col: str) -> DataFrame:
+    items = benchmark.where(F.col(item_col).isNotNull() & F.col(item_text_col).isNotNull()).select(F.col(item_col).cast("long"), F.col(item_text_col).cast("binary"))
+    return items.orderBy(*items.columns)
+
+
+def keep_clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", percent: int = PERCENT, places: int = PLACES, recall: float = RECALL) -> DataFrame:
+    """The rows of ``docs`` without any benchmark item, with their columns."""
+    at = docs.columns.index(text_col)
+    for block in _blocks(_items(benchmark, item_col, item_text_col)):
+        held = docs.sparkSession.sparkContext.broadcast(Benchmark(block, percent, places, recall))
+
+        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield batch.filter(pa.array([not x for x in _leaks(held.value, batch.column(at).cast(pa.binary()))], pa.bool_()))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", percent: int = PERCENT, places: int = PLACES, recall: float = RECALL) -> DataFrame:
     """One row per row of ``docs``: id, ``item_ids`` (sorted), ``edits`` of each, ``leaked``."""
     spark = docs.sparkSession
-    items = benchmark.where(F.col(item_col).isNotNull() & F.col(item_text_col).isNotNull()).select(F.col(item_col).cast("long"), F.col(item_text_col).cast("binary"))
     out = pa.schema([("id", pa.int64()), ("found", pa.list_(pa.struct([("item", pa.int64()), ("edits", pa.int32())])))])
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
     passes = []
-    for block in _blocks(items.orderBy(*items.columns)):
+    for block in _blocks(_items(benchmark, item_col, item_text_col)):
         held = spark.sparkContext.broadcast(Benchmark(block, percent, places, recall))
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             own = held.value
             for batch in batches:
-                rows, part, size = [], [], 0
-                for text in [*batch.column(1), None]:
-                    if text is not None:
-                        raw = text.as_py() or b""
-                        part.append(word_hashes(raw))
-                        size += len(raw)
-                    if text is None or size >= TOGETHER:
-                        for got in own.search(part):
-                            rows.append(sorted(({"item": int(own.ids[i]), "edits": e} for i, e in got.items()), key=lambda x: (x["item"], x["edits"])))
-                        part, size = [], 0
+                rows = list(_leaks(own, batch.column(1)))
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, out.field("found").type)], schema=out)
 
         passes.append(source.select("id", "text").mapInArrow(run, "id bigint, found array<struct<item:bigint,edits:int>>"))

@@ -75,17 +75,19 @@ def _repeat_words(df: DataFrame, words: str, out: str, window: int) -> DataFrame
     return df.withColumn(out, F.coalesce(F.aggregate(gaps, F.lit(0).cast("long"), lambda a, x: a + x), F.lit(0).cast("long"))).drop(places)
 
 
-def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", window: int = WINDOW) -> DataFrame:
+def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", window: int = WINDOW, carry: str | None = None) -> DataFrame:
     """One row per input row: id, stratum and the counts that the rules use.
 
-    Other input columns are dropped, so their names cannot clash.
+    Other input columns are dropped, so their names cannot clash; with
+    ``carry`` they stay in a struct of that name.
     """
     text, words, lines = f"{OWN}text", f"{OWN}words", f"{OWN}lines"
-    df = docs.select(F.col(id_col).alias(f"{OWN}id"), F.coalesce(F.col(stratum_col).cast("string"), F.lit("")).alias(f"{OWN}stratum"), F.coalesce(F.col(text_col), F.lit("")).alias(text))
+    extra = [F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias(carry)] if carry else []
+    df = docs.select(*extra, F.col(id_col).alias(f"{OWN}id"), F.coalesce(F.col(stratum_col).cast("string"), F.lit("")).alias(f"{OWN}stratum"), F.coalesce(F.col(text_col), F.lit("")).alias(text))
     df = df.withColumns({words: words_of(F.col(text)), lines: F.filter(F.split(text, "\n"), lambda x: x.rlike(f"[^{BLANKS}]"))})
     count = lambda pattern: F.regexp_count(text, F.lit(pattern)).cast("long")
     df = df.select(
-        f"{OWN}id", f"{OWN}stratum", words,
+        *([carry] if carry else []), f"{OWN}id", f"{OWN}stratum", words,
         F.size(words).cast("long").alias("n_words"),
         F.length(F.array_join(words, "")).cast("long").alias("word_chars"),
         count(SYMBOLS).alias("n_symbols"), count(MARKS).alias("n_marks"), count("[A-Z]").alias("n_capitals"),
@@ -134,6 +136,21 @@ def fit_cutoffs(measured: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     return best.groupBy(f"{OWN}stratum").pivot("rule", list(RULES)).agg(F.first("cutoff"))
 
 
+def _judged(measured: DataFrame, cutoffs: DataFrame) -> DataFrame:
+    small = cutoffs.limit(BROADCAST_STRATA + 1).count() <= BROADCAST_STRATA
+    named = cutoffs.select(F.col(f"{OWN}stratum"), *(F.col(r).alias(f"{OWN}{r}") for r in RULES))
+    df = measured.join(F.broadcast(named) if small else named, f"{OWN}stratum", "left")
+    failed = F.array_compact(F.array(*(F.when(_percent(r) >= F.col(f"{OWN}{r}"), F.lit(r)) for r in RULES)))
+    df = df.withColumns({"base_failed": (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")), "rules_failed": failed})
+    return df.withColumn("kept", ~F.col("base_failed") & (F.size("rules_failed") == 0))
+
+
+def _fitted(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, stratum_col: str, label_col: str, alpha: float, delta: float) -> tuple[DataFrame, DataFrame]:
+    scratch = Scratch(docs.sparkSession, "quality")
+    measured = scratch.save(measure(docs, id_col, text_col, stratum_col), "measured")
+    return measured, scratch.save(fit_cutoffs(measured, labels, id_col, label_col, alpha, delta), "cutoffs")
+
+
 def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", label_col: str = "quality", alpha: float = 0.02, delta: float = 0.05) -> DataFrame:
     """One row per row of ``docs``: id, counts, ``base_failed``, ``rules_failed``, ``kept``.
 
@@ -141,14 +158,17 @@ def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     windows. ``kept`` is false for those and for documents that reach a
     certified cutoff.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "quality")
-    measured = scratch.save(measure(docs, id_col, text_col, stratum_col), "measured")
-    cutoffs = scratch.save(fit_cutoffs(measured, labels, id_col, label_col, alpha, delta), "cutoffs")
-    small = cutoffs.limit(BROADCAST_STRATA + 1).count() <= BROADCAST_STRATA
-    named = cutoffs.select(F.col(f"{OWN}stratum"), *(F.col(r).alias(f"{OWN}{r}") for r in RULES))
-    df = measured.join(F.broadcast(named) if small else named, f"{OWN}stratum", "left")
-    failed = F.array_compact(F.array(*(F.when(_percent(r) >= F.col(f"{OWN}{r}"), F.lit(r)) for r in RULES)))
-    df = df.withColumns({"base_failed": (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")), "rules_failed": failed})
+    df = _judged(*_fitted(docs, labels, id_col, text_col, stratum_col, label_col, alpha, delta))
     counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-    return df.select(F.col(f"{OWN}id").alias(id_col), *counts, "base_failed", "rules_failed", (~F.col("base_failed") & (F.size("rules_failed") == 0)).alias("kept"))
+    return df.select(F.col(f"{OWN}id").alias(id_col), *counts, "base_failed", "rules_failed", "kept")
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", label_col: str = "quality", alpha: float = 0.02, delta: float = 0.05) -> DataFrame:
+    """The rows of ``docs`` that ``quality_rules`` keeps, with their columns.
+
+    Rows are measured a second time instead of joining verdicts to texts, so
+    no text is shuffled and repeated or null ids need no care.
+    """
+    _, cutoffs = _fitted(docs, labels, id_col, text_col, stratum_col, label_col, alpha, delta)
+    row = f"{OWN}row"
+    return _judged(measure(docs, id_col, text_col, stratum_col, carry=row), cutoffs).where("kept").select(*(F.col(row)[c].alias(c) for c in docs.columns))

@@ -9,7 +9,7 @@ from . import decontaminate, html_text, jaccard, licenses, pii, quality, secrets
 from .common import table
 
 
-def _ranks() -> dict:
+def ranks() -> dict:
     import public_tokenizers
 
     return {"path": public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "pattern": public_tokenizers.PATTERN}
@@ -56,7 +56,7 @@ def op6_extendible_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ranks = _ranks()
+    ranks = ranks()
     return tokens.digests(tokens.decode(tokens.encode(table(spark, sf_dir, "documents"), **ranks), **ranks))
 
 
