@@ -1,6 +1,75 @@
-STAGES = []
+"""The corpus pipeline: documents in, token digests of the cleaned corpus out.
+
+Each stage takes (spark, docs, sf_dir) and returns the rows that stay, with the
+columns of ``documents``; the last one returns the encoded result. Stages are
+written and read again between each other, so lost executors cost one stage.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from whorl.llm import decontaminate, jaccard, pii, quality, tokens
+from whorl.llm.common import Scratch, table
+from whorl.llm.queries import ranks
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that fail the base rules or a certified cutoff go."""
+    return quality.keep_good(docs, table(spark, sf_dir, "labels"))
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each group of near copies stays.
+
+    Five-word shingles and a similarity of 0.8. Of rows with one id, one stays;
+    rows without an id are not compared and stay.
+    """
+    named = docs.where(F.col("doc_id").isNotNull())
+    first = jaccard.jaccard_join(named, words=5, percent=80).where("doc_id = component_id").select("doc_id").distinct()
+    columns = docs.columns
+    one = Window.partitionBy("doc_id").orderBy(*(c for c in columns if c != "doc_id"))
+    kept = named.join(first, "doc_id", "left_semi").withColumn("__row", F.row_number().over(one)).where("__row = 1")
+    return kept.select(columns).union(docs.where(F.col("doc_id").isNull()).select(columns))
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a benchmark item in them go."""
+    return decontaminate.keep_clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data are replaced by their kind; ``n_chars`` follows the text."""
+    return pii.redact(docs).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Ids of every text, their number and digest, and the digest of the decoded bytes."""
+    encoded = tokens.encode(docs, **ranks())
+    return tokens.digests(tokens.decode(encoded, **ranks()))
+
+
+STAGES = [
+    ("quality rules", quality_stage),
+    ("n-gram Jaccard join", near_duplicate_stage),
+    ("benchmark decontamination", decontamination_stage),
+    ("PII", pii_stage),
+    ("byte-level BPE", token_stage),
+]
+
+#: The Jaccard components and the field's messages are iterative: no SQL.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages, applied to the whole documents table."""
+    scratch = Scratch(spark, "pipeline")
+    docs = table(spark, sf_dir, "documents")
+    for i, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i + 1 < len(STAGES):
+            docs = scratch.save(docs, str(i))
+            if i > 1:
+                scratch.drop(str(i - 2))
+    return docs
