@@ -171,4 +171,9 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
     """
     _, cutoffs = _fitted(docs, labels, id_col, text_col, stratum_col, label_col, alpha, delta)
     row = f"{OWN}row"
-    return _judged(measure(docs, id_col, text_col, stratum_col, carry=row), cutoffs).where("kept").select(*(F.col(row)[c].alias(c) for c in docs.columns))
+    measured = measure(docs, id_col, text_col, stratum_col, carry=row)
+    counts = [c for c in measured.columns if not c.startswith(OWN)]
+    # The generator keeps the filter on the verdict above the counts; pushed
+    # below, it would evaluate their nested expressions again for each use.
+    measured = measured.select(row, f"{OWN}stratum", F.inline(F.array(F.struct(*counts))))
+    return _judged(measured, cutoffs).where("kept").select(*(F.col(row)[c].alias(c) for c in docs.columns))
