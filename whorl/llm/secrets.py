@@ -28,7 +28,7 @@ CANDIDATE = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])(?=[0-9+/_-]*[A-Za-z])[A
 WINDOW = 20
 #: Lowest window entropy in bits, by character class.
 THRESHOLDS = {"hex": 3.0, "alnum": 3.4, "base64": 3.6}
-ALLOW_PATTERNS = (r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$", r"(?i)example|sample|placeholder|dummy|changeme", r"^[0-9]{4}-[0-9]{2}-[0-9]{2}", r"^(/?[A-Za-z]+[0-9]{0,2}){3,}$")
+ALLOW_PATTERNS = (r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$", r"(?i)example|sample|placeholder|dummy|changeme", r"^[0-9]{4}-[0-9]{2}-[0-9]{2}", r"^/?[a-z]+[0-9]?(/[a-z]+[0-9]?)+$")
 ALLOW_LITERALS = ("da39a3ee5e6b4b0d3255bfef95601890afd80709", "d41d8cd98f00b204e9800998ecf8427e")
 KINDS = ("assign", "access", "hex", "entropy")
 _BLOCK = 128
