@@ -1,0 +1,24 @@
+"""Queries with SQL are compared with DuckDB on the small tables."""
+
+import os
+
+import pytest
+
+from whorl.llm import queries
+
+SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_query_matches_sql(spark, name):
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("documents", "labels", "pages", "benchmark"):
+        con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
+    want = con.sql(queries.ORACLES[name]).df()
+    got = queries.QUERIES[name](spark, SF).toPandas()
+    columns = sorted(want.columns)
+    assert sorted(got.columns) == columns
+    rows = lambda df: sorted(map(repr, df[columns].astype(object).where(df[columns].notna(), None).itertuples(index=False, name=None)))
+    assert rows(got) == rows(want)

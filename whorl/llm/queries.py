@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import decontaminate, html_text, jaccard, licenses, pii, quality, secrets, sharding, tokens, url_lists
 from .common import table
+from .oracles import ORACLES  # noqa: F401
 
 
 def ranks() -> dict:
@@ -61,7 +62,8 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    found = quality.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.withColumn("rules_failed", F.array_join("rules_failed", ","))
 
 
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,4 +79,3 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_decontamination, op2_url_lists, op3_license_scan, op4_main_text, op5_byte_bpe, op6_extendible_shards, op7_quality_rules, op8_secret_scan, op9_ngram_jaccard, op10_pii)}
-ORACLES: dict[str, str] = {"op6_extendible_shards": sharding.SQL}
