@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import nist
+from ..functions import images, nist
 from ..operators import reports, transactions
 
 
@@ -87,7 +87,44 @@ def c_report_difference(spark, sf_dir):
     return reports.differences(wide, other, ["size", "score"])
 
 
-QUERIES = {f.__name__: f for f in (s2_encode, n1_records, n4_fields, n7_content_check, n8_subfields, n11_tags, n18_inspection, n20_binary_header, n25_preview, q_histogram, c_report_difference)}
+def n23_image_format(spark, sf_dir):
+    key = F.col("p_partkey")
+    marks = F.array(*(F.lit(m) for m in images.SIGNATURES.values()), F.lit("00"))
+    data = F.unhex(F.concat(F.get(marks, (key % (len(images.SIGNATURES) + 1)).cast("int")), F.lit("00FF" * 8)))
+    return _table(spark, sf_dir, "part").select("p_partkey", images.image_format(data).alias("format"))
+
+
+def n27_routing(spark, sf_dir):
+    ending = F.get(F.array(*map(F.lit, ("AN2", "nist", "wsq", "png", "Eft"))), (F.col("p_partkey") % 5).cast("int"))
+    return _table(spark, sf_dir, "part").groupBy(images.route(F.concat(F.lit("in/a."), ending)).alias("kind")).agg(F.count("*").alias("n"))
+
+
+def w4_ppi(spark, sf_dir):
+    key = F.col("p_partkey")
+    text = F.concat(F.when(key % 7 == 0, "other").otherwise("NIST_COM 9"), F.lit("\nPIX_WIDTH "), F.col("p_size").cast("string"), F.when(key % 3 == 0, "\nPPI -1").when(key % 3 == 1, F.concat(F.lit("\nPPI 9\nPPI "), (key % 1000).cast("string"))).otherwise("\nPPI x"))
+    return _table(spark, sf_dir, "part").select("p_partkey", images.ppi(text).cast("long").alias("ppi"), images.comment_value(text, "PIX_WIDTH").alias("width"))
+
+
+def _coefficients(spark, sf_dir):
+    parts = _table(spark, sf_dir, "part").where("p_partkey % 50 = 0").select("p_partkey", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(199).cast("long"))).alias("i"))
+    i = F.col("i") + F.col("p_partkey")
+    return parts.withColumn("c", F.when(i % 5 < 3, 0).otherwise(i * i % 401 - 200).cast("double"))
+
+
+def w23_quantize(spark, sf_dir):
+    return _coefficients(spark, sf_dir).select("p_partkey", "i", images.quantize(F.col("c"), F.lit(8.0), F.lit(10.0)).alias("q"))
+
+
+def w14_unquantize(spark, sf_dir):
+    q = images.quantize(F.col("c"), F.lit(8.0), F.lit(10.0))
+    return _coefficients(spark, sf_dir).select("p_partkey", "i", F.round(images.unquantize(q, F.lit(8.0), F.lit(10.0)), 6).alias("c"))
+
+
+def w16_pixels(spark, sf_dir):
+    return _coefficients(spark, sf_dir).select("p_partkey", "i", images.to_pixel(F.col("c"), F.lit(1.5), F.lit(128.0)).alias("v"))
+
+
+QUERIES = {f.__name__: f for f in (s2_encode, n1_records, n4_fields, n7_content_check, n8_subfields, n11_tags, n18_inspection, n20_binary_header, n25_preview, n23_image_format, n27_routing, w4_ppi, w23_quantize, w14_unquantize, w16_pixels, q_histogram, c_report_difference)}
 
 # Sizes by arithmetic on the base tables only.
 _SIZES = """
@@ -99,6 +136,9 @@ firsts as (select o_orderkey, coalesce(n, 0) as n, coalesce(bytes, 0) as bytes,
 files as (select o_orderkey, n, bytes, rest + case when rest + 2 < 100 then 2 else 3 end as size from firsts)"""
 _SIZES = _SIZES.replace("7 + 8 + 7 + length(v) + 1 as rest", "6 + (7 + 2) + (7 + length(v)) + 1 as rest")
 
+_C = "with x as (select p_partkey, unnest(range(0, 200)) as i from part where p_partkey % 50 = 0), c as (select p_partkey, i, cast(case when (i + p_partkey) % 5 < 3 then 0 else (i + p_partkey) * (i + p_partkey) % 401 - 200 end as double) as c from x)"
+_Q = "cast(case when abs(c) <= 5 then 0 when c > 0 then trunc((c - 5) / 8 + 1) else trunc((c + 5) / 8 - 1) end as bigint)"
+
 ORACLES = {
     "s2_encode": f"with {_SIZES} select o_orderkey as path, cast(size + bytes as bigint) as n_bytes from files",
     "n1_records": f"with {_SIZES} select 1 as type, count(*) as n_records, cast(sum(size) as bigint) as n_bytes, 0::bigint as n_errors from files union all select 2, count(*), cast(sum(size) as bigint), 0::bigint from second join orders on l_orderkey = o_orderkey",
@@ -111,4 +151,10 @@ ORACLES = {
     "n25_preview": "select o_orderkey, replace(o_orderpriority, '-', ' | ') as preview, false as binary_like from orders",
     "q_histogram": "select l_partkey as image_id, cast(case when l_discount < 0.01 then 0 when l_discount < 0.03 then 1 when l_discount < 0.05 then 2 when l_discount < 0.07 then 3 when l_discount < 0.09 then 4 else 5 end as bigint) as bin, count(*) as n from lineitem group by 1, 2",
     "c_report_difference": "with p as (select cast(p_partkey as varchar) as k, p_partkey, cast(p_size as varchar) as size, cast(p_partkey % 7 as varchar) as score from part) select k as filename, 'row' as \"column\", 'present' as expected, null as actual from p where p_partkey % 101 = 0 union all select k, 'score', score, 'x' from p where p_partkey % 17 = 0 and p_partkey % 101 <> 0",
+    "n23_image_format": "select p_partkey, [" + ", ".join(f"'{k}'" for k in images.SIGNATURES) + f"][1 + p_partkey % {len(images.SIGNATURES) + 1}] as format from part",
+    "n27_routing": "select case when p_partkey % 5 in (0, 1, 4) then 'transaction' else 'image' end as kind, count(*) as n from part group by 1",
+    "w4_ppi": "select p_partkey, cast(case when p_partkey % 7 = 0 then 500 when p_partkey % 3 = 0 then -1 when p_partkey % 3 = 1 then p_partkey % 1000 else 500 end as bigint) as ppi, case when p_partkey % 7 <> 0 then cast(p_size as varchar) end as width from part",
+    "w23_quantize": f"{_C} select p_partkey, i, {_Q} as q from c",
+    "w14_unquantize": f"{_C}, q as (select p_partkey, i, {_Q} as q from c) select p_partkey, i, round(case when q = 0 then 0.0 when q > 0 then 8 * (q - 0.44::double) + 5 else 8 * (q + 0.44::double) - 5 end::double, 6) as c from q",
+    "w16_pixels": f"{_C} select p_partkey, i, cast(least(greatest(floor(c * 1.5::double + 128.5), 0), 255) as bigint) as v from c",
 }
