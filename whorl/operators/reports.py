@@ -25,3 +25,31 @@ def differences(expected: DataFrame, actual: DataFrame, columns: list[str], name
     missing = F.when(F.col("a").isNull(), F.array(F.struct(F.lit("row").alias("column"), F.lit("present").alias("expected"), F.lit(None).cast("string").alias("actual")))).when(F.col("e").isNull(), F.array(F.struct(F.lit("row").alias("column"), F.lit(None).cast("string").alias("expected"), F.lit("present").alias("actual"))))
     cells = F.array_compact(F.array(*(F.when(~F.col(f"e.{c}").eqNullSafe(F.col(f"a.{c}")), F.struct(F.lit(c).alias("column"), F.col(f"e.{c}").alias("expected"), F.col(f"a.{c}").alias("actual"))) for c in columns)))
     return both.select("filename", F.inline(F.coalesce(missing, cells)))
+
+
+def long_measures(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """Wide measures as (image_id, name, value) rows; nulls stay."""
+    return df.select(F.col(key).alias("image_id"), F.inline(F.array(*(F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("value")) for c in columns))))
+
+
+def wide_measures(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Inverse of ``long_measures`` for a fixed list of names: one shuffle, no discovery pass."""
+    return df.groupBy("image_id").agg(*(F.max(F.when(F.col("name") == c, F.col("value"))).alias(c) for c in columns))
+
+
+def forest_votes(measures: DataFrame, trees: list[dict], key: str = "image_id") -> DataFrame:
+    """Share of trees that vote for class 1, and the rounded score.
+
+    A tree is a leaf ``{"class": c}`` or ``{"feature", "threshold", "left",
+    "right"}``; values up to the threshold go left. Each tree becomes one
+    nested conditional, so a row is scored without a join.
+    """
+
+    def vote(node: dict):
+        if "class" in node:
+            return F.lit(int(node["class"]))
+        return F.when(F.col(node["feature"]).cast("float") <= F.lit(node["threshold"]).cast("float"), vote(node["left"])).otherwise(vote(node["right"]))
+
+    votes = sum((vote(t) for t in trees[1:]), vote(trees[0]))
+    share = votes / F.lit(float(len(trees)))
+    return measures.select(key, votes.cast("long").alias("votes"), F.floor(share * 100 + 0.5).cast("long").alias("score"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import images, nist
@@ -124,7 +124,55 @@ def w16_pixels(spark, sf_dir):
     return _coefficients(spark, sf_dir).select("p_partkey", "i", images.to_pixel(F.col("c"), F.lit(1.5), F.lit(128.0)).alias("v"))
 
 
-QUERIES = {f.__name__: f for f in (s2_encode, n1_records, n4_fields, n7_content_check, n8_subfields, n11_tags, n18_inspection, n20_binary_header, n25_preview, n23_image_format, n27_routing, w4_ppi, w23_quantize, w14_unquantize, w16_pixels, q_histogram, c_report_difference)}
+def _trees() -> list[dict]:
+    leaf = lambda c: {"class": c}
+    split = lambda f, t, a, b: {"feature": f, "threshold": t, "left": a, "right": b}
+    return [split("size", 10.0 + 5 * i, split("price", 1000.0 + 50 * i, leaf(0), leaf(1)), split("price", 1200.0, leaf(1), leaf(0))) for i in range(5)]
+
+
+def _measures(spark, sf_dir):
+    return _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("image_id"), F.col("p_size").cast("double").alias("size"), F.floor("p_retailprice").cast("double").alias("price"))
+
+
+def q_forest_score(spark, sf_dir):
+    return reports.forest_votes(_measures(spark, sf_dir), _trees())
+
+
+def q_measures_long(spark, sf_dir):
+    return reports.long_measures(_measures(spark, sf_dir), "image_id", ["size", "price"])
+
+
+def q_measures_wide(spark, sf_dir):
+    return reports.wide_measures(q_measures_long(spark, sf_dir), ["size", "price"])
+
+
+def s15_json(spark, sf_dir):
+    row = F.struct(F.col("p_partkey").alias("id"), F.when(F.col("p_size") > 25, F.col("p_size")).alias("size"), F.col("p_brand").alias("brand"))
+    return _table(spark, sf_dir, "part").select("p_partkey", F.to_json(row, {"ignoreNullFields": "false"}).alias("json"))
+
+
+def s11_model_info(spark, sf_dir):
+    text = F.concat(F.lit("Name = m"), F.col("p_partkey").cast("string"), F.lit("\n\nbad line\nPath=a=b\nHash = "), F.col("p_brand"))
+    line = F.explode(F.split(text, "\n")).alias("line")
+    at = F.instr("line", "=")
+    return _table(spark, sf_dir, "part").select("p_partkey", line).where(at > 1).select("p_partkey", F.trim(F.substring("line", F.lit(1), at - 1)).alias("key"), F.trim(F.substring("line", at + 1, F.length("line"))).alias("value"))
+
+
+def w18_normalize(spark, sf_dir):
+    return _coefficients(spark, sf_dir).groupBy("p_partkey").agg(F.round(F.avg("c"), 6).alias("shift"), F.round(F.greatest(F.avg("c") - F.min("c"), F.max("c") - F.avg("c")) / 128, 6).alias("scale"))
+
+
+def w20_variance(spark, sf_dir):
+    return _coefficients(spark, sf_dir).groupBy("p_partkey").agg(F.round(F.var_samp("c"), 6).alias("variance"))
+
+
+def w25_zero_runs(spark, sf_dir):
+    """Lengths of the runs of zero coefficients, by gaps and islands."""
+    runs = _coefficients(spark, sf_dir).withColumn("island", F.col("i") - F.row_number().over(Window.partitionBy("p_partkey", F.col("c") == 0).orderBy("i"))).where("c = 0").groupBy("p_partkey", "island").agg(F.count("*").alias("run"))
+    return runs.groupBy("run").agg(F.count("*").alias("n"))
+
+
+QUERIES = {f.__name__: f for f in (s2_encode, n1_records, n4_fields, n7_content_check, n8_subfields, n11_tags, n18_inspection, n20_binary_header, n25_preview, n23_image_format, n27_routing, w4_ppi, w23_quantize, w14_unquantize, w16_pixels, w18_normalize, w20_variance, w25_zero_runs, s11_model_info, s15_json, q_forest_score, q_measures_long, q_measures_wide, q_histogram, c_report_difference)}
 
 # Sizes by arithmetic on the base tables only.
 _SIZES = """
@@ -157,4 +205,12 @@ ORACLES = {
     "w23_quantize": f"{_C} select p_partkey, i, {_Q} as q from c",
     "w14_unquantize": f"{_C}, q as (select p_partkey, i, {_Q} as q from c) select p_partkey, i, round(case when q = 0 then 0.0 when q > 0 then 8 * (q - 0.44::double) + 5 else 8 * (q + 0.44::double) - 5 end::double, 6) as c from q",
     "w16_pixels": f"{_C} select p_partkey, i, cast(least(greatest(floor(c * 1.5::double + 128.5), 0), 255) as bigint) as v from c",
+    "w18_normalize": f"{_C} select p_partkey, round(avg(c), 6) as shift, round(greatest(avg(c) - min(c), max(c) - avg(c)) / 128, 6) as scale from c group by 1",
+    "w20_variance": f"{_C} select p_partkey, round(var_samp(c), 6) as variance from c group by 1",
+    "w25_zero_runs": f"{_C}, z as (select *, i - row_number() over (partition by p_partkey, c = 0 order by i) as island from c), r as (select count(*) as run from z where c = 0 group by p_partkey, island) select run, count(*) as n from r group by 1",
+    "s11_model_info": "select p_partkey, 'Name' as key, 'm' || p_partkey as value from part union all select p_partkey, 'Path', 'a=b' from part union all select p_partkey, 'Hash', p_brand from part",
+    "s15_json": "select p_partkey, '{\"id\":' || p_partkey || ',\"size\":' || case when p_size > 25 then cast(p_size as varchar) else 'null' end || ',\"brand\":\"' || p_brand || '\"}' as json from part",
+    "q_forest_score": "with t as (select p_partkey, sum(case when p_size <= 10 + 5 * i then case when floor(p_retailprice) <= 1000 + 50 * i then 0 else 1 end else case when floor(p_retailprice) <= 1200 then 1 else 0 end end) as v from part, range(5) r(i) group by 1) select p_partkey as image_id, cast(v as bigint) as votes, cast(floor(v / 5.0 * 100 + 0.5) as bigint) as score from t",
+    "q_measures_long": "select p_partkey as image_id, 'size' as name, cast(p_size as double) as value from part union all select p_partkey, 'price', cast(floor(p_retailprice) as double) from part",
+    "q_measures_wide": "select p_partkey as image_id, cast(p_size as double) as size, cast(floor(p_retailprice) as double) as price from part",
 }
