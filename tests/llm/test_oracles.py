@@ -20,5 +20,6 @@ def test_query_matches_sql(spark, name):
     got = queries.QUERIES[name](spark, SF).toPandas()
     columns = sorted(want.columns)
     assert sorted(got.columns) == columns
-    rows = lambda df: sorted(map(repr, df[columns].astype(object).where(df[columns].notna(), None).itertuples(index=False, name=None)))
+    plain = lambda v: None if v is None or v != v else int(v) if hasattr(v, "is_integer") and v.is_integer() else v
+    rows = lambda df: sorted(repr([plain(v) for v in r]) for r in df[columns].astype(object).where(df[columns].notna(), None).itertuples(index=False, name=None))
     assert rows(got) == rows(want)

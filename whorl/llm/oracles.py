@@ -54,4 +54,22 @@ v as (select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_fail
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, rules_failed, not base_failed and rules_failed = '' as kept from v"""
 
 
-ORACLES = {"op3_license_scan": license_sql(), "op6_extendible_shards": sharding.SQL, "op7_quality_rules": quality_sql()}
+def url_sql() -> str:
+    scheme = "^[A-Za-z][A-Za-z0-9+.-]*://"
+    day = lambda key: f"cast('0x' || substr(md5({key}), 1, 4) as integer) % 300"
+    return f"""
+with p as (select row_number() over () as r, page_id, url, (page_id * 7919) % 365 as fetched, lower(regexp_extract(coalesce(url, ''), '{scheme}(?:[^/?#@]*@)?([^/?#:]+)', 1)) as host, list_filter(string_split(regexp_extract(coalesce(url, ''), '{scheme}[^/?#]*([^?#]*)', 1), '/'), lambda x: x <> '') as parts from pages),
+hosts as (select distinct host from p where host <> ''),
+domains as (select distinct regexp_extract(host, '([^.]+\\.[^.]+)$', 1) as domain from hosts),
+entries as (select 'abuse' as list, 'block' as action, 'host' as kind, host as key, {day("host")} as valid_from, {day("host")} + 90 as valid_to from hosts
+ union all select 'trusted', 'allow', 'domain', domain, {day("domain")}, {day("domain")} + 60 from domains where domain <> ''
+ union all select 'paths', 'block', 'prefix', host || '/en', {day("host || '/en'")}, null from hosts),
+asked as (select r, fetched, 'host' as kind, host as key from p where host <> ''
+ union all select r, fetched, 'domain', array_to_string(string_split(host, '.')[i:], '.') from p, range(1, 40) t(i) where host <> '' and i <= greatest(len(string_split(host, '.')) - 1, 1)
+ union all select r, fetched, 'prefix', host || '/' || array_to_string(parts[:i], '/') from p, range(1, 9) t(i) where host <> '' and i <= len(parts)),
+hits as (select r, list, action, kind, key, valid_from from asked join entries using (kind, key) where valid_from <= fetched and (valid_to is null or valid_to > fetched)
+ qualify row_number() over (partition by r order by length(key) desc, action, case kind when 'prefix' then 2 when 'host' then 1 else 0 end desc, list desc) = 1)
+select page_id, url, cast(fetched as bigint) as fetched, coalesce(action, 'none') as verdict, list, kind, key, cast(valid_from as bigint) as valid_from from p left join hits using (r)"""
+
+
+ORACLES = {"op2_url_lists": url_sql(), "op3_license_scan": license_sql(), "op6_extendible_shards": sharding.SQL, "op7_quality_rules": quality_sql()}

@@ -39,7 +39,9 @@ def list_changes(pages: DataFrame) -> DataFrame:
 def op2_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     fetched = F.timestamp_seconds(F.lit(1704067200) + F.pmod(F.col("page_id") * 7919, F.lit(365)) * 86400)
-    return url_lists.url_filter(pages.withColumn("fetched", fetched), list_changes(pages))
+    found = url_lists.url_filter(pages.withColumn("fetched", fetched), list_changes(pages))
+    day = lambda c: F.floor((F.unix_seconds(c) - 1704067200) / 86400)
+    return found.withColumns({"fetched": day("fetched"), "valid_from": day("valid_from")})  # days of 2024
 
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
