@@ -9,7 +9,9 @@ of word shingles. The join runs in these steps, all of them lossless:
    ``(100 - percent) * (|A| + |B|) / (100 + percent)`` shingles unshared, so if
    shingles are dealt into more groups than that, some group has the same
    content in both. The directory therefore is keyed by the content of single
-   groups, at a level that bounds the size of both partners.
+   groups, at a level that bounds the size of both partners. There are a
+   quarter more groups than needed, so linked sets meet in many cells; a class
+   that meets others in fewer cells than that has no link and goes.
 2. Hubs. In each directory cell every class is paired with the cell's first
    class only; pairs pass the count-vector bound (overlap is at most the sum
    of coordinate minima) and are then verified on the texts.
@@ -63,32 +65,37 @@ def unshared(percent: int, total: int) -> int:
     return (100 - percent) * total // (100 + percent)
 
 
-def directory_keys(s: np.ndarray, percent: int) -> np.ndarray:
-    """Keys of the cells that a set belongs to."""
+def directory_keys(s: np.ndarray, percent: int) -> tuple[np.ndarray, list[int]]:
+    """Keys of the cells that a set belongs to, and how many cells it shares with a partner.
+
+    The low bit of a key is that of its level; the two counts are by that bit.
+    With m groups and at most d of them differing, linked sets agree in m - d
+    groups, of which no more are empty than the set has empty groups.
+    """
     edges = levels(percent)
     own = int(np.searchsorted(edges, len(s), side="right")) - 1
-    keys = []
+    keys, least, spread, value = [], [1, 1], mix(s, 7), mix(s, 11)
     for level in (own, own + 1):
         differing = unshared(percent, 2 * (int(edges[level + 1]) - 1))
         if not differing:  # only equal sets link at this size
             continue
-        spare = 1 + differing // 400
+        spare = 1 + differing // 4
         m = differing + 1 + spare
-        group = (mix(s, 7) % _U(m)).astype(np.int64)
-        order = np.argsort(group, kind="stable")
-        sizes = np.bincount(group, minlength=m)
-        sums = np.concatenate([np.zeros(1, _U), np.cumsum(mix(s, 11)[order])])
-        ends = np.cumsum(sizes)
-        content = sums[ends] - sums[ends - sizes]
+        group = (spread % _U(m)).astype(np.int64)
+        sizes, content = np.bincount(group, minlength=m), np.zeros(m, _U)
+        np.add.at(content, group, value)
         key = mix(content + np.arange(m).astype(_U) * _U(0x632BE59BD9B4E019), 100 + level)
+        key = key & ~_U(1) | _U(level & 1)
+        empty = int((sizes == 0).sum())
+        least[level & 1] = max(1, m - differing - empty)
         # Up to ``spare`` groups empty in both sets cannot use up the groups that must agree.
-        keys.append(key if (sizes == 0).sum() > spare else key[sizes > 0])
-    return np.concatenate(keys) if keys else np.empty(0, _U)
+        keys.append(key if empty > spare else key[sizes > 0])
+    return np.concatenate(keys) if keys else np.empty(0, _U), least
 
 
 def sketch(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """id, n, cls, other, vec, keys of every row; keys once per class and task."""
-    out = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("cls", pa.int64()), ("other", pa.int64()), ("vec", pa.list_(pa.int16())), ("keys", pa.list_(pa.int64()))])
+    """id, n, cls, other, vec, keys, least of every row; keys once per class and task."""
+    out = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("cls", pa.int64()), ("other", pa.int64()), ("vec", pa.list_(pa.int16())), ("keys", pa.list_(pa.int64())), ("least", pa.list_(pa.int32()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set = set()
@@ -99,19 +106,20 @@ def sketch(docs: DataFrame, words: int, percent: int) -> DataFrame:
                     s = shingle_set(text.as_py() or b"", words)
                     a, b = (int(mix(s, salt).sum(dtype=_U).astype(np.int64)) for salt in (1, 2))
                     if not len(s):
-                        rows.append((0, None, None, None, None))
+                        rows.append((0, None, None, None, None, None))
                         continue
-                    keys = None
+                    keys = least = None
                     if (a, b) not in seen:
                         if len(seen) > 1_000_000:  # bounded; a repeat only repeats keys
                             seen.clear()
                         seen.add((a, b))
-                        keys = directory_keys(s, percent).view(np.int64)
-                    rows.append((len(s), a, b, np.bincount((mix(s, 3) >> _U(40)).astype(np.int64) % GROUPS, minlength=GROUPS).clip(0, 32767).astype(np.int16), keys))
+                        keys, least = directory_keys(s, percent)
+                        keys = keys.view(np.int64)
+                    rows.append((len(s), a, b, np.bincount((mix(s, 3) >> _U(40)).astype(np.int64) % GROUPS, minlength=GROUPS).clip(0, 32767).astype(np.int16), keys, least))
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array([r[i] for r in rows], t.type) for i, t in enumerate(list(out)[1:]))], schema=out)
 
     source = docs.select(F.col("id").cast("long"), F.col("text").cast("binary"))
-    return source.mapInArrow(run, "id bigint, n bigint, cls bigint, other bigint, vec array<smallint>, keys array<bigint>")
+    return source.mapInArrow(run, "id bigint, n bigint, cls bigint, other bigint, vec array<smallint>, keys array<bigint>, least array<int>")
 
 
 class CountTree:
@@ -205,11 +213,37 @@ def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
             return labels
 
 
+def _shared(sketched: DataFrame, scratch: Scratch) -> DataFrame:
+    """key, cls, need: every cell of a class that another class is in too, once."""
+    cell = Window.partitionBy("key").orderBy("cls")
+    need = F.when(F.col("key").bitwiseAND(F.lit(1)) == 0, F.col("least")[0]).otherwise(F.col("least")[1])
+    rows = sketched.where("size(keys) > 0").select("cls", "least", F.explode("keys").alias("key")).select("key", "cls", need.alias("need"))
+    last = F.last("cls").over(cell.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    first = F.first("cls").over(cell.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    seen = rows.select("key", "cls", "need", first.alias("first"), last.alias("last"), F.lag("cls").over(cell).alias("before"))
+    return scratch.save(seen.where("first <> last and (before is null or before <> cls)").select("key", "cls", "need"), "shared")
+
+
+def _pruned(shared: DataFrame) -> DataFrame:
+    """key, cls, hub: shared cells of the classes that share as many as a link needs.
+
+    A class (at a level) with fewer shared cells than a link has goes.
+    """
+    level = F.col("key").bitwiseAND(F.lit(1))
+    rich = shared.groupBy("cls", level.alias("level")).agg(F.count("*").alias("n"), F.first("need").alias("need")).where("n >= need").select("cls", "level")
+    kept = shared.withColumn("level", level).join(rich, ["cls", "level"], "left_semi")
+    cell = Window.partitionBy("key").orderBy("cls").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return kept.select("key", "cls", F.first("cls").over(cell).alias("hub")).where("hub <> cls")
+
+
 def _rest(live: DataFrame, labels: DataFrame, reps: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """Candidate pairs of different components within cells, by R-tree probes."""
     label = lambda c, name: labels.select(F.col("cls").alias(c), F.col("label").alias(name))
     tagged = live.join(label("cls", "label"), "cls", "left").join(label("hub", "hub_label"), "hub", "left").select("key", "hub", "cls", F.coalesce("label", "cls").alias("label"), F.coalesce("hub_label", "hub").alias("hub_label"))
-    mixed = tagged.groupBy("key").agg(F.count_if(F.col("label") != F.col("hub_label")).alias("n_rest"), (F.count("*") + 1).alias("n_all")).where("n_rest > 0 and n_all > 2")
+    # Texts that share a passage share many cells; cells with the same members are searched once.
+    same = [F.bit_xor(F.xxhash64("cls", F.lit(salt))).alias(f"same{salt}") for salt in (1, 2)]
+    mixed = tagged.groupBy("key").agg(F.first("hub").alias("hub"), F.count_if(F.col("label") != F.col("hub_label")).alias("n_rest"), (F.count("*") + 1).alias("n_all"), *same).where("n_rest > 0 and n_all > 2")
+    mixed = mixed.groupBy("hub", "n_all", "same1", "same2").agg(F.min("key").alias("key"), F.first("n_rest").alias("n_rest")).select("key", "n_rest", "n_all")
     mixed = scratch.save(mixed, "mixed")
     inside = tagged.join(mixed, "key")
     member = inside.select("key", "cls", "label", (F.col("label") != F.col("hub_label")).alias("rest"), "n_rest", "n_all").union(inside.select("key", "hub", "hub_label", F.lit(False), "n_rest", "n_all").distinct())
@@ -227,16 +261,21 @@ def _rest(live: DataFrame, labels: DataFrame, reps: DataFrame, percent: int, scr
         import pandas as pd
 
         found = []
-        for _, cell in rows.groupby(["key", "i", "j"], sort=False):
-            points, probes = cell[~cell["probe"]], cell[cell["probe"]]
-            if not len(points) or not len(probes):
+        rows = rows.sort_values(["key", "i", "j", "probe"], ignore_index=True)
+        vecs = np.stack(rows["vec"].to_numpy())
+        ids, marks, sizes, probe = (rows[c].to_numpy() for c in ("cls", "label", "n", "probe"))
+        where = rows[["key", "i", "j"]].to_numpy()
+        starts = np.flatnonzero(np.r_[True, (where[1:] != where[:-1]).any(1)])
+        for start, end in zip(starts, np.r_[starts[1:], len(rows)], strict=True):
+            middle = start + int(np.argmax(probe[start:end]))
+            if middle == start:  # no probes, or no points
                 continue
-            vecs, sizes, ids, marks = np.stack(points["vec"].to_numpy()).astype(np.int32), points["n"].to_numpy(), points["cls"].to_numpy(), points["label"].to_numpy()
-            tree = CountTree(vecs)
-            for vec, n, cls, mark in zip(probes["vec"], probes["n"], probes["cls"], probes["label"], strict=True):
-                hit = tree.reach(np.asarray(vec, np.int32), -(-percent * (sizes + n) // (100 + percent)))
-                hit = hit[marks[hit] != mark]
-                found += [(min(cls, x), max(cls, x)) for x in ids[hit]]
+            points = slice(start, middle)
+            tree = CountTree(vecs[points].astype(np.int32))
+            for at in range(middle, end):
+                hit = tree.reach(vecs[at].astype(np.int32), -(-percent * (sizes[points] + sizes[at]) // (100 + percent)))
+                hit = hit[marks[points][hit] != marks[at]]
+                found += [(min(ids[at], x), max(ids[at], x)) for x in ids[points][hit]]
         return pd.DataFrame(found, columns=["a", "b"]).drop_duplicates().astype("int64")
 
     return cells.groupBy("task").applyInPandas(search, "a bigint, b bigint").distinct()
@@ -248,9 +287,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     sketched = scratch.save(sketch(docs, words, percent), "sketch")
     reps = scratch.save(sketched.where("n > 0").groupBy("cls").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("vec").alias("vec")), "reps")
-    cell = Window.partitionBy("key").orderBy("cls").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    live = sketched.where("size(keys) > 0").select("cls", F.explode("keys").alias("key")).withColumn("hub", F.first("cls").over(cell)).where("hub <> cls")
-    live = scratch.save(live, "live")
+    live = scratch.save(_pruned(_shared(sketched, scratch)), "live")
     tried = live.select(F.col("hub").alias("a"), F.col("cls").alias("b")).distinct()
     links = _verify(tried, reps, docs, words, percent, scratch, "hub")
     labels = components(links, scratch, "first")

@@ -55,5 +55,5 @@ def shingle_set(raw: bytes, words: int) -> np.ndarray:
     k = min(words, len(w))
     total = np.zeros(len(w) - k + 1, _U)
     for i in range(k):
-        total = mix(total * _U(3) + w[i : len(w) - k + 1 + i])
+        total += w[i : len(w) - k + 1 + i] * _U((0x9FB21C651E98DF25 * (2 * i + 1)) & (2**64 - 1))
     return np.unique(mix(total, k))
