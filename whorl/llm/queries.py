@@ -59,8 +59,8 @@ def op6_extendible_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ranks = ranks()
-    return tokens.digests(tokens.decode(tokens.encode(table(spark, sf_dir, "documents"), **ranks), **ranks))
+    own = ranks()
+    return tokens.digests(tokens.decode(tokens.encode(table(spark, sf_dir, "documents"), **own), **own))
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
