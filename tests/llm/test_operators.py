@@ -131,6 +131,20 @@ def test_decontamination_finds_edited_items_and_no_others(spark):
     assert not decontaminate.Benchmark([(1, b"a b c")], 20, 3, 0.99).search([word_hashes(b"")])[0]
 
 
+def test_decontamination_by_blocks_stays_row_by_row(spark, monkeypatch):
+    items = [(i, " ".join(f"i{i}w{j}" for j in range(14))) for i in range(5)]
+    text = lambda *held: " ".join(["some other words", *(items[i][1] for i in held), "and an end"])
+    rows = [(1, (0,)), (1, ()), (1, (3,)), (None, (1,)), (None, ()), (2, (0, 4)), (3, ())]
+    docs = spark.createDataFrame([(d, text(*held)) for d, held in rows], "doc_id bigint, text string")
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    for block in (20_000, 2):
+        monkeypatch.setattr(decontaminate, "BLOCK_ITEMS", block)
+        got = [(r["doc_id"], tuple(r["item_ids"]), tuple(r["edits"]), r["leaked"]) for r in decontaminate.decontaminate(docs, bench).collect()]
+        assert sorted(got, key=repr) == sorted(((d, held, (0,) * len(held), bool(held)) for d, held in rows), key=repr), block
+        kept = [r["doc_id"] for r in decontaminate.keep_clean(docs, bench).collect()]
+        assert sorted(kept, key=repr) == sorted((d for d, held in rows if not held), key=repr)
+
+
 def test_main_text():
     page = "<html><head><title>t</title></head><body><nav><a href='/'>home</a></nav><div class='cookie-notice'>We, use, cookies</div><div id=main><h1>Head &amp; line</h1><p>First, of   all<br>second <b>bold</b> line.<p>More, text, here and there, to be scored.</div><div class=sidebar><p>side, bar</p></div><div id='comments'><p>nice, post, indeed</p></div><form>q</form><footer>foot</footer></body></html>"
     assert html_text.extract(page) == "Head & line First, of all second bold line. More, text, here and there, to be scored."

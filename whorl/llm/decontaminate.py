@@ -250,29 +250,18 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", it
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", percent: int = PERCENT, places: int = PLACES, recall: float = RECALL) -> DataFrame:
     """One row per row of ``docs``: id, ``item_ids`` (sorted), ``edits`` of each, ``leaked``."""
-    spark = docs.sparkSession
-    out = pa.schema([("id", pa.int64()), ("found", pa.list_(pa.struct([("item", pa.int64()), ("edits", pa.int32())])))])
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
-    passes = []
+    kind = "array<struct<item:bigint,edits:int>>"
+    out = pa.schema([("id", pa.int64()), ("text", pa.binary()), ("found", pa.list_(pa.struct([("item", pa.int64()), ("edits", pa.int32())])))])
+    found = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"), F.array().cast(kind).alias("found"))
     for block in _blocks(_items(benchmark, item_col, item_text_col)):
-        held = spark.sparkContext.broadcast(Benchmark(block, percent, places, recall))
+        held = docs.sparkSession.sparkContext.broadcast(Benchmark(block, percent, places, recall))
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            own = held.value
             for batch in batches:
-                rows = list(_leaks(own, batch.column(1)))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, out.field("found").type)], schema=out)
-
-        passes.append(source.select("id", "text").mapInArrow(run, "id bigint, found array<struct<item:bigint,edits:int>>"))
-    if not passes:
-        found = source.select("id", F.array().cast("array<struct<item:bigint,edits:int>>").alias("found"))
-    elif len(passes) == 1:
-        found = passes[0]
-    else:  # every pass has each row once; equal ids share what any of their rows has
-        every = passes[0].select("id", F.explode_outer("found").alias("x"))
-        for more in passes[1:]:
-            every = every.union(more.select("id", F.explode_outer("found").alias("x")))
-        every = every.groupBy("id").agg(F.array_sort(F.collect_set("x")).alias("found"))
-        found = source.select("id").join(every, source["id"].eqNullSafe(every["id"])).select(source["id"], "found")
+                # A pass adds its block's items to the row; ids play no part.
+                rows = [sorted(old + new, key=lambda x: (x["item"], x["edits"])) for old, new in zip(batch.column(2).to_pylist(), _leaks(held.value, batch.column(1)), strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, out.field("found").type)], schema=out)
+
+        found = found.mapInArrow(run, f"id bigint, text binary, found {kind}")
     return found.select(F.col("id").alias(id_col), F.transform("found", lambda x: x["item"]).alias("item_ids"), F.transform("found", lambda x: x["edits"]).alias("edits"), (F.size("found") > 0).alias("leaked"))
 
