@@ -45,3 +45,11 @@ def test_tree_finds_every_point_within_the_bound():
 
 def test_empty_table(spark):
     assert jaccard.jaccard_join(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
+
+
+def test_counts_beyond_16_bits_keep_links(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "GROUPS", 1)  # one group holds what 256 hold in texts 256 times as long
+    w = [f"w{i}" for i in range(80_000)]
+    docs = [(1, " ".join(w)), (2, " ".join([*w, *(f"x{i}" for i in range(200))])), (3, " ".join(w[::-1]))]
+    got = {r[0]: r[2] for r in jaccard.jaccard_join(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()}
+    assert got == {1: 1, 2: 1, 3: 3}

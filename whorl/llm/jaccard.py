@@ -95,7 +95,7 @@ def directory_keys(s: np.ndarray, percent: int) -> tuple[np.ndarray, list[int]]:
 
 def sketch(docs: DataFrame, words: int, percent: int) -> DataFrame:
     """id, n, cls, other, vec, keys, least of every row; keys once per class and task."""
-    out = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("cls", pa.int64()), ("other", pa.int64()), ("vec", pa.list_(pa.int16())), ("keys", pa.list_(pa.int64())), ("least", pa.list_(pa.int32()))])
+    out = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("cls", pa.int64()), ("other", pa.int64()), ("vec", pa.list_(pa.int32())), ("keys", pa.list_(pa.int64())), ("least", pa.list_(pa.int32()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set = set()
@@ -115,11 +115,11 @@ def sketch(docs: DataFrame, words: int, percent: int) -> DataFrame:
                         seen.add((a, b))
                         keys, least = directory_keys(s, percent)
                         keys = keys.view(np.int64)
-                    rows.append((len(s), a, b, np.bincount((mix(s, 3) >> _U(40)).astype(np.int64) % GROUPS, minlength=GROUPS).clip(0, 32767).astype(np.int16), keys, least))
+                    rows.append((len(s), a, b, np.bincount((mix(s, 3) >> _U(40)).astype(np.int64) % GROUPS, minlength=GROUPS).astype(np.int32), keys, least))
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array([r[i] for r in rows], t.type) for i, t in enumerate(list(out)[1:]))], schema=out)
 
     source = docs.select(F.col("id").cast("long"), F.col("text").cast("binary"))
-    return source.mapInArrow(run, "id bigint, n bigint, cls bigint, other bigint, vec array<smallint>, keys array<bigint>, least array<int>")
+    return source.mapInArrow(run, "id bigint, n bigint, cls bigint, other bigint, vec array<int>, keys array<bigint>, least array<int>")
 
 
 class CountTree:
