@@ -1,12 +1,16 @@
 """Transactions as DataFrames: encode records, decode files, inspect, check.
 
-A file is one row with a ``content`` binary. Parsing is a chain of generators
-over native expressions; a bad file gives an error row, never a failed job.
+A file is one row with a ``content`` binary. Records are framed by their stated
+lengths in an Arrow kernel, the rest are native expressions; a bad file gives
+an error row, never a failed job.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import re
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import nist
@@ -25,23 +29,80 @@ def encode_record(fields: Column) -> Column:
     return F.concat(head, length.cast("string"), body, F.lit(nist.FS))
 
 
-def decode_files(files: DataFrame, path_col: str = "path", content_col: str = "content") -> DataFrame:
-    """One row per fielded record of text transactions: path, record_index, type, offset, size, fields.
+_TAG = re.compile(rb"([0-9]{1,9})\.([0-9]{3}):")
+_FIELD = re.compile(rb"\x1d(?=[0-9]+\.[0-9]{3}:)")
+_INT = re.compile(rb"[+-]?[0-9]{1,10}")
+
+
+def _announced(record: bytes) -> tuple[list[int | None], int | None]:
+    """Types of the records after the first one by its field 1.003, and the error in it."""
+    value = next((f[6:] for f in _FIELD.split(record) if f.startswith(b"1.003:")), b"")
+    items = [x.split(b"\x1f")[0].strip() for x in value.split(b"\x1e")[1:]]
+    types = [int(x) if _INT.fullmatch(x) and abs(int(x)) < 1 << 31 else None for x in items]
+    return types, (1010 if b"" in items else 1011) if None in types else None
+
+
+def _frames(content: bytes) -> list[dict]:
+    """Logical records of one file; one that cannot be framed holds the rest and is the last."""
+    out, at, types = [], 0, []
+    while at < len(content):
+        rest, size, error, kind = len(content) - at, 0, None, None
+        fielded = not out or content[at : at + 1].isdigit()
+        if fielded:
+            tag = _TAG.match(content, at)
+            kind = int(tag[1]) if tag else None
+            ends = [e for e in (content.find(b"\x1d", tag.end()), content.find(b"\x1c", tag.end())) if e >= 0] if tag else []
+            if not tag or int(tag[2]) != 1:
+                error = 1004
+            elif not ends:
+                error = 1005
+            elif not _INT.fullmatch(value := content[tag.end() : min(ends)]) or abs(int(value)) >= 1 << 31:
+                error = 1006
+            elif not 0 < (size := int(value)) <= rest:
+                error, size = 1002, 0
+            elif content[at + size - 1 : at + size] != b"\x1c":
+                error, size = 1003, 0
+        else:
+            kind = types[len(out) - 1] if len(out) <= len(types) else None
+            size = int.from_bytes(content[at : at + 4], "big", signed=True) if rest >= 4 else 0
+            if not 0 < size <= rest:
+                error, size = 1002 if rest >= 4 else 1007, 0
+            error = 1012 if kind is None else error
+        framed = content[at : at + (size or rest)]
+        if not out and fielded and size and kind == 1:
+            types, error = _announced(framed[:-1])
+        out.append({"type": kind, "byte_offset": at, "size": len(framed), "fielded": fielded and size > 0, "data": framed, "error": error})
+        at += len(framed)
+    return out
+
+
+def _framed(content: Column) -> Column:
+    kind = pa.list_(pa.struct([("type", pa.int32()), ("byte_offset", pa.int64()), ("size", pa.int64()), ("fielded", pa.bool_()), ("data", pa.binary()), ("error", pa.int32())]))
+
+    def run(files: pa.Array) -> pa.Array:
+        return pa.array([None if f is None else _frames(f) for f in files.to_pylist()], kind)
+
+    return F.arrow_udf(run, "array<struct<type:int,byte_offset:bigint,size:bigint,fielded:boolean,data:binary,error:int>>")(content)
 
-    Records end at FS; ``error`` holds 1002 where the stated length is not the
-    record's, 1004 where the first field is no length field.
+
+def decode_files(files: DataFrame, path_col: str = "path", content_col: str = "content") -> DataFrame:
+    """One row per record: path, record_index, type, offset, size, fields, error and bytes.
+
+    The first record and those that begin with a digit are fielded and end
+    where their length field says, whatever their values hold. Others are
+    binary: a 4-byte length, the type announced by the first record, no
+    ``pieces``, the whole record in ``data`` (null for fielded ones).
+
+    ``error``: 1002 length beyond the file or not positive, 1003 no FS at the
+    end, 1004 no length field first, 1005 length not ended, 1006 length no
+    integer, 1007 binary length cut off, 1010 or 1011 bad announced type, 1012
+    binary record that was not announced. A record without a frame takes the
+    rest of the file into ``data`` and has no ``pieces``.
     """
-    text = F.decode(F.col(content_col), "ISO-8859-1")
-    parts = F.filter(F.split(text, nist.FS, -1), lambda s: s != "")
-    rows = files.select(F.col(path_col).alias("path"), F.posexplode(parts).alias("record_index", "body"))
-    rows = rows.withColumn("size", F.length("body").cast("long") + 1)
-    before = Window.partitionBy("path").orderBy("record_index").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("byte_offset", F.coalesce(F.sum("size").over(before), F.lit(0)).cast("long"))
-    rows = rows.withColumn("pieces", nist.split_fields(F.col("body")))
-    stated = F.regexp_extract(F.get("pieces", 0), r"^[0-9]+\.001:([0-9]+)$", 1).try_cast("long")
-    error = F.when(~F.get("pieces", 0).rlike(r"^[0-9]+\.001:"), 1004).when(stated.isNull() | (stated != F.col("size")), 1002)
-    kind = F.regexp_extract(F.get("pieces", 0), r"^([0-9]+)\.", 1).try_cast("int")
-    return rows.select("path", "record_index", kind.alias("type"), "byte_offset", "size", "pieces", error.alias("error"))
+    rows = files.select(F.col(path_col).alias("path"), F.posexplode(_framed(F.col(content_col).cast("binary"))).alias("record_index", "r"))
+    body = F.decode(F.expr("substring(r.data, 1, r.size - 1)"), "ISO-8859-1")
+    pieces = F.when(F.col("r.fielded"), nist.split_fields(body)).otherwise(F.array().cast("array<string>"))
+    return rows.select("path", "record_index", "r.type", "r.byte_offset", "r.size", pieces.alias("pieces"), "r.error", F.when(~F.col("r.fielded"), F.col("r.data")).alias("data"))
 
 
 def fields_of(records: DataFrame) -> DataFrame:
