@@ -169,6 +169,16 @@ def test_url_lists_use_the_entries_of_the_fetch_time(spark):
     assert got == {i: v for i, _, _, v in rows}
 
 
+def test_url_lists_match_entries_of_any_depth(spark):
+    day = "2024-01-{:02d} 00:00:00".format
+    deep = "x.org/" + "/".join(f"s{i}" for i in range(10))
+    changes = spark.createDataFrame([("p", "block", "prefix", deep, day(1), True)], "list string, action string, kind string, key string, at string, listed boolean").withColumn("at", url_lists.F.to_timestamp("at"))
+    rows = [(1, f"http://{deep}", "block"), (2, f"http://{deep}/more/of/it", "block"), (3, f"http://{deep}x", "none"), (4, "http://x.org/s0", "none"), (5, "http://x.org", "none")]
+    captures = spark.createDataFrame([(i, u, day(2)) for i, u, _ in rows], "page_id bigint, url string, fetched string").withColumn("fetched", url_lists.F.to_timestamp("fetched"))
+    got = {r["page_id"]: r["verdict"] for r in url_lists.url_filter(captures, changes).collect()}
+    assert got == {i: v for i, _, v in rows}
+
+
 def test_licenses_ignore_case_marks_and_copyright_lines(spark):
     known = spark.createDataFrame(licenses.known_texts(), "license_id string, text string")
     mit = "Copyright (c) 2020 Some One\n\n" + licenses.TEXTS["MIT"].replace(". ", ".\n").upper().replace("SUBLICENSE", "sub-licence")

@@ -25,8 +25,6 @@ from pyspark.sql import functions as F
 from .common import OWN
 
 SALTS = 16
-#: Path prefixes of a URL that can be listed: up to this many segments.
-SEGMENTS = 8
 
 
 def host_of(url: Column) -> Column:
@@ -38,11 +36,11 @@ def path_of(url: Column) -> Column:
 
 
 def candidate_keys(url: Column) -> Column:
-    """Array of (kind, key): the host, its parent domains and its path prefixes."""
+    """Array of (kind, key): the host, its parent domains and all its path prefixes."""
     host, labels = host_of(url), F.split(host_of(url), r"\.")
     domains = F.transform(F.sequence(F.lit(1), F.greatest(F.size(labels) - 1, F.lit(1))), lambda i: F.struct(F.lit("domain").alias("kind"), F.array_join(F.slice(labels, i, F.size(labels)), ".").alias("key")))
     parts = F.filter(F.split(path_of(url), "/"), lambda s: s != "")
-    prefixes = F.transform(F.sequence(F.lit(1), F.least(F.size(parts), F.lit(SEGMENTS))), lambda i: F.struct(F.lit("prefix").alias("kind"), F.concat(host, F.lit("/"), F.array_join(F.slice(parts, 1, i), "/")).alias("key")))
+    prefixes = F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts), F.lit(1))), lambda i: F.struct(F.lit("prefix").alias("kind"), F.concat(host, F.lit("/"), F.array_join(F.slice(parts, 1, i), "/")).alias("key")))
     none = F.array().cast("array<struct<kind:string,key:string>>")
     every = F.concat(F.array(F.struct(F.lit("host").alias("kind"), host.alias("key"))), domains, F.when(F.size(parts) > 0, prefixes).otherwise(none))
     return F.when(host != "", every).otherwise(none)
