@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from whorl.llm import decontaminate, jaccard, pii, quality, tokens
-from whorl.llm.common import Scratch, table
+from whorl.llm.common import BLANKS, OWN, Scratch, table
 from whorl.llm.queries import ranks
 
 
@@ -21,17 +21,24 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near copies stays.
+    """One row of each group of near copies stays: that with the smallest id.
 
-    Five-word shingles and a similarity of 0.8. Of rows with one id, one stays;
-    rows without an id are not compared and stay.
+    Five-word shingles and a similarity of 0.8. Rows are told apart by id and
+    text: rows that share an id but are no copies all stay, rows without an id
+    come last in their group, of rows equal in id and text one stays, and rows
+    without words are in no group and stay. Extra columns of any type and name
+    are carried; an empty table stays empty.
     """
-    named = docs.where(F.col("doc_id").isNotNull())
-    first = jaccard.jaccard_join(named, words=5, percent=80).where("doc_id = component_id").select("doc_id").distinct()
-    columns = docs.columns
-    one = Window.partitionBy("doc_id").orderBy(*(c for c in columns if c != "doc_id"))
-    kept = named.join(first, "doc_id", "left_semi").withColumn("__row", F.row_number().over(one)).where("__row = 1")
-    return kept.select(columns).union(docs.where(F.col("doc_id").isNull()).select(columns))
+    row, key, own = f"{OWN}row", f"{OWN}key", f"{OWN}id"
+    found = jaccard.jaccard_join(docs.select("doc_id", "text"), words=5, percent=80).where("component is not null")
+    copies = found.groupBy("component", F.col("doc_id").alias(own), F.col("digest").alias(key)).agg(F.count("*").alias("n"))
+    first = copies.groupBy("component").agg(F.min(F.struct(F.col(own).isNull(), own, key, "n")).alias("x")).select(f"x.{own}", f"x.{key}", "x.n")
+    # The rows themselves are one struct, so their names cannot clash.
+    rows = docs.select(F.struct("*").alias(row), F.col("doc_id").alias("id"), F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("digest"), F.coalesce("text", F.lit("")).rlike(f"[^{BLANKS}]").alias("wordy"))
+    kept = rows.where("wordy").join(first, F.col("id").eqNullSafe(F.col(own)) & (F.col("digest") == F.col(key)))
+    order = Window.partitionBy(own, key).orderBy(F.to_json(row))
+    repeated = kept.where("n > 1").withColumn("turn", F.row_number().over(order)).where("turn = 1")
+    return kept.where("n = 1").select(f"{row}.*").union(repeated.select(f"{row}.*")).union(rows.where("not wordy").select(f"{row}.*"))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
