@@ -16,13 +16,15 @@ and word pairs of the benchmark: each other word costs an edit, and an edit
 takes at most two pairs away, so this loses nothing.
 
 The benchmark is broadcast in blocks of ``BLOCK_ITEMS`` items of at most
-``BLOCK_WORDS`` words, each block being one pass over the documents; documents
-are never collected.
-
-Defined results: null and blank texts or items match nothing; items of fewer
-than ``MIN_WORDS`` words are compared exactly, as a run of equal words; repeated
-rows are tested row by row; other columns are dropped; an empty benchmark
-leaves every document clean.
+``BLOCK_WORDS`` words, each block being one pass over the documents. A pass is
+written before the next block is read and its broadcast released, so the driver
+and each task hold one block; documents are never collected.
+
+Defined results: null and blank texts or items match nothing; items too short
+for an edit (under five words at 20 %) are compared exactly, as a run of equal
+words; repeated rows are tested row by row; other columns are dropped; texts of
+any length are searched whole; an empty benchmark leaves every document clean
+and an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -35,6 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import Scratch
 from .shingles import mix, word_hashes
 
 #: Word edits allowed, as a percentage of the item's words.
@@ -42,7 +45,6 @@ PERCENT = 20
 PLACES = 3
 RECALL = 0.999
 BLOCK_ITEMS, BLOCK_WORDS = 20_000, 2_000_000
-MIN_WORDS = 8
 CHUNK = 1 << 15
 #: Bytes of text that are searched together.
 TOGETHER = 16 << 20
@@ -50,7 +52,7 @@ _U = np.uint64
 
 
 def edits(size: int, percent: int) -> int:
-    return percent * size // 100 if size >= MIN_WORDS else 0
+    return percent * size // 100
 
 
 def repetitions(percent: int, places: int, recall: float) -> int:
@@ -203,6 +205,21 @@ class Benchmark:
         return max(0, n - 1 - 2 * edits(int(n), self.percent))
 
 
+def _passes(docs: DataFrame, benchmark: DataFrame, make, one) -> DataFrame:
+    """``docs`` after a pass with each block: ``one(docs, held)`` plans it, ``make`` builds what is held."""
+    scratch, held, turn = None, None, 0
+    for block in _blocks(benchmark):
+        if held is not None:
+            scratch = scratch or Scratch(docs.sparkSession, "benchmark")
+            docs = scratch.save(docs, str(turn))
+            scratch.drop(str(turn - 1))
+            held.destroy()
+            turn += 1
+        held = docs.sparkSession.sparkContext.broadcast(make(block))
+        docs = one(docs, held)
+    return docs
+
+
 def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, bytes]]]:
     block, size = [], 0
     for row in benchmark.toLocalIterator():
@@ -237,15 +254,15 @@ def _items(benchmark: DataFrame, item_col: str, item_text_col: str) -> DataFrame
 def keep_clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", percent: int = PERCENT, places: int = PLACES, recall: float = RECALL) -> DataFrame:
     """The rows of ``docs`` without any benchmark item, with their columns."""
     at = docs.columns.index(text_col)
-    for block in _blocks(_items(benchmark, item_col, item_text_col)):
-        held = docs.sparkSession.sparkContext.broadcast(Benchmark(block, percent, places, recall))
 
-        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+    def one(docs: DataFrame, held) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 yield batch.filter(pa.array([not x for x in _leaks(held.value, batch.column(at).cast(pa.binary()))], pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+        return docs.mapInArrow(run, docs.schema)
+
+    return _passes(docs, _items(benchmark, item_col, item_text_col), lambda block: Benchmark(block, percent, places, recall), one)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", percent: int = PERCENT, places: int = PLACES, recall: float = RECALL) -> DataFrame:
@@ -253,15 +270,15 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     kind = "array<struct<item:bigint,edits:int>>"
     out = pa.schema([("id", pa.int64()), ("text", pa.binary()), ("found", pa.list_(pa.struct([("item", pa.int64()), ("edits", pa.int32())])))])
     found = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"), F.array().cast(kind).alias("found"))
-    for block in _blocks(_items(benchmark, item_col, item_text_col)):
-        held = docs.sparkSession.sparkContext.broadcast(Benchmark(block, percent, places, recall))
 
-        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+    def one(found: DataFrame, held) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 # A pass adds its block's items to the row; ids play no part.
                 rows = [sorted(old + new, key=lambda x: (x["item"], x["edits"])) for old, new in zip(batch.column(2).to_pylist(), _leaks(held.value, batch.column(1)), strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, out.field("found").type)], schema=out)
 
-        found = found.mapInArrow(run, f"id bigint, text binary, found {kind}")
-    return found.select(F.col("id").alias(id_col), F.transform("found", lambda x: x["item"]).alias("item_ids"), F.transform("found", lambda x: x["edits"]).alias("edits"), (F.size("found") > 0).alias("leaked"))
+        return found.mapInArrow(run, f"id bigint, text binary, found {kind}")
 
+    found = _passes(found, _items(benchmark, item_col, item_text_col), lambda block: Benchmark(block, percent, places, recall), one)
+    return found.select(F.col("id").alias(id_col), F.transform("found", lambda x: x["item"]).alias("item_ids"), F.transform("found", lambda x: x["edits"]).alias("edits"), (F.size("found") > 0).alias("leaked"))

@@ -2,8 +2,9 @@
 
 The page becomes a tree of elements (unclosed tags are closed as browsers do).
 Boilerplate subtrees are set aside: by tag (navigation, forms, scripts, ...),
-by role or hidden state, and by words of class and id (adverts, sidebars,
-notices, comments, ...). Paragraph-like blocks then pass points to their
+by role or hidden state, and by the first or last part of class names and ids
+(adverts, sidebars, notices, comments, ...), but not if an article is inside.
+Of a header inside an article the headings stay. Paragraph-like blocks then pass points to their
 parent, and half of them to the grandparent: one point, one for each comma and
 one for each 100 characters up to three. A container's points are multiplied by
 one minus its link density. The best container is kept with those siblings
@@ -12,9 +13,13 @@ that score a fifth of it or that are long paragraphs with few links.
 Inside the kept nodes, every block is written with its white space joined to
 one space, and blocks are joined by one space in page order.
 
+Pages are scanned in time linear in their length, whatever their markup.
+
 Defined results: null, empty and text-free pages give an empty text; tags
-without an end run to the end of their container; very deep trees are walked
-without recursion; repeated rows are extracted row by row; other columns are
+without an end run to the end of their container; a comment or tag that never
+ends takes the rest of the page, as in browsers; marked sections and other
+declarations are skipped; very deep trees are walked without recursion; long
+pages are read whole; an empty table gives no rows; repeated rows are extracted row by row; other columns are
 dropped.
 """
 
@@ -22,7 +27,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from html.parser import HTMLParser
+from html import unescape
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,94 +35,161 @@ from pyspark.sql import functions as F
 
 # Element names of the HTML standard and common class words.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-DROPPED = frozenset("script style noscript template nav header footer aside form button select option textarea input label fieldset iframe object embed svg canvas math head title menu dialog audio video map datalist output progress meter".split())
+DROPPED = frozenset("script style noscript template nav header footer aside form button select option textarea input label fieldset iframe embed svg canvas head title menu dialog audio video map datalist output progress meter".split())
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul br".split())
 CLOSES_P = BLOCKS - {"br", "body", "html", "caption", "tbody", "td", "tfoot", "th", "thead", "tr"}
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
-UNWANTED = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|sponsor(?:ed|s)?|promo(?:tion)?s?|banner|nav|navbar|navigation|menu|breadcrumbs?|sidebar|side|aside|footer|foot|header|masthead|comments?|comment-?list|disqus|replies|respond|discussion|reactions|cookies?|consent|gdpr|notice|notices|alert|popup|modal|overlay|newsletter|subscribe|signup|login|share|sharing|social|related|recommend(?:ed|ations)?|widget|toolbar|pagination|pager|tags|legal|copyright|disclaimer|skip|search)(?=$|[\s_-]|[0-9])",
-    re.I,
-)
+UNWANTED = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored sponsors promo promos promotion promotions banner nav navbar navigation menu breadcrumb breadcrumbs sidebar side aside footer foot header masthead comment comments commentlist disqus replies respond discussion reactions cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe signup login share sharing social related recommend recommended recommendations widget toolbar pagination pager tags legal copyright disclaimer skip search".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("attrs", "kids", "parent", "points", "tag")
+    __slots__ = ("attrs", "holds", "kids", "parent", "points", "tag")
 
     def __init__(self, tag: str, attrs: dict, parent: Node | None):
-        self.tag, self.attrs, self.parent, self.kids, self.points = tag, attrs, parent, [], 0.0
+        self.tag, self.attrs, self.parent, self.kids, self.points, self.holds = tag, attrs, parent, [], 0.0, False
+
+
+# Linear scanning: every pattern is possessive or ends at one character.
+_NAME = re.compile(r"[A-Za-z][^\s/>]*+")
+_ATTR = re.compile(r"""[\s/]*+(?:(>)|(\Z)|([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>]*+)))?)""")
+_RAW = {t: re.compile(f"</{t}(?=[\\s/>])", re.I) for t in ("script", "style", "textarea", "title", "iframe", "noembed", "noframes", "xmp")}
+
+
+def _tag(html: str, at: int) -> tuple[str, dict, int]:
+    """Name, attributes and end of the tag whose name starts at ``at``."""
+    name = _NAME.match(html, at)
+    attrs: dict = {}
+    at = name.end()
+    while m := _ATTR.match(html, at):
+        at = m.end()
+        if m[1] or m[2] is not None:
+            break
+        attrs.setdefault(m[3].lower(), unescape(m[4] or m[5] or m[6] or ""))
+    return name[0].lower(), attrs, at
+
+
+def tokens(html: str) -> Iterator[tuple[str, str, dict]]:
+    """(kind, value, attributes): kind is ``start``, ``end`` or ``text``; comments and declarations are left out."""
+    at = 0
+    while at < len(html):
+        mark = html.find("<", at)
+        if mark < 0:
+            yield "text", unescape(html[at:]), {}
+            return
+        if mark > at:
+            yield "text", unescape(html[at:mark]), {}
+        after = html[mark + 1 : mark + 2]
+        if after.isascii() and after.isalpha():
+            name, attrs, at = _tag(html, mark + 1)
+            yield "start", name, attrs
+            if name in _RAW:
+                end = _RAW[name].search(html, at)
+                if end is None:
+                    return
+                yield "text", html[at : end.start()], {}
+                at = end.start()
+        elif after == "/" and html[mark + 2 : mark + 3].isascii() and html[mark + 2 : mark + 3].isalpha():
+            name, _, at = _tag(html, mark + 2)
+            yield "end", name, {}
+        elif html.startswith("<!--", mark):
+            if html.startswith((">", "->"), mark + 4):
+                at = html.index(">", mark + 4) + 1
+            else:
+                ends = [e + n for e, n in ((html.find("-->", mark + 4), 3), (html.find("--!>", mark + 4), 4)) if e >= 0]
+                at = min(ends, default=len(html))
+        elif after in ("!", "?", "/"):
+            at = html.find(">", mark) + 1 or len(html)
+        else:
+            yield "text", "<", {}
+            at = mark + 1
+
 
+class Tree:
+    """Builds the tree; data are strings among a node's kids.
 
-class Tree(HTMLParser):
-    """Builds the tree; data are strings among a node's kids."""
+    ``depths`` holds the open elements of each name, so the nearest one is
+    found without walking up.
+    """
 
     # Open elements that a new one ends, up to the nearest container.
     ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
     SCOPE = frozenset("html body table td th article section div main aside header footer nav form ul ol li dl blockquote".split())
 
     def __init__(self, html: str):
-        super().__init__(convert_charrefs=True)
-        self.root = self.at = Node("html", {}, None)
-        self.open: dict[str, int] = {}
-        self.feed(html)
-        self.close()
-
-    def _leave(self, until: Node) -> None:
-        """Closes the open elements below and including ``until``."""
-        while self.at is not until:
-            self.open[self.at.tag] -= 1
-            self.at = self.at.parent
-        self.open[until.tag] -= 1
-        self.at = until.parent
-
-    def _nearest(self, tags, stop=()) -> Node | None:
-        if not any(self.open.get(t) for t in tags):
-            return None
-        node = self.at
-        while node.parent is not None:
-            if node.tag in tags:
-                return node
-            if node.tag in stop:
-                return None
-            node = node.parent
-        return None
-
-    def handle_starttag(self, tag: str, attrs: list) -> None:
+        self.root = Node("html", {}, None)
+        self.path, self.depths = [self.root], {}
+        for kind, value, attrs in tokens(html):
+            if kind == "text":
+                self.path[-1].kids.append(value)
+            elif kind == "start":
+                self._start(value, attrs)
+            else:
+                # Inline elements stay inside the block that holds them.
+                self._leave(self._nearest({value}, () if value in BLOCKS or value in DROPPED else self.SCOPE | {"p"}))
+
+    def _leave(self, depth: int) -> None:
+        """Closes the open elements from ``depth`` on; 0 closes none."""
+        while 0 < depth < len(self.path):
+            self.depths[self.path.pop().tag].pop()
+
+    def _nearest(self, tags, stop=()) -> int:
+        """Depth of the nearest open element among ``tags``, 0 if there is none inside the nearest of ``stop``."""
+        last = lambda names: max((self.depths[t][-1] for t in names if self.depths.get(t)), default=0)
+        found = last(tags)
+        return found if found and found >= last(stop) else 0
+
+    def _start(self, tag: str, attrs: dict) -> None:
         if tag in ("html", "body"):
             return
-        if tag in CLOSES_P and (p := self._nearest({"p"}, self.SCOPE)):
-            self._leave(p)
-        if tag in self.ENDS and (old := self._nearest(*self.ENDS[tag])):
-            self._leave(old)
-        if self.open.get("head") and tag not in DROPPED and tag not in ("meta", "link", "base") and (head := self._nearest({"head"})):
-            self._leave(head)
-        node = Node(tag, {k: v or "" for k, v in attrs}, self.at)
-        self.at.kids.append(node)
+        if tag in CLOSES_P:
+            self._leave(self._nearest({"p"}, self.SCOPE))
+        if tag in self.ENDS:
+            self._leave(self._nearest(*self.ENDS[tag]))
+        if self.depths.get("head") and tag not in DROPPED and tag not in ("meta", "link", "base"):
+            self._leave(self._nearest({"head"}))
+        node = Node(tag, attrs, self.path[-1])
+        self.path[-1].kids.append(node)
+        if tag in ("article", "main"):
+            for above in reversed(self.path):
+                if above.holds:
+                    break
+                above.holds = True
         if tag not in VOID:
-            self.at = node
-            self.open[tag] = self.open.get(tag, 0) + 1
+            self.depths.setdefault(tag, []).append(len(self.path))
+            self.path.append(node)
 
-    def handle_startendtag(self, tag: str, attrs: list) -> None:
-        self.handle_starttag(tag, attrs)  # as browsers do, the slash is ignored
 
-    def handle_endtag(self, tag: str) -> None:
-        # Inline elements stay inside the block that holds them.
-        stop = () if tag in BLOCKS or tag in DROPPED else self.SCOPE | {"p"}
-        if node := self._nearest({tag}, stop):
-            self._leave(node)
+_PART = re.compile(r"[_-]+|(?<=[a-z])(?=[A-Z])|(?<=[A-Za-z])(?=[0-9])")
 
-    def handle_data(self, data: str) -> None:
-        self.at.kids.append(data)
+
+def _named(node: Node) -> bool:
+    """Whether a class or the id names boilerplate by its first or last part."""
+    for key in ("class", "id"):
+        for name in node.attrs.get(key, "").split():
+            parts = [p.lower() for p in _PART.split(name) if p and not p.isdigit()]
+            if parts and (parts[0] in UNWANTED or parts[-1] in UNWANTED):
+                return True
+    return False
 
 
 def unwanted(node: Node) -> bool:
-    a = node.attrs
-    if node.tag in DROPPED or a.get("role", "").lower() in ROLES or "hidden" in a or a.get("aria-hidden", "").lower() == "true":
+    """Boilerplate by tag, role, hidden state and by class and id.
+
+    A header of an article counts for its headings only; what holds an article
+    is not judged by its names.
+    """
+    a, up = node.attrs, node.parent
+    if up is not None and up.tag == "header" and node.tag not in HEADINGS:
+        return True
+    header = node.tag == "header" and up is not None and up.tag in ("article", "main")
+    if (node.tag in DROPPED and not header) or a.get("role", "").lower() in ROLES or "hidden" in a or a.get("aria-hidden", "").lower() == "true":
         return True
     if "style" in a and HIDDEN.search(a["style"]):
         return True
-    return node.tag not in ("article", "main", "p") and any(UNWANTED.search(a[k]) for k in ("class", "id") if a.get(k))
+    return not header and not node.holds and node.tag not in ("article", "main", "p") and _named(node)
 
 
 def walk(root: Node) -> Iterator[tuple[Node | str, bool]]:
@@ -128,7 +200,8 @@ def walk(root: Node) -> Iterator[tuple[Node | str, bool]]:
         yield node, leaving
         if not leaving and isinstance(node, Node):
             stack.append((node, True))
-            stack += [(kid, False) for kid in reversed(node.kids) if isinstance(kid, str) or not unwanted(kid)]
+            loose = node.tag == "header"  # text beside an article's headings
+            stack += [(kid, False) for kid in reversed(node.kids) if (not loose if isinstance(kid, str) else not unwanted(kid))]
 
 
 def _sizes(root: Node) -> tuple[dict, dict, dict]:

@@ -61,7 +61,7 @@ CELL = 512
 #: Members above which a cell is hot, and pairs that one copy of a hub's text serves.
 HOT, CHUNK = 64, 1000
 #: Rows of cells that one tree task is given.
-TASK = 20_000
+TASK = 50_000
 #: Share of links among the tried pairs below which hub rounds end.
 PAYS = 0.02
 #: Nearest partners that a probe offers in the first tree round; four times as many in each later one.

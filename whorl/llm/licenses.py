@@ -11,7 +11,9 @@ The known texts are a table given by the caller; it is broadcast only below
 
 Defined results: a null text is empty and matches nothing; if several known
 texts are equal in canonical form the smallest license id is reported;
-repeated rows are looked up row by row; other columns are dropped.
+repeated rows are looked up row by row; other columns are dropped, whatever
+their names; long texts are digested whole; an empty list of known texts
+matches nothing and an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -24,7 +26,12 @@ from .common import OWN
 BROADCAST_TEXTS = 100_000
 #: Equivalent spellings, applied in this order to lower-case text.
 SPELLINGS = (("licence", "license"), ("sub-license", "sublicense"), ("sub license", "sublicense"), ("non-commercial", "noncommercial"), ("copyright holder", "copyright owner"), ("https://", "http://"), ("&", " and "), ("favour", "favor"), ("organis", "organiz"), ("authoris", "authoriz"), ("merchantibility", "merchantability"))
-COPYRIGHT_LINE = r"(?m)^[ \t#*/;-]*(?:copyright|\(c\)|©|all rights reserved)[^\n]*$"
+#: Lines that state a copyright: the mark or word with a year (or its placeholder), the word with
+#: the mark, or the sign. A sentence that merely begins with the word stays.
+_MARK, _YEAR = r"(?:copyright|\(c\)|©)", r"[\[<{(]*(?:[0-9]{4}|yyyy|year)"
+COPYRIGHT_LINE = rf"(?m)^[ \t#*/;-]*(?:{_MARK}[ \t]*(?:(?:{_MARK}|by)[ \t]*)*{_YEAR}[^\n]*|copyright[ \t]*(?:\(c\)|©)[^\n]*|©[^\n]*|all rights reserved[. \t]*)$"
+#: What is no letter, mark or digit of any script: punctuation, symbols and white space.
+OTHER = r"[^\p{L}\p{M}\p{N}]+"
 #: Short notices and license texts under their public identifiers.
 NOTICES = {
     "MIT": ("Released under the MIT License.", "This project is licensed under the MIT License."),
@@ -43,6 +50,16 @@ TEXTS = {
 }
 
 
+_BSD_END = 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.'
+_BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. "
+TEXTS |= {
+    "BSD-2-Clause": _BSD + _BSD_END,
+    "BSD-3-Clause": _BSD + "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. " + _BSD_END,
+    "Zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution.",
+    "Unlicense": 'This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE. For more information, please refer to <https://unlicense.org>',
+}
+
+
 def known_texts() -> list[tuple[str, str]]:
     return sorted([(k, t) for k, t in TEXTS.items()] + [(k, t) for k, all_ in NOTICES.items() for t in all_])
 
@@ -51,7 +68,7 @@ def canonical(text: Column) -> Column:
     text = F.regexp_replace(F.lower(text), COPYRIGHT_LINE, "")
     for old, new in SPELLINGS:
         text = F.replace(text, F.lit(old), F.lit(new))
-    return F.trim(F.regexp_replace(text, r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", " "))
+    return F.trim(F.regexp_replace(text, OTHER, " "))
 
 
 def digest(text: Column) -> Column:

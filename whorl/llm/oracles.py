@@ -13,7 +13,7 @@ def _canonical(text: str) -> str:
     out = f"regexp_replace(lower({text}), {_quote(licenses.COPYRIGHT_LINE)}, '', 'g')"
     for old, new in licenses.SPELLINGS:
         out = f"replace({out}, {_quote(old)}, {_quote(new)})"
-    return f"trim(regexp_replace({out}, '[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+', ' ', 'g'))"
+    return f"trim(regexp_replace({out}, {_quote(licenses.OTHER)}, ' ', 'g'))"
 
 
 def license_sql() -> str:
@@ -65,8 +65,8 @@ entries as (select 'abuse' as list, 'block' as action, 'host' as kind, host as k
  union all select 'trusted', 'allow', 'domain', domain, {day("domain")}, {day("domain")} + 60 from domains where domain <> ''
  union all select 'paths', 'block', 'prefix', host || '/en', {day("host || '/en'")}, null from hosts),
 asked as (select r, fetched, 'host' as kind, host as key from p where host <> ''
- union all select r, fetched, 'domain', array_to_string(string_split(host, '.')[i:], '.') from p, range(1, 40) t(i) where host <> '' and i <= greatest(len(string_split(host, '.')) - 1, 1)
- union all select r, fetched, 'prefix', host || '/' || array_to_string(parts[:i], '/') from p, range(1, 9) t(i) where host <> '' and i <= len(parts)),
+ union all select r, fetched, 'domain', array_to_string(string_split(host, '.')[i:], '.') from (select *, unnest(range(1, 1 + greatest(len(string_split(host, '.')) - 1, 1))) as i from p) where host <> ''
+ union all select r, fetched, 'prefix', host || '/' || array_to_string(parts[:i], '/') from (select *, unnest(range(1, 1 + len(parts))) as i from p) where host <> ''),
 hits as (select r, list, action, kind, key, valid_from from asked join entries using (kind, key) where valid_from <= fetched and (valid_to is null or valid_to > fetched)
  qualify row_number() over (partition by r order by length(key) desc, action, case kind when 'prefix' then 2 when 'host' then 1 else 0 end desc, list desc) = 1)
 select page_id, url, cast(fetched as bigint) as fetched, coalesce(action, 'none') as verdict, list, kind, key, cast(valid_from as bigint) as valid_from from p left join hits using (r)"""

@@ -21,7 +21,9 @@ its documents are kept.
 Defined results: a null text has no words and fails the base rule; a null
 stratum is a stratum of its own; null labels are left out; a document labelled
 more than once counts as good if any label says so; repeated rows are
-measured row by row; empty tables give empty results.
+measured row by row, but a labelled id is one trial however often it occurs
+(of different rows, the one last by stratum and percentages counts); texts of
+any length are measured whole; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -122,7 +124,9 @@ def fit_cutoffs(measured: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     ``measured`` comes from ``measure``. All labelled rows are used.
     """
     label = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias(f"{OWN}id")).agg(F.max(F.col(label_col).cast("int")).alias("good"))
-    bins = measured.join(label, f"{OWN}id").select(f"{OWN}stratum", "good", F.explode(F.array(*(F.struct(F.lit(r).alias("rule"), _percent(r).alias("bin")) for r in RULES))).alias("x"))
+    # One trial a labelled id: rows that repeat it are not independent.
+    once = measured.join(label, f"{OWN}id").groupBy(f"{OWN}id").agg(F.max(F.struct(f"{OWN}stratum", "good", *(_percent(r).alias(r) for r in RULES))).alias("row")).select("row.*")
+    bins = once.select(f"{OWN}stratum", "good", F.explode(F.array(*(F.struct(F.lit(r).alias("rule"), F.col(r).alias("bin")) for r in RULES))).alias("x"))
     hist = bins.groupBy(f"{OWN}stratum", "x.rule", "x.bin").agg(F.sum((F.col("good") > 0).cast("long")).alias("good"), F.sum((F.col("good") <= 0).cast("long")).alias("bad"))
     # From here on there are at most 101 rows per stratum and rule.
     key = Window.partitionBy(f"{OWN}stratum", "rule")
@@ -160,7 +164,7 @@ def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     """
     df = _judged(*_fitted(docs, labels, id_col, text_col, stratum_col, label_col, alpha, delta))
     counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-    return df.select(F.col(f"{OWN}id").alias(id_col), *counts, "base_failed", "rules_failed", "kept")
+    return df.select(F.col(f"{OWN}id").alias(id_col), *counts, "base_failed", "kept", "rules_failed")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", label_col: str = "quality", alpha: float = 0.02, delta: float = 0.05) -> DataFrame:

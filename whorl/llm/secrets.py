@@ -9,12 +9,15 @@ reported from the first such window's start to the last one's end, unless an
 allow-list pattern or literal matches it or a base span overlaps it.
 
 Spans are code point offsets, end exclusive. Defined results: null texts are
-empty and have no spans; other columns are dropped; repeated rows are scanned
-row by row.
+empty and have no spans; other columns are dropped, whatever their names;
+repeated rows are scanned row by row; texts and runs of any length are scanned
+whole; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,10 +31,12 @@ CANDIDATE = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])(?=[0-9+/_-]*[A-Za-z])[A
 WINDOW = 20
 #: Lowest window entropy in bits, by character class.
 THRESHOLDS = {"hex": 3.0, "alnum": 3.4, "base64": 3.6}
-ALLOW_PATTERNS = (r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$", r"(?i)example|sample|placeholder|dummy|changeme", r"^[0-9]{4}-[0-9]{2}-[0-9]{2}", r"^/?[a-z]+[0-9]?(/[a-z]+[0-9]?)+$")
+ALLOW_PATTERNS = (r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$", r"(?i)example|sample|placeholder|dummy|changeme", r"^[0-9]{4}-[0-9]{2}-[0-9]{2}", r"^/?[a-z]++[0-9]?+(?:/[a-z]++[0-9]?+)++$")
 ALLOW_LITERALS = ("da39a3ee5e6b4b0d3255bfef95601890afd80709", "d41d8cd98f00b204e9800998ecf8427e")
 KINDS = ("assign", "access", "hex", "entropy")
 _BLOCK = 128
+#: Starts of windows in a part of a candidate, by level.
+LONG, SHORT = 8192, 128
 
 
 def _with(value: Column, body) -> Column:
@@ -70,33 +75,60 @@ def _spans(text: str, pattern: str, kind: str, keep) -> Column:
     return F.when(F.col(text).rlike(pattern), found).otherwise(none)
 
 
+def _cut(text: Column, size: int, overlap: int) -> Column:
+    """Array of (at, part): stretches of ``size`` starts with the ``overlap`` characters after them."""
+    starts = F.sequence(F.lit(0), F.greatest(F.floor((F.length(text) - overlap - 1) / size).cast("int"), F.lit(0)))
+    return F.transform(starts, lambda i: F.struct((i * size).alias("at"), F.substring(text, i * size + 1, F.lit(size + overlap)).alias("part")))
+
+
 def _hot_window(hit: Column, window: int) -> Column:
     """Struct (first, last) of the windows at the class's threshold, or nulls.
 
-    The state holds 80 counts (characters from ``+`` to ``z``) and the sum of
-    c * log2(c); each step changes two counts. Entropy = log2(w) - sum / w.
+    The state holds the counts of the 80 characters from ``+`` to ``z``, one
+    character each in a string, and the sum of c * log2(c); each step changes
+    the counts of the entering and the leaving character. Entropy is
+    log2(w) - sum / w. Long candidates are cut into overlapping parts, in two
+    levels, so the work is linear in their length.
     """
-    import math
-
     limit = F.when(hit.rlike("^[0-9a-fA-F]+$"), THRESHOLDS["hex"]).when(hit.rlike("^[A-Za-z0-9]+$"), THRESHOLDS["alnum"]).otherwise(THRESHOLDS["base64"])
     weight = lambda c: F.when(c > 0, c * F.log2(c.cast("double"))).otherwise(0.0)
-    start = F.struct(F.array_repeat(F.lit(0), 80).alias("counts"), F.lit(0.0).alias("s"), F.lit(None).cast("int").alias("first"), F.lit(None).cast("int").alias("last"))
-    code = lambda i: F.ascii(F.substring(hit, i, F.lit(1))) - 43
+    zero = 32  # the character for a count of 0
+    start = F.struct(F.lit(chr(zero) * 80).alias("counts"), F.lit(0.0).alias("s"), F.lit(None).cast("int").alias("first"), F.lit(None).cast("int").alias("last"))
+
+    def scanned(part: Column, limit: Column) -> Column:
+        place = lambda i: F.ascii(F.substring(part, i, F.lit(1))) - 42
+        count = lambda counts, at: F.ascii(F.substring(counts, at, F.lit(1))) - zero
+        changed = lambda counts, at, c: F.overlay(counts, F.char(c + zero), at)
+
+        def moved(a: Column, i: Column, x: Column) -> Column:
+            full = i > window
+            up, down = count(a["counts"], x["come"]), F.when(full, count(a["counts"], x["go"])).otherwise(0)
+            left = F.when(full, changed(a["counts"], x["go"], down - 1)).otherwise(a["counts"])
+            counts = changed(left, x["come"], up + 1)
+            s = a["s"] + weight(up + 1) - weight(up) + F.when(full, weight(down - 1) - weight(down)).otherwise(0.0)
+            return F.when(full & (x["come"] == x["go"]), F.struct(a["counts"].alias("counts"), a["s"].alias("s"))).otherwise(F.struct(counts.alias("counts"), s.alias("s")))
+
+        def step(a: Column, i: Column) -> Column:
+            x = F.struct(place(i).alias("come"), F.when(i > window, place(i - window)).alias("go"))
+            hot = lambda m: (i >= window) & (F.round(math.log2(window) - m["s"] / window, 9) >= limit)
+            return _with(x, lambda x: _with(moved(a, i, x), lambda m: F.struct(m["counts"].alias("counts"), m["s"].alias("s"), F.when(a["first"].isNull() & hot(m), i - window).otherwise(a["first"]).alias("first"), F.when(hot(m), i).otherwise(a["last"]).alias("last"))))
+
+        return F.aggregate(F.sequence(F.lit(1), F.length(part)), start, step, lambda a: F.struct(a["first"].alias("first"), a["last"].alias("last")))
+
+    def joined(parts: Column) -> Column:
+        return F.struct(F.array_min(F.transform(parts, lambda p: p["first"])).alias("first"), F.array_max(F.transform(parts, lambda p: p["last"])).alias("last"))
 
-    def step(a: Column, i: Column) -> Column:
-        come, go = code(i), F.when(i > window, code(i - window)).otherwise(-1)
-        counts = F.transform(a["counts"], lambda c, k: c + F.when(k == come, 1).otherwise(0) - F.when(k == go, 1).otherwise(0))
-        up, down = F.get(a["counts"], come), F.when(go >= 0, F.get(a["counts"], go)).otherwise(0)
-        s = F.when(come == go, a["s"]).otherwise(a["s"] + weight(up + 1) - weight(up) + F.when(go >= 0, weight(down - 1) - weight(down)).otherwise(0.0))
-        hot = (i >= window) & (F.round(math.log2(window) - s / window, 9) >= limit)
-        return F.struct(counts.alias("counts"), s.alias("s"), F.when(a["first"].isNull() & hot, i - window).otherwise(a["first"]).alias("first"), F.when(hot, i).otherwise(a["last"]).alias("last"))
+    def spread(text: Column, size: int, scan) -> Column:
+        placed = lambda p: _with(scan(p["part"]), lambda r: F.struct((p["at"] + r["first"]).alias("first"), (p["at"] + r["last"]).alias("last")))
+        return _with(F.transform(_cut(text, size, window - 1), placed), joined)
 
-    done = F.aggregate(F.sequence(F.lit(1), F.length(hit)), start, step)
-    return _with(done, lambda a: F.struct(a["first"].alias("first"), a["last"].alias("last")))
+    return _with(limit, lambda limit: spread(hit, LONG, lambda long: spread(long, SHORT, lambda short: scanned(short, limit))))
 
 
 def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, allow_patterns=ALLOW_PATTERNS, allow_literals=ALLOW_LITERALS) -> DataFrame:
     """Id, text and ``found``: all spans as structs (start, kind, end, hit) by start, then kind."""
+    if not 1 < window < 90:
+        raise ValueError("window must be between 2 and 89 characters")
     text = f"{OWN}text"
     df = docs.select(F.col(id_col).alias(f"{OWN}id"), F.coalesce(F.col(text_col), F.lit("")).alias(text))
     value = lambda h: F.regexp_extract(h, ASSIGN, 2)

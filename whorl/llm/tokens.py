@@ -8,7 +8,8 @@ piece size and the text itself; a run without any such place stays whole.
 
 Defined results: a null or empty text has no ids and decodes to no bytes;
 special-token strings are ordinary text; other columns are left out of the
-result, so their names cannot clash; repeated rows are encoded row by row.
+result, so their names cannot clash; repeated rows are encoded row by row; an
+empty table gives no rows.
 """
 
 from __future__ import annotations
