@@ -65,6 +65,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def map_rows(docs: DataFrame, run) -> DataFrame:
+    """``docs`` with its columns after an Arrow kernel; columns are numbered for it, so any name will do."""
+    numbered = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
+    return numbered.mapInArrow(run, numbered.schema).toDF(*docs.columns)
+
+
 def words_of(text):
     """Array of the words of a text column; null and blank texts have none."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), f"[{BLANKS}]+"), lambda w: w != "")

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, map_rows
 from .shingles import mix, word_hashes
 
 #: Word edits allowed, as a percentage of the item's words.
@@ -260,7 +260,7 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", it
             for batch in batches:
                 yield batch.filter(pa.array([not x for x in _leaks(held.value, batch.column(at).cast(pa.binary()))], pa.bool_()))
 
-        return docs.mapInArrow(run, docs.schema)
+        return map_rows(docs, run)
 
     return _passes(docs, _items(benchmark, item_col, item_text_col), lambda block: Benchmark(block, percent, places, recall), one)
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import OWN
+from .common import OWN, map_rows
 
 KINDS = ("email", "ip", "card", "phone")
 #: Rows from which the node potentials are fitted.
@@ -246,7 +246,7 @@ def redact(docs: DataFrame, text_col: str = "text", sample_rows: int = SAMPLE_RO
             texts = pa.array([t and masked(t, find(t, weights, rounds)) for t in batch.column(at).to_pylist()], batch.schema.field(at).type)
             yield batch.set_column(at, batch.schema.field(at), texts)
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_rows(docs, run)
 
 
 def span_columns(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
