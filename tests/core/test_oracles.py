@@ -10,7 +10,7 @@ sys.path.insert(0, ROOT)
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
-from whorl.plans import bridges  # noqa: E402
+from whorl.plans import registry  # noqa: E402
 
 
 @pytest.fixture(scope="module")
@@ -22,15 +22,15 @@ def spark():
     return made
 
 
-@pytest.mark.parametrize("name", sorted(bridges.ORACLES))
+@pytest.mark.parametrize("name", sorted(registry.ORACLES))
 def test_query_matches_sql(spark, name):
     import duckdb
 
     con = duckdb.connect()
     for t in TABLES:
         con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
-    want = con.sql(bridges.ORACLES[name]).df()
-    got = bridges.QUERIES[name](spark, SF).toPandas()
+    want = con.sql(registry.ORACLES[name]).df()
+    got = registry.QUERIES[name](spark, SF).toPandas()
     columns = sorted(want.columns)
     assert sorted(got.columns) == columns
     rows = lambda df: sorted(map(repr, df[columns].astype(object).where(df[columns].notna(), None).itertuples(index=False, name=None)))

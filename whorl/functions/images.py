@@ -6,20 +6,27 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Leading bytes of the image formats, as hexadecimal text.
-SIGNATURES = {"png": "89504E470D0A1A0A", "jpeg": "FFD8FF", "gif": "47494638", "bmp": "424D", "wsq": "FFA0FFA8", "j2k": "FF4FFF51", "jp2": "0000000C6A5020200D0A870A", "tiff-le": "49492A00", "tiff-be": "4D4D002A"}
+SIGNATURES = {"png": "89504E47", "jpeg": "FFD8FF", "gif": "474946", "bmp": "424D", "wsq": "FFA0FFA8", "j2k": "FF4FFF51", "jp2": "0000000C6A502020", "tiff-le": "49492A00", "tiff-be": "4D4D002A"}
 # File endings of transaction files.
 TRANSACTION_ENDINGS = ("nist", "nst", "an2", "eft")
 
 
 def image_format(data: Column) -> Column:
-    """Format by leading bytes, or null."""
-    head = F.hex(F.substring(data, 1, 12))
-    found = F.when(F.startswith(head, F.lit("52494646")) & (F.substring(head, 17, 8) == "57454250"), "webp")
+    """Format by leading bytes, or null; below four bytes (jp2 and webp: twelve) there is none."""
+    head, size = F.hex(F.substring(data, 1, 12)), F.octet_length(data)
+    found = F.when((size >= 12) & F.startswith(head, F.lit("52494646")) & (F.substring(head, 17, 8) == "57454250"), "webp")
     for name, mark in SIGNATURES.items():
-        found = found.when(F.startswith(head, F.lit(mark)), name)
+        found = found.when((size >= (12 if name == "jp2" else 4)) & F.startswith(head, F.lit(mark)), name)
     return found
 
 
+def embedded_offset(data: Column) -> Column:
+    """First offset from 1 on at which a signature begins, or null; webp has none of its own."""
+    rest = F.decode(F.substring(data, 2, 2**31 - 1), "ISO-8859-1")
+    found = [F.nullif(F.instr(rest, bytes.fromhex(mark).decode("latin-1")), F.lit(0)) for mark in SIGNATURES.values()]
+    return F.least(*found)
+
+
 def route(path: Column) -> Column:
     """``transaction`` or ``image``, by the path's ending."""
     ending = F.lower(F.element_at(F.split(path, r"\."), -1))
@@ -27,9 +34,13 @@ def route(path: Column) -> Column:
 
 
 def comment_fields(text: Column) -> Column:
-    """Array of (key, value) of the lines of a NIST_COM comment, in order."""
-    lines = F.filter(F.split(text, r"[\r\n]+"), lambda x: F.instr(x, " ") > 1)
-    pairs = F.transform(lines, lambda x: F.struct(F.substring_index(x, " ", 1).alias("key"), F.trim(F.substring(x, F.instr(x, " ") + 1, F.length(x))).alias("value")))
+    """Array of (key, value) of the lines of a NIST_COM comment, in order.
+
+    Lines are trimmed; a key ends at the first blank or tab; lines without a
+    value are left out.
+    """
+    lines = F.filter(F.transform(F.split(text, r"[\r\n]+"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: x.rlike(r"^[^ \t]+[ \t]+\S"))
+    pairs = F.transform(lines, lambda x: F.struct(F.regexp_extract(x, r"^([^ \t]+)", 1).alias("key"), F.regexp_extract(x, r"^[^ \t]+\s+(.*)$", 1).alias("value")))
     return F.when(F.startswith(text, F.lit("NIST_COM")), pairs).otherwise(F.array().cast("array<struct<key:string,value:string>>"))
 
 
@@ -43,6 +54,12 @@ def ppi(text: Column, default: int = 500) -> Column:
     return F.coalesce(comment_value(text, "PPI").try_cast("int"), F.lit(default))
 
 
+def ppi_of(comments: Column, default: int = 500) -> Column:
+    """Resolution of the first of several comments that states one as a whole number."""
+    stated = F.filter(F.transform(comments, lambda text: comment_value(text, "PPI").try_cast("int")), lambda v: v.isNotNull())
+    return F.coalesce(F.get(stated, 0), F.lit(default))
+
+
 def quantize(c: Column, bin_: Column, zero: Column) -> Column:
     """Index of a coefficient: 0 inside the zero bin, else truncated towards it."""
     part = lambda v: F.when(v >= 0, F.floor(v)).otherwise(F.ceil(v)).cast("long")

@@ -42,7 +42,7 @@ def _announced(record: bytes) -> tuple[list[int | None], int | None]:
     return types, (1010 if b"" in items else 1011) if None in types else None
 
 
-def _frames(content: bytes) -> list[dict]:
+def frames(content: bytes) -> list[dict]:
     """Logical records of one file; one that cannot be framed holds the rest and is the last."""
     out, at, types = [], 0, []
     while at < len(content):
@@ -80,7 +80,7 @@ def _framed(content: Column) -> Column:
     kind = pa.list_(pa.struct([("type", pa.int32()), ("byte_offset", pa.int64()), ("size", pa.int64()), ("fielded", pa.bool_()), ("data", pa.binary()), ("error", pa.int32())]))
 
     def run(files: pa.Array) -> pa.Array:
-        return pa.array([None if f is None else _frames(f) for f in files.to_pylist()], kind)
+        return pa.array([None if f is None else frames(f) for f in files.to_pylist()], kind)
 
     return F.arrow_udf(run, "array<struct<type:int,byte_offset:bigint,size:bigint,fielded:boolean,data:binary,error:int>>")(content)
 
@@ -105,6 +105,60 @@ def decode_files(files: DataFrame, path_col: str = "path", content_col: str = "c
     return rows.select("path", "record_index", "r.type", "r.byte_offset", "r.size", pieces.alias("pieces"), "r.error", F.when(~F.col("r.fielded"), F.col("r.data")).alias("data"))
 
 
+def inspect_fields(fields: DataFrame) -> DataFrame:
+    """path, record_index, field_index, tag, preview, ``n_subfields`` and ``n_items`` of every field."""
+    value = F.col("value")
+    return fields.select("path", "record_index", "field_index", nist.tag(F.col("record_type"), F.col("field_number")).alias("tag"), nist.preview(value).alias("preview"), F.size(nist.subfields(value)).cast("long").alias("n_subfields"), nist.item_count(value).cast("long").alias("n_items"))
+
+
+def inspect_files(records: DataFrame) -> DataFrame:
+    """One row per file: ``record_count``, ``field_count``, ``opaque_count``, ``version`` (1.002), ``content`` (1.003) and the first error."""
+    first = lambda tag: F.max(F.when(F.col("record_index") == 0, F.regexp_replace(F.get(F.filter("pieces", lambda p: F.startswith(p, F.lit(tag))), 0), f"^{tag}", "")))
+    return records.groupBy("path").agg(F.count("*").alias("record_count"), F.sum(F.size("pieces")).cast("long").alias("field_count"), F.count_if(F.col("data").isNotNull() & F.col("error").isNull()).alias("opaque_count"), first("1.002:").alias("version"), first("1.003:").alias("content"), F.min_by("error", F.when(F.col("error").isNotNull(), F.col("record_index"))).alias("error"))
+
+
+def encode_files(records: DataFrame) -> DataFrame:
+    """path, content: the files of decoded records. Fielded ones get their lengths anew, binary ones are kept as they are.
+
+    A file is put together in one row, as it was read.
+    """
+    at = lambda p: F.instr(p, ":")
+    field = lambda p: F.struct(nist.parse_tag(F.substring(p, F.lit(1), at(p) - 1))["record_type"].alias("record_type"), nist.parse_tag(F.substring(p, F.lit(1), at(p) - 1))["field_number"].alias("field_number"), F.substring(p, at(p) + 1, F.length(p)).alias("value"))
+    encoded = F.coalesce(F.col("data"), nist.latin1(encode_record(F.transform("pieces", field))))
+    held = records.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("record_index", encoded.alias("bytes")))).alias("records"))
+    return held.select("path", F.aggregate("records", F.lit(b"").cast("binary"), lambda a, r: F.concat(a, r["bytes"])).alias("content"))
+
+
+def find_records(records: DataFrame, record_type: int) -> DataFrame:
+    """Records of one type, in the order of their files."""
+    return records.where(F.col("type") == record_type)
+
+
+def mixed_records(records: DataFrame) -> DataFrame:
+    """path, record_index of the records that name several record types; the error of a file is never thrown."""
+    return records.where(nist.mixed_types(F.col("pieces"))).select("path", "record_index")
+
+
+def named_fields(fields: DataFrame, catalogue: DataFrame) -> DataFrame:
+    """Fields with ``label`` and ``mnemonic`` of a catalogue (record_type, field_number, label, mnemonic).
+
+    A catalogue row without a record type holds for all types; fields in
+    neither are called ``Field nnn``. The catalogue is a list of the standard
+    and is broadcast below ``CATALOGUE`` rows.
+    """
+    small = catalogue.limit(CATALOGUE + 1).count() <= CATALOGUE
+    held = F.broadcast(catalogue) if small else catalogue
+    own = held.where("record_type is not null").select("record_type", "field_number", F.struct("label", "mnemonic").alias("own"))
+    general = held.where("record_type is null").select("field_number", F.struct("label", "mnemonic").alias("general"))
+    both = fields.join(own, ["record_type", "field_number"], "left").join(general, "field_number", "left")
+    pick = lambda c: F.coalesce(F.col(f"own.{c}"), F.col(f"general.{c}"))
+    return both.select(*fields.columns, F.coalesce(pick("label"), F.format_string("Field %03d", "field_number")).alias("label"), pick("mnemonic").alias("mnemonic"))
+
+
+#: Rows up to which a field catalogue is broadcast.
+CATALOGUE = 100_000
+
+
 def fields_of(records: DataFrame) -> DataFrame:
     """One row per field: record_type, field_number and value."""
     each = records.select("path", "record_index", F.posexplode("pieces").alias("field_index", "piece"))

@@ -71,7 +71,8 @@ def n20_binary_header(spark, sf_dir):
 
 
 def n25_preview(spark, sf_dir):
-    value = F.replace(F.col("o_orderpriority"), F.lit("-"), F.lit(nist.US))
+    key = F.col("o_orderkey")
+    value = F.concat(F.replace(F.col("o_orderpriority"), F.lit("-"), F.lit(nist.US)), F.when(key % 3 == 0, F.repeat(F.lit("x"), (key % 120).cast("int"))).when(key % 3 == 1, F.lit("\x00")).otherwise(""))
     return _table(spark, sf_dir, "orders").select("o_orderkey", nist.preview(value).alias("preview"), nist.is_binary_like(value).alias("binary_like"))
 
 
@@ -84,7 +85,7 @@ def c_report_difference(spark, sf_dir):
     wide = parts.select(F.concat(F.lit("a/"), F.col("p_partkey").cast("string")).alias("filename"), F.col("p_size").cast("string").alias("size"), (F.col("p_partkey") % 7).cast("string").alias("score"))
     key = F.col("p_partkey")
     other = parts.where(key % 101 != 0).select(F.concat(F.lit("b/"), key.cast("string")).alias("filename"), F.col("p_size").cast("string").alias("size"), F.when(key % 17 == 0, "x").otherwise((key % 7).cast("string")).alias("score"))
-    return reports.differences(wide, other, ["size", "score"])
+    return reports.compare(wide, other, ["size", "score"], "filename")
 
 
 def n23_image_format(spark, sf_dir):
@@ -101,7 +102,7 @@ def n27_routing(spark, sf_dir):
 
 def w4_ppi(spark, sf_dir):
     key = F.col("p_partkey")
-    text = F.concat(F.when(key % 7 == 0, "other").otherwise("NIST_COM 9"), F.lit("\nPIX_WIDTH "), F.col("p_size").cast("string"), F.when(key % 3 == 0, "\nPPI -1").when(key % 3 == 1, F.concat(F.lit("\nPPI 9\nPPI "), (key % 1000).cast("string"))).otherwise("\nPPI x"))
+    text = F.concat(F.when(key % 7 == 0, "other").otherwise("NIST_COM 9"), F.lit("\n  PIX_WIDTH\t"), F.col("p_size").cast("string"), F.when(key % 3 == 0, "\r\nPPI -1\nPPI \n").when(key % 3 == 1, F.concat(F.lit("\nPPI 9\n PPI\t"), (key % 1000).cast("string"), F.lit(" "))).otherwise("\nPPI x"))
     return _table(spark, sf_dir, "part").select("p_partkey", images.ppi(text).cast("long").alias("ppi"), images.comment_value(text, "PIX_WIDTH").alias("width"))
 
 
@@ -184,7 +185,7 @@ firsts as (select o_orderkey, coalesce(n, 0) as n, coalesce(bytes, 0) as bytes,
 files as (select o_orderkey, n, bytes, rest + case when rest + 2 < 100 then 2 else 3 end as size from firsts)"""
 _SIZES = _SIZES.replace("7 + 8 + 7 + length(v) + 1 as rest", "6 + (7 + 2) + (7 + length(v)) + 1 as rest")
 
-_C = "with x as (select p_partkey, unnest(range(0, 200)) as i from part where p_partkey % 50 = 0), c as (select p_partkey, i, cast(case when (i + p_partkey) % 5 < 3 then 0 else (i + p_partkey) * (i + p_partkey) % 401 - 200 end as double) as c from x)"
+_C = "with x as (select p_partkey, unnest(range(0, 200)) as i from part), c as (select p_partkey, i, cast(case when (i + p_partkey) % 5 < 3 then 0 else (i + p_partkey) * (i + p_partkey) % 401 - 200 end as double) as c from x)"
 _Q = "cast(case when abs(c) <= 5 then 0 when c > 0 then trunc((c - 5) / 8 + 1) else trunc((c + 5) / 8 - 1) end as bigint)"
 
 ORACLES = {
@@ -196,9 +197,9 @@ ORACLES = {
     "n11_tags": "select o_orderkey, cast(o_orderkey % 100 as varchar) || '.' || lpad(cast(o_custkey % 1000 as varchar), 3, '0') as tag, cast(o_custkey % 1000 as bigint) as field_number from orders",
     "n18_inspection": f"with {_SIZES}, lasts as (select l_orderkey, arg_max(size, v) as last from (select second.l_orderkey, lines.v, 24 + length(lines.v) - 1 as x, 23 + length(lines.v) + case when 25 + length(lines.v) < 100 then 2 else 3 end as size from lines join (select distinct l_orderkey from second) second using (l_orderkey)) group by 1) select o_orderkey as path, 1 + n as record_count, cast(case when n = 0 then 0 else size + bytes - last end as bigint) as last_offset, cast(6 + 3 * n as bigint) as field_count from files left join lasts on l_orderkey = o_orderkey",
     "n20_binary_header": "select o_orderkey, 28::bigint as length, cast(o_orderkey % 256 as bigint) as idc, cast(case when o_orderkey % 11 = 0 then 0 else 1 end as bigint) as n_fgp, cast(o_orderkey % 65536 as bigint) as hll, 500::bigint as vll, 10::bigint as payload from orders",
-    "n25_preview": "select o_orderkey, replace(o_orderpriority, '-', ' | ') as preview, false as binary_like from orders",
+    "n25_preview": "with v as (select o_orderkey, replace(o_orderpriority, '-', ' | ') || case o_orderkey % 3 when 0 then repeat('x', o_orderkey % 120) when 1 then chr(0) else '' end as p from orders) select o_orderkey, case when length(p) > 96 then left(p, 95) || '…' else p end as preview, o_orderkey % 3 = 1 as binary_like from v",
     "q_histogram": "select l_partkey as image_id, cast(case when l_discount < 0.01 then 0 when l_discount < 0.03 then 1 when l_discount < 0.05 then 2 when l_discount < 0.07 then 3 when l_discount < 0.09 then 4 else 5 end as bigint) as bin, count(*) as n from lineitem group by 1, 2",
-    "c_report_difference": "with p as (select cast(p_partkey as varchar) as k, p_partkey, cast(p_size as varchar) as size, cast(p_partkey % 7 as varchar) as score from part) select k as filename, 'row' as \"column\", 'present' as expected, null as actual from p where p_partkey % 101 = 0 union all select k, 'score', score, 'x' from p where p_partkey % 17 = 0 and p_partkey % 101 <> 0",
+    "c_report_difference": "with p as (select cast(p_partkey as varchar) as k, p_partkey, cast(p_size as varchar) as size, cast(p_partkey % 7 as varchar) as score from part) select k as filename, 'filename' as \"column\", k as expected, null as actual from p where p_partkey % 101 = 0 union all select '*', '__metadata__', count(*)::varchar, (count(*) filter (where p_partkey % 101 <> 0))::varchar from p having count(*) filter (where p_partkey % 101 = 0) > 0 union all select k, 'score', score, 'x' from p where p_partkey % 17 = 0 and p_partkey % 101 <> 0",
     "n23_image_format": "select p_partkey, [" + ", ".join(f"'{k}'" for k in images.SIGNATURES) + f"][1 + p_partkey % {len(images.SIGNATURES) + 1}] as format from part",
     "n27_routing": "select case when p_partkey % 5 in (0, 1, 4) then 'transaction' else 'image' end as kind, count(*) as n from part group by 1",
     "w4_ppi": "select p_partkey, cast(case when p_partkey % 7 = 0 then 500 when p_partkey % 3 = 0 then -1 when p_partkey % 3 = 1 then p_partkey % 1000 else 500 end as bigint) as ppi, case when p_partkey % 7 <> 0 then cast(p_size as varchar) end as width from part",
