@@ -16,6 +16,11 @@ IMAGE_TYPES = (10, 13, 14, 15, 16, 17)
 SHOWN_PIXELS, SHOWN_BYTES = 4_000_000, 12 << 20
 
 
+def bound(value: Column, body) -> Column:
+    """Evaluates ``value`` once and gives it to ``body``."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def subfields(value: Column) -> Column:
     """Array of subfields, each an array of items; empty parts are kept."""
     return F.transform(F.split(value, RS, -1), lambda s: F.split(s, US, -1))

