@@ -60,6 +60,8 @@ GROUPS = 256
 CELL = 512
 #: Members above which a cell is hot, and pairs that one copy of a hub's text serves.
 HOT, CHUNK = 64, 1000
+#: Bits of the filter on digests (8 MB at most, whatever the input).
+BITS = 1 << 26
 #: Rows of cells that one tree task is given.
 TASK = 50_000
 #: Share of links among the tried pairs below which hub rounds end.
@@ -355,6 +357,25 @@ def _rest(named: DataFrame, points: DataFrame, percent: int, nearest: int, scrat
     return found
 
 
+def _texts(docs: DataFrame, points: DataFrame, scratch: Scratch) -> DataFrame:
+    """digest, text: one row per text that verification may ask for.
+
+    A bitmap of the points' hashed digests, at most ``BITS`` bits, lets the scan
+    leave out nearly all other texts before they are shuffled; what it lets
+    through by chance goes in the exact join. Copies are merged within each
+    task of the scan, so a large group sends one text a task.
+    """
+    bit = lambda digest: F.pmod(F.xxhash64(digest), F.lit(BITS)) + 1
+    mark = bit("digest")
+    bitmap = points.groupBy(F.bitmap_bucket_number(mark).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(mark)).alias("bits"))
+    bitmap = scratch.save(bitmap, "bitmap")
+    every = docs.select(_digest("text"), F.col("text").cast("binary").alias("text"))
+    every = every.withColumn("bucket", F.bitmap_bucket_number(bit("digest"))).withColumn("at", F.bitmap_bit_position(bit("digest")))
+    is_set = F.expr("getbit(cast(conv(hex(substring(bits, cast(at div 8 as int) + 1, 1)), 16, 10) as bigint), cast(at % 8 as int)) = 1")
+    asked = every.join(F.broadcast(bitmap), "bucket").where(is_set).select("digest", "text")
+    return asked.dropDuplicates(["digest"]).join(points.select("digest"), "digest", "left_semi")
+
+
 def _linked(cells: DataFrame, points: DataFrame, texts: DataFrame, words: int, percent: int, scratch: Scratch) -> DataFrame | None:
     """(cls, label) of the classes with links: hub rounds while they pay, then trees."""
     links = labels = None
@@ -406,9 +427,9 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     cells = _cells(sketched.where("size(keys) > 0"), scratch)
     points = sketched.where("vec is not null").join(cells.select("cls").distinct(), "cls", "left_semi").groupBy("cls").agg(F.min("digest").alias("digest"), F.first("n").alias("n"), F.first("vec").alias("vec"))
     points = scratch.save(points, "points")
-    texts = docs.select(_digest("text"), F.col("text").cast("binary").alias("text")).join(points.select("digest"), "digest", "left_semi").dropDuplicates(["digest"])
-    labels = _linked(cells, points, scratch.save(texts, "texts"), words, percent, scratch)
-    scratch.drop("cells", "texts", "points")
+    texts = scratch.save(_texts(docs, points, scratch), "texts")
+    labels = _linked(cells, points, texts, words, percent, scratch)
+    scratch.drop("cells", "texts", "points", "bitmap")
     ids = sketched.where("n > 0").groupBy("cls").agg(F.min("id").alias("id"))
     named = ids.withColumn("label", F.col("cls")) if labels is None else ids.join(labels, "cls", "left").select("cls", "id", F.coalesce("label", "cls").alias("label"))
     least = named.groupBy("label").agg(F.min("id").alias("component_id"))
