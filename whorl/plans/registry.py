@@ -1,6 +1,6 @@
 """All queries of the library, outside the training-data part, with their SQL."""
 
-from . import bridges, features, formats, records
+from . import bridges, codestreams, features, formats, records
 
-QUERIES = bridges.QUERIES | records.QUERIES | features.QUERIES | formats.QUERIES
-ORACLES = bridges.ORACLES | records.ORACLES | features.ORACLES | formats.ORACLES
+QUERIES = bridges.QUERIES | records.QUERIES | features.QUERIES | formats.QUERIES | codestreams.QUERIES
+ORACLES = bridges.ORACLES | records.ORACLES | features.ORACLES | formats.ORACLES | codestreams.ORACLES
