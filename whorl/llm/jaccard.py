@@ -62,6 +62,8 @@ CELL = 512
 HOT, CHUNK = 64, 1000
 #: Bits of the filter on digests (8 MB at most, whatever the input).
 BITS = 1 << 26
+#: Bits of a directory key.
+KEY_BITS = 48
 #: Rows of cells that one tree task is given.
 TASK = 50_000
 #: Share of links among the tried pairs below which hub rounds end.
@@ -88,7 +90,10 @@ def unshared(percent: int, total: int) -> int:
 def directory_keys(s: np.ndarray, percent: int) -> tuple[np.ndarray, list[int]]:
     """Keys of the cells that a set belongs to, and how many cells it shares with a partner.
 
-    The low bit of a key is that of its level; the two counts are by that bit.
+    The cells of a level serve pairs of sets from the level below it and of one
+    from each; pairs from the level itself meet at the next one. Keys have
+    ``KEY_BITS`` bits: two that are equal by chance cost a bound test and lose
+    nothing. The low bit of a key is that of its level; the two counts are by that bit.
     With m groups and at most d of them differing, linked sets agree in m - d
     groups, of which no more are empty than the set has empty groups.
     """
@@ -96,7 +101,7 @@ def directory_keys(s: np.ndarray, percent: int) -> tuple[np.ndarray, list[int]]:
     own = int(np.searchsorted(edges, len(s), side="right")) - 1
     keys, least, spread, value = [], [1, 1], mix(s, 7), mix(s, 11)
     for level in (own, own + 1):
-        differing = unshared(percent, 2 * (int(edges[level + 1]) - 1))
+        differing = unshared(percent, int(edges[level]) + int(edges[level + 1]) - 2)
         if not differing:  # only equal sets link at this size
             continue
         spare = 1 + differing // 4
@@ -105,7 +110,7 @@ def directory_keys(s: np.ndarray, percent: int) -> tuple[np.ndarray, list[int]]:
         sizes, content = np.bincount(group, minlength=m), np.zeros(m, _U)
         np.add.at(content, group, value)
         key = mix(content + np.arange(m).astype(_U) * _U(0x632BE59BD9B4E019), 100 + level)
-        key = key & ~_U(1) | _U(level & 1)
+        key = (key >> _U(64 - KEY_BITS)) & ~_U(1) | _U(level & 1)
         empty = int((sizes == 0).sum())
         least[level & 1] = max(1, m - differing - empty)
         # Up to ``spare`` groups empty in both sets cannot use up the groups that must agree.
@@ -427,14 +432,16 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     cells = _cells(sketched.where("size(keys) > 0"), scratch)
     points = sketched.where("vec is not null").join(cells.select("cls").distinct(), "cls", "left_semi").groupBy("cls").agg(F.min("digest").alias("digest"), F.first("n").alias("n"), F.first("vec").alias("vec"))
     points = scratch.save(points, "points")
+    rows = scratch.save(sketched.select("id", "n", "cls", "digest"), "rows")
+    scratch.drop("sketch")
     texts = scratch.save(_texts(docs, points, scratch), "texts")
     labels = _linked(cells, points, texts, words, percent, scratch)
     scratch.drop("cells", "texts", "points", "bitmap")
-    ids = sketched.where("n > 0").groupBy("cls").agg(F.min("id").alias("id"))
+    ids = rows.where("n > 0").groupBy("cls").agg(F.min("id").alias("id"))
     named = ids.withColumn("label", F.col("cls")) if labels is None else ids.join(labels, "cls", "left").select("cls", "id", F.coalesce("label", "cls").alias("label"))
     least = named.groupBy("label").agg(F.min("id").alias("component_id"))
     classes = named.join(least, "label").select("cls", "component_id", F.col("label").alias("component"))
-    rows = sketched.select(F.col("id").alias(f"{OWN}id"), "n", "cls", "digest")
+    rows = rows.withColumnRenamed("id", f"{OWN}id")
     linked = rows.where("n > 0").join(classes, "cls").select(f"{OWN}id", "n", "component_id", "component", "digest")
     alone = rows.where("n = 0").select(f"{OWN}id", "n", F.col(f"{OWN}id").alias("component_id"), F.lit(None).cast("long").alias("component"), "digest")
     return linked.union(alone).select(F.col(f"{OWN}id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", "component", F.lower(F.hex("digest")).alias("digest"))
