@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import licenses, quality, sharding
+from . import filter_audit, licenses, quality, sharding
 
 
 def _quote(text: str) -> str:
@@ -72,4 +72,23 @@ hits as (select r, list, action, kind, key, valid_from from asked join entries u
 select page_id, url, cast(fetched as bigint) as fetched, coalesce(action, 'none') as verdict, list, kind, key, cast(valid_from as bigint) as valid_from from p left join hits using (r)"""
 
 
-ORACLES = {"op2_url_lists": url_sql(), "op3_license_scan": license_sql(), "op6_extendible_shards": sharding.SQL, "op7_quality_rules": quality_sql()}
+def audit_sql() -> str:
+    """Counts by the combination of flags, then every order step by step on those counts."""
+    word = "'[\\x20\\x09-\\x0D]+'"
+    steps = ", ".join(f"('{order}', {step}, '{letter}', {mask})" for order, step, letter, mask in filter_audit.order_steps())
+    bits = " + ".join(f"{k}::int * {1 << i}" for i, k in enumerate(filter_audit.FILTERS))
+    return f"""
+with d as (select doc_id, coalesce(lang, '') as part, coalesce(text, '') as t from documents),
+w as (select *, list_filter(regexp_split_to_array(t, {word}), lambda x: x <> '') as ws, min(doc_id) over (partition by t) as first from d),
+l as (select doc_id, max((quality = 1)::int) as good, max((toxic = 1)::int) as toxic from labels where doc_id is not null group by 1),
+f as (select part, len(ws) < 200 as A, 100 * len(list_distinct(ws)) < 50 * len(ws) as B, 100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 3 * length(t) as C, regexp_matches(t, '[#$%&*|]') as D, coalesce(doc_id > first, false) as E, coalesce(good, 0) as good, coalesce(toxic, 0) as toxic from w left join l using (doc_id)),
+c as (select part, {bits} as fails, count(*) as n, sum(good) as good, sum(toxic) as toxic from f group by 1, 2),
+s as (select * from (values {steps}) v(filter_order, step, letter, before)),
+x as (select part, filter_order, step, letter, 1 << (instr('ABCDE', letter) - 1) as bit, before, fails, n, good, toxic from c, s),
+y as (select part, filter_order, step, letter,
+ sum(n) filter (where fails & (before | bit) = 0) as kept, sum(n) filter (where fails & before = 0 and fails & bit > 0) as removed, sum(n) filter (where fails & before > 0 and fails & bit > 0) as redundant, sum(n) filter (where fails = bit) as unique_fails,
+ sum(good) filter (where fails & before = 0 and fails & bit > 0) as good_lost, sum(toxic) filter (where fails & before = 0 and fails & bit > 0) as toxic_lost from x group by all)
+select part, filter_order, cast(step as integer) as step, {", ".join(f"cast(coalesce({c}, 0) as bigint) as {c}" for c in ("kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost"))}, cast(coalesce(sum(removed) over (partition by part, letter), 0) as bigint) as shapley from y"""
+
+
+ORACLES = {"op11_filter_audit": audit_sql(), "op2_url_lists": url_sql(), "op3_license_scan": license_sql(), "op6_extendible_shards": sharding.SQL, "op7_quality_rules": quality_sql()}

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, jaccard, licenses, pii, quality, secrets, sharding, tokens, url_lists
-from .common import table
+from . import decontaminate, filter_audit, html_text, jaccard, licenses, periodic, pii, quality, secrets, sharding, token_files, tokens, url_lists
+from .common import Scratch, table
 from .oracles import ORACLES  # noqa: F401
 
 
@@ -80,4 +80,24 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.span_columns(pii.pii_spans(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_url_lists, op3_license_scan, op4_main_text, op5_byte_bpe, op6_extendible_shards, op7_quality_rules, op8_secret_scan, op9_ngram_jaccard, op10_pii)}
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """600 rows per language: every step of every order of the five filters."""
+    return filter_audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes all texts as files of ids in the shared folder, reads them back and sums what was read."""
+    import public_tokenizers
+
+    folder = f"{Scratch(spark, 'token-files').root}/ids"
+    token_files.write_token_files(table(spark, sf_dir, "documents"), folder, public_tokenizers.path("word_bpe_49k.json"))
+    return token_files.document_sums(token_files.read_token_files(spark, folder))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of all texts, of which a tenth by the digest of the id gets a run planted, as digests."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return periodic.run_digests(periodic.periodic_runs(docs.withColumn("text", periodic.planted(docs.doc_id, docs.text))))
+
+
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_url_lists, op3_license_scan, op4_main_text, op5_byte_bpe, op6_extendible_shards, op7_quality_rules, op8_secret_scan, op9_ngram_jaccard, op10_pii, op11_filter_audit, op12_token_files, op13_periodic_runs)}
