@@ -99,13 +99,16 @@ def test_planes_and_files_round_trip(bits):
         token_files.FileReader(io.BytesIO(stream.getvalue()[:-1]))
 
 
-def test_encoding_word_by_word_equals_the_library():
+def test_encoding_piece_by_piece_equals_the_library():
     import public_tokenizers
 
     rng = random.Random(11)
     bits = ["a", "Ab", "don't", "'", "s", "é", "é", "́", "İ", "Σ", "12", "…", " ", "\u0085", " ", "\x1c", " ", "  ", "\t", "\n", "\r\n", "<|endoftext|>", "日本", "ﬁ", "<|", "̈", "x" * 90]
-    texts = ["".join(rng.choice(bits) for _ in range(rng.randrange(30))) for _ in range(3000)]
-    own = token_files.WordEncoder(public_tokenizers.path("word_bpe_49k.json"))
+    bits += ["Ünï", "ß", "ǅ", "ª", "½", "²", "…", "–", "€", "'re", "'LL", "we'll", "_", "-", "ſ", "µ", "×", "÷"]
+    latin = [b for b in bits if not token_files._OTHER.search(b)]
+    texts = ["".join(rng.choice(latin) for _ in range(rng.randrange(40))) for _ in range(5000)]
+    texts += ["".join(rng.choice(bits) for _ in range(rng.randrange(30))) for _ in range(3000)]
+    own = token_files.PieceEncoder(public_tokenizers.path("word_bpe_49k.json"))
     assert [ids.tolist() for ids in own.encode(texts, 1)] == plain_ids(texts)
 
 

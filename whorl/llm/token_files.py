@@ -22,17 +22,17 @@ Defined results: null and empty texts have the end id only; rows are ordered by
 id, null ids last, rows that share an id by a hash of the text; repeated rows
 each have their place; strings of special tokens give the ids that the library
 gives them; other columns are dropped, so their names cannot clash; long texts
-are encoded word by word and come out whole; an empty table writes no file.
+are encoded piece by piece and come out whole; an empty table writes no file.
 """
 
 from __future__ import annotations
 
+import os
 import re
 import struct
 import uuid
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -42,10 +42,15 @@ from pyspark.sql import functions as F
 MAGIC = b"WHTOK01\n"
 #: Ids of a block; ids after which a file ends with its document.
 BLOCK, FILE_IDS = 1 << 16, 1 << 24
-#: Words whose ids a task keeps, and the longest of them.
-KNOWN_WORDS, KNOWN_LENGTH = 300_000, 64
+#: Pieces whose ids a worker keeps before it starts anew.
+KNOWN_PIECES = 400_000
 _TRAILER = struct.Struct("<QIIIIBB8s")  # footer offset, footer size, blocks, documents, CRC-32 of the footer, mode, planes, MAGIC
 _BLANK = re.compile(r"[\x20\x09-\x0D]+")
+# Latin letters, digits and common marks; the start of a special token's string is not among them.
+_OTHER = re.compile("[^\t-\r\x20-\x7e\xa1-\u024f\u2010-\u2027\u20ac]|<\\|")
+_LETTERS, _DIGITS = "a-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f", "0-9\xb2\xb3\xb9\xbc-\xbe"
+_PIECE = re.compile(f"[{_LETTERS}]+|'s|'t|'re|'ve|'m|'ll|'d|[{_DIGITS}]|[^\\s{_LETTERS}{_DIGITS}]+")
+_encoders: dict = {}
 _MANIFEST = "shard int, part int, file string, n_docs bigint, n_tokens bigint, n_bytes bigint"
 
 
@@ -165,36 +170,85 @@ class FileReader:
         return np.concatenate(found)
 
 
-class WordEncoder:
-    """Ids of whole texts by the tokenizers library, which encodes each distinct word once.
+class PieceEncoder:
+    """Ids of whole texts by the tokenizers library, which encodes each distinct piece once.
 
-    The library turns white space into borders of words that no pair of pieces
-    crosses, so the ids of a text are those of its words in a row; this holds
-    for tokenizers that drop white space, and is checked on the loaded one.
+    The library splits texts into pieces (stretches of letters, single digits,
+    stretches of marks, contractions) that no merge crosses. Texts in Latin
+    letters are split here in the same way; all others are split at white space
+    only. Each new piece goes through the library; a table keeps its ids. This
+    holds for tokenizers that drop white space and lower their texts, and is checked on the loaded one.
     """
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # one task, one core
         from tokenizers import Tokenizer
 
-        self.own, self.known = Tokenizer.from_file(path), {}
-        whole = self.own.encode("ab 12,\tc\n d", add_special_tokens=False).ids
-        if whole != [i for w in ("ab", "12,", "c", "d") for i in self.own.encode(w, add_special_tokens=False).ids]:
-            raise ValueError("this tokenizer does not encode word by word")
+        self.own = Tokenizer.from_file(path)
+        self._clear()
+        for probe in ("Ab 12,\tc's\n d\u00c9\u00df.", "it's 3\u00bd \u2013 we'll"):
+            if self.encode([probe], 1)[0].tolist() != [*self.own.encode(probe, add_special_tokens=False).ids, 1]:
+                raise ValueError("this tokenizer does not encode piece by piece")
+
+    def _clear(self) -> None:
+        self.known: dict[str, int] = {}
+        self.flat, self.n_flat = np.empty(1 << 16, np.uint32), 0
+        self.starts, self.sizes = np.empty(1 << 16, np.int64), np.empty(1 << 16, np.int64)
+
+    def _add(self, pieces: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        """Appends the ids of new pieces to the table."""
+        first, n = len(self.known), len(pieces)
+        for name, used, more in (("flat", self.n_flat, len(ids)), ("starts", first, n), ("sizes", first, n)):
+            held = getattr(self, name)
+            if used + more > len(held):
+                setattr(self, name, np.concatenate([held[:used], np.empty(used + 2 * more, held.dtype)]))
+        self.flat[self.n_flat : self.n_flat + len(ids)] = ids
+        self.starts[first : first + n] = self.n_flat + np.cumsum(sizes) - sizes
+        self.sizes[first : first + n] = sizes
+        self.n_flat += len(ids)
+        self.known.update(zip(pieces, range(first, first + n), strict=True))
+
+    def _learn(self, split: list[tuple[bool, list[str]]]) -> None:
+        known = self.known
+        new = {latin: list({p for own, ps in split if own == latin for p in ps if p not in known}) for latin in (True, False)}
+        # The library writes bytes as characters; those of ASCII pieces stand for themselves.
+        plain = [p for p in new[True] if p.isascii()]
+        ids = [[t.id for t in self.own.model.tokenize(p)] for p in plain]
+        self._add(plain, np.array([i for x in ids for i in x], np.uint32), np.array([len(x) for x in ids], np.int64))
+        other = [p for p in new[True] if not p.isascii()]
+        for at in range(0, len(other), 8192):
+            part = other[at : at + 8192]
+            made = self.own.encode("\n".join(part), add_special_tokens=False)
+            sizes = np.bincount(np.array(made.word_ids, np.int64), minlength=len(part))
+            self._add(part, np.array(made.ids, np.uint32), sizes)
+        for piece in new[False]:
+            ids = self.own.encode(piece, add_special_tokens=False).ids
+            self._add([piece], np.array(ids, np.uint32), np.array([len(ids)]))
 
     def encode(self, texts: list[str], end_id: int) -> list[np.ndarray]:
-        split = [[w for w in _BLANK.split(t) if w] for t in texts]
-        if len(self.known) > KNOWN_WORDS:
-            self.known.clear()
-        new = list({w for ws in split for w in ws}.difference(self.known))
-        known = self.known
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            known.update(zip(part, (e.ids for e in self.own.encode_batch(part, add_special_tokens=False)), strict=True))
-        found = [np.fromiter(chain.from_iterable(map(known.__getitem__, ws)), np.uint32) for ws in split]
-        for word in new:
-            if len(word) > KNOWN_LENGTH:
-                del known[word]
-        return [np.append(ids, np.uint32(end_id)) for ids in found]
+        # A word of another script is marked by a blank, so it cannot meet a piece of the same form.
+        split = [(False, [f"{w} " for w in _BLANK.split(t) if w]) if _OTHER.search(t) else (True, _PIECE.findall(t.lower())) for t in texts]
+        if len(self.known) > KNOWN_PIECES:
+            self._clear()
+        self._learn(split)
+        found = []
+        for _, pieces in split:
+            at = np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))
+            size = self.sizes[at]
+            end = np.cumsum(size)
+            total = int(end[-1]) if len(end) else 0
+            ids = np.empty(total + 1, np.uint32)
+            ids[:total] = self.flat[np.repeat(self.starts[at] - end + size, size) + np.arange(total)]
+            ids[total] = end_id
+            found.append(ids)
+        return found
+
+
+def encoder(path: str) -> PieceEncoder:
+    """The encoder of a local file; kept per worker process."""
+    if path not in _encoders:
+        _encoders[path] = PieceEncoder(path)
+    return _encoders[path]
 
 
 def open_folder(uri: str):
@@ -215,7 +269,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        shard, writer, part, own = TaskContext.get().partitionId(), None, 0, WordEncoder(tokenizer)
+        shard, writer, part, own = TaskContext.get().partitionId(), None, 0, encoder(tokenizer)
         store, root = open_folder(folder)
 
         def end() -> pa.RecordBatch:
