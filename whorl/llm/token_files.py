@@ -28,14 +28,15 @@ are encoded piece by piece and come out whole; an empty table writes no file.
 from __future__ import annotations
 
 import os
-import re
 import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -45,11 +46,10 @@ BLOCK, FILE_IDS = 1 << 16, 1 << 24
 #: Pieces whose ids a worker keeps before it starts anew.
 KNOWN_PIECES = 400_000
 _TRAILER = struct.Struct("<QIIIIBB8s")  # footer offset, footer size, blocks, documents, CRC-32 of the footer, mode, planes, MAGIC
-_BLANK = re.compile(r"[\x20\x09-\x0D]+")
-# Latin letters, digits and common marks; the start of a special token's string is not among them.
-_OTHER = re.compile("[^\t-\r\x20-\x7e\xa1-\u024f\u2010-\u2027\u20ac]|<\\|")
-_LETTERS, _DIGITS = "a-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f", "0-9\xb2\xb3\xb9\xbc-\xbe"
-_PIECE = re.compile(f"[{_LETTERS}]+|'s|'t|'re|'ve|'m|'ll|'d|[{_DIGITS}]|[^\\s{_LETTERS}{_DIGITS}]+")
+# Latin letters that lower to one letter, digits and common marks; the start of a special token's string is not among them.
+_OTHER = r"[^\t-\r\x20-\x7e\x{a1}-\x{12f}\x{131}-\x{24f}\x{2010}-\x{2027}\x{20ac}]|<\|"
+_LETTERS, _DIGITS = r"a-z\x{aa}\x{b5}\x{ba}\x{df}-\x{f6}\x{f8}-\x{24f}", r"0-9\x{b2}\x{b3}\x{b9}\x{bc}-\x{be}"
+_PIECE = rf"[{_LETTERS}]+|'s|'t|'re|'ve|'m|'ll|'d|[{_DIGITS}]|[^\s{_LETTERS}{_DIGITS}]+"
 _encoders: dict = {}
 _MANIFEST = "shard int, part int, file string, n_docs bigint, n_tokens bigint, n_bytes bigint"
 
@@ -100,7 +100,7 @@ class FileWriter:
             self.held, self.n_held = [flat[whole:]], len(flat) - whole
 
     def _write(self, ids: np.ndarray) -> None:
-        packed = [self.pack(plane) if any(plane) else b"" for plane in to_planes(ids, self.bits)]
+        packed = [self.pack(plane) if plane.count(0) < len(plane) else b"" for plane in to_planes(ids, self.bits)]
         self.blocks.append((self.offset, len(ids), [len(p) for p in packed]))
         self.stream.write(b"".join(packed))
         self.offset += sum(map(len, packed))
@@ -170,14 +170,27 @@ class FileReader:
         return np.concatenate(found)
 
 
+class _Table(dict):
+    """Numbers strings by their first sight; ``new`` holds those without ids so far."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, piece: str) -> int:
+        self.new.append(piece)
+        return self.setdefault(piece, len(self))
+
+
 class PieceEncoder:
     """Ids of whole texts by the tokenizers library, which encodes each distinct piece once.
 
     The library splits texts into pieces (stretches of letters, single digits,
     stretches of marks, contractions) that no merge crosses. Texts in Latin
-    letters are split here in the same way; all others are split at white space
-    only. Each new piece goes through the library; a table keeps its ids. This
-    holds for tokenizers that drop white space and lower their texts, and is checked on the loaded one.
+    letters are lowered and split here in the same way, by Arrow; all others are
+    split at white space only. Each new piece goes through the library; a table
+    keeps its ids. This holds for tokenizers that drop white space and lower
+    their texts, and is checked on the loaded one.
     """
 
     def __init__(self, path: str):
@@ -187,17 +200,17 @@ class PieceEncoder:
         self.own = Tokenizer.from_file(path)
         self._clear()
         for probe in ("Ab 12,\tc's\n d\u00c9\u00df.", "it's 3\u00bd \u2013 we'll"):
-            if self.encode([probe], 1)[0].tolist() != [*self.own.encode(probe, add_special_tokens=False).ids, 1]:
+            if self.encode(pa.array([probe]), 1)[0].tolist() != [*self.own.encode(probe, add_special_tokens=False).ids, 1]:
                 raise ValueError("this tokenizer does not encode piece by piece")
 
     def _clear(self) -> None:
-        self.known: dict[str, int] = {}
-        self.flat, self.n_flat = np.empty(1 << 16, np.uint32), 0
+        self.known = _Table()
+        self.flat, self.n_flat, self.n_sizes = np.empty(1 << 16, np.uint32), 0, 0
         self.starts, self.sizes = np.empty(1 << 16, np.int64), np.empty(1 << 16, np.int64)
 
-    def _add(self, pieces: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
-        """Appends the ids of new pieces to the table."""
-        first, n = len(self.known), len(pieces)
+    def _add(self, ids: np.ndarray, sizes: np.ndarray) -> None:
+        """Appends the ids of the next pieces of the table."""
+        first, n = self.n_sizes, len(sizes)
         for name, used, more in (("flat", self.n_flat, len(ids)), ("starts", first, n), ("sizes", first, n)):
             held = getattr(self, name)
             if used + more > len(held):
@@ -205,42 +218,57 @@ class PieceEncoder:
         self.flat[self.n_flat : self.n_flat + len(ids)] = ids
         self.starts[first : first + n] = self.n_flat + np.cumsum(sizes) - sizes
         self.sizes[first : first + n] = sizes
-        self.n_flat += len(ids)
-        self.known.update(zip(pieces, range(first, first + n), strict=True))
+        self.n_flat, self.n_sizes = self.n_flat + len(ids), first + n
 
-    def _learn(self, split: list[tuple[bool, list[str]]]) -> None:
-        known = self.known
-        new = {latin: list({p for own, ps in split if own == latin for p in ps if p not in known}) for latin in (True, False)}
+    def _numbers(self, pieces: list[str], mark: str) -> np.ndarray:
+        """Places of pieces in the table; new ones are encoded. ``mark`` keeps words of other scripts apart."""
+        at = np.fromiter(map(self.known.__getitem__, (p + mark for p in pieces) if mark else pieces), np.int64, len(pieces))
+        new, self.known.new = self.known.new, []
         # The library writes bytes as characters; those of ASCII pieces stand for themselves.
-        plain = [p for p in new[True] if p.isascii()]
-        ids = [[t.id for t in self.own.model.tokenize(p)] for p in plain]
-        self._add(plain, np.array([i for x in ids for i in x], np.uint32), np.array([len(x) for x in ids], np.int64))
-        other = [p for p in new[True] if not p.isascii()]
-        for at in range(0, len(other), 8192):
-            part = other[at : at + 8192]
-            made = self.own.encode("\n".join(part), add_special_tokens=False)
-            sizes = np.bincount(np.array(made.word_ids, np.int64), minlength=len(part))
-            self._add(part, np.array(made.ids, np.uint32), sizes)
-        for piece in new[False]:
-            ids = self.own.encode(piece, add_special_tokens=False).ids
-            self._add([piece], np.array(ids, np.uint32), np.array([len(ids)]))
-
-    def encode(self, texts: list[str], end_id: int) -> list[np.ndarray]:
-        # A word of another script is marked by a blank, so it cannot meet a piece of the same form.
-        split = [(False, [f"{w} " for w in _BLANK.split(t) if w]) if _OTHER.search(t) else (True, _PIECE.findall(t.lower())) for t in texts]
+        plain = [not mark and p.isascii() for p in new]
+        tokenize, ids = self.own.model.tokenize, [None] * len(new)
+        for k, p in enumerate(new):
+            if plain[k]:
+                ids[k] = [t.id for t in tokenize(p)]
+            elif mark:
+                ids[k] = self.own.encode(p, add_special_tokens=False).ids
+        rest = [k for k, x in enumerate(ids) if x is None]
+        for at_once in (rest[i : i + 4096] for i in range(0, len(rest), 4096)):
+            made = self.own.encode("\n".join([new[k] for k in at_once]), add_special_tokens=False)
+            cuts = np.searchsorted(made.word_ids, np.arange(len(at_once) + 1)).tolist()
+            held = made.ids
+            for k, i, j in zip(at_once, cuts, cuts[1:], strict=False):
+                ids[k] = held[i:j]
+        self._add(np.fromiter(chain.from_iterable(ids), np.uint32), np.fromiter(map(len, ids), np.int64, len(ids)))
+        return at
+
+    def _split(self, texts: pa.Array, mark: str) -> tuple[np.ndarray, np.ndarray]:
+        """Table places of all pieces of the texts, and where each text ends among them."""
+        if not mark:
+            texts = pc.replace_substring_regex(pc.utf8_lower(texts), _PIECE, r"\0 ")
+        listed = pc.ascii_split_whitespace(texts)
+        coded = listed.flatten().dictionary_encode()
+        numbers = self._numbers(coded.dictionary.to_pylist(), mark)
+        return numbers[coded.indices.to_numpy(zero_copy_only=False)], np.cumsum(pc.list_value_length(listed).to_numpy(zero_copy_only=False))
+
+    def encode(self, texts: pa.Array, end_id: int) -> list[np.ndarray]:
+        """Ids of each text, ``end_id`` last; null texts are empty."""
         if len(self.known) > KNOWN_PIECES:
             self._clear()
-        self._learn(split)
-        found = []
-        for _, pieces in split:
-            at = np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        other = pc.match_substring_regex(texts, _OTHER)
+        found: list = [None] * len(texts)
+        for mark, chosen in (("", pc.invert(other)), (" ", other)):
+            places = np.flatnonzero(chosen.to_numpy(zero_copy_only=False))
+            if not len(places):
+                continue
+            at, ends = self._split(texts.filter(chosen), mark)
             size = self.sizes[at]
-            end = np.cumsum(size)
-            total = int(end[-1]) if len(end) else 0
-            ids = np.empty(total + 1, np.uint32)
-            ids[:total] = self.flat[np.repeat(self.starts[at] - end + size, size) + np.arange(total)]
-            ids[total] = end_id
-            found.append(ids)
+            stop = np.cumsum(size)
+            ids = self.flat[np.repeat(self.starts[at] - stop + size, size) + np.arange(int(size.sum()))]
+            cuts = np.r_[0, stop][ends]
+            for place, a, b in zip(places, np.r_[0, cuts[:-1]], cuts, strict=True):
+                found[place] = np.append(ids[a:b], np.uint32(end_id))
         return found
 
 
@@ -278,9 +306,9 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
             return pa.RecordBatch.from_arrays([pa.array([v], t.type) for v, t in zip((shard, part, name, len(writer.docs), writer.n_tokens, size), out, strict=True)], schema=out)
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 128):
-                rows = batch.slice(at, 128)
-                for doc_id, ids in zip(rows.column(0).to_pylist(), own.encode([t or "" for t in rows.column(1).to_pylist()], end_id), strict=True):
+            for at in range(0, batch.num_rows, 1024):
+                rows = batch.slice(at, 1024)
+                for doc_id, ids in zip(rows.column(0).to_pylist(), own.encode(rows.column(1), end_id), strict=True):
                     if writer is None:
                         name = f"ids-{shard:06d}-{part:04d}-{uuid.uuid4().hex}.tok"
                         stream = store.open_output_stream(f"{root}/{name}")
