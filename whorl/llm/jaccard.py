@@ -20,7 +20,8 @@ of word shingles. The join runs in these steps, all of them lossless:
    at most the sum of coordinate minima) and are then verified on the texts.
    Components are merged, the first class leaves the cell, cells of a single
    component go, and the next round starts, as long as rounds find links.
-4. Rest. In the cells that are left, classes outside the first one's component
+4. Rest. Cells of more than ``CELL`` members are split by the rarest shingles of
+   their classes (see ``_refined``). In all that are left, classes outside the first one's component
    probe R-trees over the count vectors of bounded parts of the cell; a node is
    entered only if the sum of minima of the probe and the node's upper corner
    reaches the needed overlap. Surviving pairs between different components are
@@ -291,13 +292,63 @@ def _cells(sketched: DataFrame, scratch: Scratch) -> DataFrame:
     rich = counts.join(least, ["cls", "level"]).where("n >= need").select("cls", "level", (F.col("n_hot") < F.col("need")).alias("cool"))
     kept = scratch.save(shared.join(rich, ["cls", "level"]).where("not (hot and cool)").select("key", "cls"), "kept")
     scratch.drop("shared")
-    members = [F.bit_xor(F.xxhash64("cls", F.lit(salt))).alias(f"members{salt}") for salt in (1, 2)]
-    sets = kept.groupBy("key").agg(F.count("*").alias("n"), *members).where("n > 1").groupBy("n", "members1", "members2").agg(F.min("key").alias("key"))
-    cells = scratch.save(kept.join(sets, "key", "left_semi"), "cells")
+    cells = scratch.save(_one_of_each(kept), "cells")
     scratch.drop("kept")
     return cells
 
 
+def _one_of_each(cells: DataFrame) -> DataFrame:
+    """The cells of two members or more, one of those with equal members."""
+    members = [F.bit_xor(F.xxhash64("cls", F.lit(salt))).alias(f"members{salt}") for salt in (1, 2)]
+    sets = cells.groupBy("key").agg(F.count("*").alias("n"), *members).where("n > 1").groupBy("n", "members1", "members2").agg(F.min("key").alias("key"))
+    return cells.join(sets, "key", "left_semi")
+
+
+def rarest(n: Column, percent: int) -> Column:
+    """How many of a set's n shingles, rarest first, hold one that any linked partner has among its own."""
+    return n - F.ceil(n * percent / 100).cast("long") + 1
+
+
+def _refined(cells: DataFrame, labels: DataFrame | None, points: DataFrame, texts: DataFrame, words: int, percent: int, scratch: Scratch) -> DataFrame:
+    """``cells`` with those of over ``CELL`` members split by rare shingles.
+
+    All sets are put into one order, rarest shingles first. Linked sets share
+    at least ``percent`` of the larger one, so they share a shingle among the
+    few rarest of each (``rarest``); classes of large cells therefore need to meet only where
+    those are equal. Texts that have a common part and differ beyond the limit
+    have rare shingles of their own and meet nowhere, however many they are.
+    """
+    named = scratch.save(_named(cells, labels), "wide-named")
+    wide = scratch.save(named.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > CELL).select("key"), "wide")
+    if wide.isEmpty():
+        return named.select("key", "cls")
+    out = pa.schema([("cls", pa.int64()), ("shingles", pa.list_(pa.int64()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                sets = [shingle_set(text.as_py() or b"", words).view(np.int64) for text in part.column(1)]
+                ends = np.cumsum([0, *map(len, sets)])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sets)))], schema=out)
+
+    classes = named.join(wide, "key", "left_semi").select("cls").distinct()
+    asked = points.select("cls", "digest", "n").join(classes, "cls", "left_semi")
+    sets = scratch.save(asked.join(texts, "digest").select("cls", "text").mapInArrow(run, "cls bigint, shingles array<bigint>"), "wide-sets")
+    each = sets.select("cls", F.size("shingles").cast("long").alias("n"), F.explode("shingles").alias("shingle"))
+    counts = each.groupBy("shingle").agg(F.count("*").alias("times"))
+    # One that is nowhere else keeps its place among the rarest, but is no place to meet.
+    line = Window.partitionBy("cls").orderBy("times", "shingle")
+    first = each.join(counts, "shingle").withColumn("turn", F.row_number().over(line)).where((F.col("turn") <= rarest(F.col("n"), percent)) & (F.col("times") > 1))
+    split = scratch.save(first.select(F.col("shingle").alias("key"), "cls"), "wide-split")
+    kept = named.join(wide, "key", "left_anti").select("key", "cls")
+    # Keys of the two kinds are kept apart by their lowest bit.
+    both = kept.select((F.col("key") * 2).alias("key"), "cls").union(_one_of_each(split).select(F.expr("shiftleft(key, 1) | 1"), "cls"))
+    refined = scratch.save(both, "refined")
+    scratch.drop("wide-named", "wide-sets", "wide-split")
+    return refined
+
+
 def _named(cells: DataFrame, labels: DataFrame | None) -> DataFrame:
     """Cells with the component label of each class and the first class (``hub``) of each cell.
 
@@ -402,6 +453,7 @@ def _linked(cells: DataFrame, points: DataFrame, texts: DataFrame, words: int, p
         scratch.drop(f"named-{turn - 1}")
         if n_found < PAYS * n_tried:
             break
+    cells = _refined(cells, labels, points, texts, words, percent, scratch)
     nearest = NEAREST
     while True:
         offered = _rest(_named(cells, labels), points, percent, nearest, scratch, f"rest-{nearest}")
