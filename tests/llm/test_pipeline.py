@@ -39,10 +39,10 @@ def test_stages_match_plain_versions(spark):
         if not any(brute.edit_distance_inside(x, w) <= decontaminate.edits(len(x), 20) for x in near):
             clean.add(i)
     assert set(done[2]) == clean
-    weights = pii._weights(source.where(source.doc_id.isin(list(clean))), "text", pii.SAMPLE_ROWS)
+    field = pii._field(source.where(source.doc_id.isin(list(clean))), "text", pii.SAMPLE_ROWS)
     own = tokens.load(P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN)
     for i in clean:
-        text = pii.masked(first[i], pii.find(first[i], weights))
+        text = pii.masked(first[i], pii.find(first[i], field))
         assert done[3][i]["text"] == text and done[3][i]["n_chars"] == len(text)
         assert not brute.pii_base(text)
         ids = own.encode_ordinary(text)
