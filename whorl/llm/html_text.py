@@ -2,9 +2,14 @@
 
 The page becomes a tree of elements (unclosed tags are closed as browsers do).
 Boilerplate subtrees are set aside: by tag (navigation, forms, scripts, ...),
-by role or hidden state, and by the first or last part of class names and ids
-(adverts, sidebars, notices, comments, ...), but not if an article is inside.
-Of a header inside an article the headings stay. Paragraph-like blocks then pass points to their
+by role or hidden state, and by class names and ids: a name that is a
+boilerplate word, one that begins or ends with such a word, and one with a word
+for reader comments anywhere, unless it only says what a layout has or lacks. A
+name that is no such word itself does not count where it holds most of the
+page's text, nor does any where it holds an article with a fair part of it; a form with
+most of the text or with an article is a container like others. If all text
+went that way, names and then forms are not judged at all. Of a header inside
+an article the headings stay. Paragraph-like blocks then pass points to their
 parent, and half of them to the grandparent: one point, one for each comma and
 one for each 100 characters up to three. A container's points are multiplied by
 one minus its link density. The best container is kept with those siblings
@@ -40,16 +45,23 @@ BLOCKS = frozenset("address article aside blockquote body caption center dd deta
 CLOSES_P = BLOCKS - {"br", "body", "html", "caption", "tbody", "td", "tfoot", "th", "thead", "tr"}
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 UNWANTED = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored sponsors promo promos promotion promotions banner nav navbar navigation menu breadcrumb breadcrumbs sidebar side aside footer foot header masthead comment comments commentlist disqus replies respond discussion reactions cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe signup login share sharing social related recommend recommended recommendations widget toolbar pagination pager tags legal copyright disclaimer skip search".split())
+COMMENTS = frozenset("comment comments commentlist commenting disqus replies respond discussion discussions reactions".split())
+LAYOUT = frozenset("has no with without free hide show layout is not enable enabled disabled open closed off".split())
+#: Tags whose text never counts as text of the page.
+SILENT = frozenset("script style noscript template head title iframe svg canvas select option textarea button".split())
+#: Share of the page's text from which a container is not judged by a compound name, and by any name if it holds an article.
+MOST, FAIR = 0.5, 0.3
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("attrs", "holds", "kids", "parent", "points", "tag")
+    __slots__ = ("attrs", "holds", "kids", "out", "parent", "points", "share", "tag")
 
     def __init__(self, tag: str, attrs: dict, parent: Node | None):
         self.tag, self.attrs, self.parent, self.kids, self.points, self.holds = tag, attrs, parent, [], 0.0, False
+        self.out, self.share = False, 0.0
 
 
 # Linear scanning: every pattern is possessive or ends at one character.
@@ -152,7 +164,7 @@ class Tree:
             self._leave(self._nearest({"head"}))
         node = Node(tag, attrs, self.path[-1])
         self.path[-1].kids.append(node)
-        if tag in ("article", "main"):
+        if tag in ("article", "main") and _named(node) != "comments":
             for above in reversed(self.path):
                 if above.holds:
                     break
@@ -165,31 +177,84 @@ class Tree:
 _PART = re.compile(r"[_-]+|(?<=[a-z])(?=[A-Z])|(?<=[A-Za-z])(?=[0-9])")
 
 
-def _named(node: Node) -> bool:
-    """Whether a class or the id names boilerplate by its first or last part."""
+def _named(node: Node) -> str:
+    """How a class or the id names boilerplate: ``comments``, ``whole``, ``compound`` or not at all."""
+    found = ""
     for key in ("class", "id"):
         for name in node.attrs.get(key, "").split():
             parts = [p.lower() for p in _PART.split(name) if p and not p.isdigit()]
-            if parts and (parts[0] in UNWANTED or parts[-1] in UNWANTED):
-                return True
-    return False
+            if not parts:
+                continue
+            if not LAYOUT.intersection(parts) and COMMENTS.intersection(parts):
+                return "comments"
+            if len(parts) == 1 and parts[0] in UNWANTED:
+                found = "whole"
+            elif not found and (parts[0] in UNWANTED or parts[-1] in UNWANTED):
+                found = "compound"
+    return found
 
 
-def unwanted(node: Node) -> bool:
-    """Boilerplate by tag, role, hidden state and by class and id.
+def _hidden(node: Node) -> bool:
+    a = node.attrs
+    return "hidden" in a or a.get("aria-hidden", "").lower() == "true" or ("style" in a and HIDDEN.search(a["style"]) is not None)
 
-    A header of an article counts for its headings only; what holds an article
-    is not judged by its names.
-    """
-    a, up = node.attrs, node.parent
-    if up is not None and up.tag == "header" and node.tag not in HEADINGS:
-        return True
-    header = node.tag == "header" and up is not None and up.tag in ("article", "main")
-    if (node.tag in DROPPED and not header) or a.get("role", "").lower() in ROLES or "hidden" in a or a.get("aria-hidden", "").lower() == "true":
+
+def _every(root: Node) -> Iterator[tuple[Node | str, bool]]:
+    """All nodes in page order; True on leaving a node."""
+    stack: list[tuple[Node | str, bool]] = [(root, False)]
+    while stack:
+        node, leaving = stack.pop()
+        yield node, leaving
+        if not leaving and isinstance(node, Node):
+            stack.append((node, True))
+            stack += [(kid, False) for kid in reversed(node.kids)]
+
+
+def measure(root: Node) -> None:
+    """Sets the share of each node in the page's visible text outside links and reader comments."""
+    counts, open_, quiet = {root: 0}, [], 0
+    silent = lambda n: n.tag in SILENT or n.tag in ("a", "nav", "footer") or _hidden(n) or _named(n) == "comments"
+    for node, leaving in _every(root):
+        if isinstance(node, str):
+            counts[open_[-1]] += 0 if quiet else len(node.strip())
+        elif leaving:
+            open_.pop()
+            quiet -= silent(node)
+            if open_:
+                counts[open_[-1]] += counts[node]
+        else:
+            open_.append(node)
+            quiet += silent(node)
+            counts[node] = 0
+    for node, n in counts.items():
+        node.share = n / max(1, counts[root])
+
+
+def mark(root: Node, level: int = 0) -> None:
+    """Sets ``out`` of every node: what is boilerplate. From level 1 on compound names, from 2 on all names, at 3 forms do not count."""
+    for node, leaving in _every(root):
+        if not leaving and isinstance(node, Node):
+            node.out = _out(node, level)
+
+
+def _out(node: Node, level: int) -> bool:
+    """Boilerplate by tag, role, hidden state and by class and id; of a header in an article the headings stay."""
+    up = node.parent
+    if up is None:
+        return False
+    if up.tag == "header" and node.tag not in HEADINGS:
         return True
-    if "style" in a and HIDDEN.search(a["style"]):
+    header = node.tag == "header" and up.tag in ("article", "main")
+    form = node.tag == "form" or node.attrs.get("role", "").lower() == "form"
+    wide = form and (node.share >= MOST or node.holds or level > 2)
+    if (node.tag in DROPPED or node.attrs.get("role", "").lower() in ROLES) and not header and not wide or _hidden(node):
         return True
-    return not header and not node.holds and node.tag not in ("article", "main", "p") and _named(node)
+    named = _named(node)
+    if node.tag in ("article", "main", "p") or header:
+        return named == "comments" and node.tag == "article" and level < 2
+    if not named or level > 1 or (node.holds and node.share >= FAIR):
+        return False
+    return named != "compound" or (level < 1 and node.share < MOST)
 
 
 def walk(root: Node) -> Iterator[tuple[Node | str, bool]]:
@@ -201,7 +266,7 @@ def walk(root: Node) -> Iterator[tuple[Node | str, bool]]:
         if not leaving and isinstance(node, Node):
             stack.append((node, True))
             loose = node.tag == "header"  # text beside an article's headings
-            stack += [(kid, False) for kid in reversed(node.kids) if (not loose if isinstance(kid, str) else not unwanted(kid))]
+            stack += [(kid, False) for kid in reversed(node.kids) if (not loose if isinstance(kid, str) else not kid.out)]
 
 
 def _sizes(root: Node) -> tuple[dict, dict, dict]:
@@ -239,8 +304,8 @@ def _score(root: Node) -> list[Node]:
     for node, leaving in walk(root):
         if leaving or isinstance(node, str) or node.parent is None or not chars[node]:
             continue
-        leaf = node.tag in ("p", "pre", "td", "blockquote", "li", "dd", "h1", "h2", "h3", "h4", "h5", "h6")
-        if not leaf and not (node.tag in ("div", "section") and not any(isinstance(k, Node) and k.tag in BLOCKS - {"br"} for k in node.kids)):
+        leaf = node.tag in ("p", "pre", "h1", "h2", "h3", "h4", "h5", "h6")
+        if not leaf and not (node.tag in ("div", "section", "td", "blockquote", "li", "dd") and not any(isinstance(k, Node) and k.tag in BLOCKS - {"br"} for k in node.kids)):
             continue
         points = (1 + commas[node] + min(3, chars[node] // 100)) * (1 - density(node))
         for up, share in ((node.parent, 1.0), (node.parent.parent, 0.5)):
@@ -263,7 +328,7 @@ def _score(root: Node) -> list[Node]:
     least = max(10.0, 0.2 * value(best))
     kept = []
     for kid in best.parent.kids:
-        if isinstance(kid, Node) and not unwanted(kid):
+        if isinstance(kid, Node) and not kid.out:
             long = kid.tag == "p" and (chars[kid] > 80 and density(kid) < 0.25)
             if kid is best or value(kid) >= least or long:
                 kept.append(kid)
@@ -274,6 +339,19 @@ def extract(html: str | None) -> str:
     """The main text of a page."""
     if not html:
         return ""
+    root = Tree(html).root
+    measure(root)
+    for level in range(4):
+        mark(root, level)
+        if text := _text(root):
+            return text
+        for node, leaving in _every(root):
+            if leaving:
+                node.points = 0.0
+    return ""
+
+
+def _text(root: Node) -> str:
     blocks, now = [], []
 
     def end() -> None:
@@ -281,7 +359,7 @@ def extract(html: str | None) -> str:
             blocks.append(line)
         now.clear()
 
-    for top in _score(Tree(html).root):
+    for top in _score(root):
         for node, _ in walk(top):
             if isinstance(node, str):
                 now.append(node)
