@@ -33,12 +33,12 @@ def folder(tmp_path):
 
 
 def plain(rows):
-    return sorted((r["path"].rsplit("/", 1)[-1], r["record_index"], r["type"], r["byte_offset"], r["size"], tuple(r["pieces"]), r["error"], r["data"] and bytes(r["data"])) for r in rows)
+    return sorted((r["path"].rsplit("/", 1)[-1], r["record_index"], r["type"], r["byte_offset"], r["size"], tuple(r["pieces"] or ()), r["error"], r["data"] and bytes(r["data"])) for r in rows)
 
 
 def test_reader_source_and_stream_agree(spark, folder, tmp_path_factory):
     want = plain(files.read_records(spark, folder).collect())
-    assert [w[2] for w in want] == [1, 10, 4, 2, 1, 2, None] and want[-1][6] == 1004
+    assert [w[2] for w in want] == [1, 10, 4, 2, 1, 2, None] and want[-1][6] == 1000
     spark.dataSource.register(NistSource)
     assert plain(spark.read.format("nist").option("path", folder).load().collect()) == want
     assert plain(spark.read.format("nist").load(f"{folder}/b.an2").collect()) == [w for w in want if w[0] == "b.an2"]
@@ -97,3 +97,95 @@ def test_windows_run_on_a_stream(spark, tmp_path, tmp_path_factory):
     query.awaitTermination(120)
     assert sorted((r["n"], r["mean"]) for r in spark.table("windows").collect()) == [(1, 5.0), (2, 2.0)]
     assert measure_windows(rows).count() == 2
+
+
+def test_paths_keep_their_folders_and_repeats_fail(spark, tmp_path):
+    rows = [("in/a/x.nst", b"1"), ("in/b/x.nst", b"22"), ("in/b/c/y.nst", None)]
+    df = spark.createDataFrame(rows, "path string, content binary").repartition(3)
+    assert sorted(map(tuple, files.write_files(df, str(tmp_path / "out")).collect())) == [("in/a/x.nst", 1), ("in/b/c/y.nst", 0), ("in/b/x.nst", 2)]
+    assert {str(p.relative_to(tmp_path / "out")): p.read_bytes() for p in (tmp_path / "out").rglob("*.nst")} == {"a/x.nst": b"1", "b/x.nst": b"22", "b/c/y.nst": b""}
+    for bad in ([("a", b"1"), ("a", b"2")], [(None, b"1")], [("a/../../b", b"1")]):
+        with pytest.raises(ValueError):
+            files.write_files(spark.createDataFrame(bad, "path string, content binary"), str(tmp_path / "out"))
+    assert files.write_files(df.limit(0), str(tmp_path / "none")).count() == 0
+
+
+def test_cells_with_quotes_anywhere(spark):
+    from pyspark.sql import functions as F
+
+    def plain(line):
+        cells, now, quoted, i = [], "", False, 0
+        while i < len(line):
+            c = line[i]
+            if c == '"' and quoted and line[i + 1 : i + 2] == '"':
+                now, i = now + '"', i + 1
+            elif c == '"':
+                quoted = not quoted
+            elif c == "," and not quoted:
+                cells, now = [*cells, now], ""
+            else:
+                now += c
+            i += 1
+        return [None if x.upper() == "NA" else x for x in [*cells, now]]
+
+    import random
+
+    rng = random.Random(1)
+    lines = ['a"b,c', 'a"b,c",d', '"x ""y""",na,', "", ",", ",,", '"', '""', '""""', 'a""b', '"a"b"c,d"'] + ["".join(rng.choice('a",b') for _ in range(rng.randrange(12))) for _ in range(400)]
+    got = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "i int, x string").select("i", files.report_cells(F.col("x")).alias("c")).collect()
+    assert {r["i"]: r["c"] for r in got} == {i: plain(x) for i, x in enumerate(lines)}
+
+
+def test_a_whole_report_is_read_back(spark, tmp_path):
+    schema = "place int, Filename string, FingerCode int, UnifiedQualityScore int, OptionalError string, Quantized boolean, Resampled boolean, actionable map<string,double>, native map<string,double>, mapped map<string,double>"
+    rows = [(0, 'b/"2",x.png', 1, 54, None, False, True, {"UniformImage": 1.5}, {"Mu": 0.1, "AA": 3.0}, {"QB_Mu": 7.0}), (1, "a.png", 2, 9, "bad, image", True, False, {}, {"Zz": -1e-9}, {})]
+    columns = files.write_report(spark.createDataFrame(rows, schema), str(tmp_path / "r"))
+    assert columns == [*files.FIXED, *files.ACTIONABLE, "AA", "Mu", "Zz", "QB_Mu"]
+    text = "".join(p.read_text() for p in sorted((tmp_path / "r").glob("part-*")))
+    assert text.split("\n")[0] == ",".join(columns) and text.split("\n")[1].startswith('"b/""2"",x.png",1,54,NA,0,1,1.5,NA,NA,NA,3,0.1,NA,7')
+    (tmp_path / "one.csv").write_text(text)
+    back = {r["Filename"]: r.asDict() for r in files.read_report(spark, f"{tmp_path}/one.csv").collect()}
+    assert back["a.png"]["Zz"] == "-1.0E-9" or float(back["a.png"]["Zz"]) == -1e-9
+    assert back['b/"2",x.png']["OptionalError"] is None and back["a.png"]["OptionalError"] == "bad, image" and back["a.png"]["Mu"] is None
+
+
+def test_empty_cells_stay_empty(spark, tmp_path):
+    (tmp_path / "e.csv").write_text("Filename,score,note\na,,NA\n")
+    assert [tuple(r) for r in files.read_report(spark, f"{tmp_path}/e.csv").collect()] == [("a", "", None)]
+
+
+def test_every_length_tag_counts_itself(spark):
+    from pyspark.sql import functions as F
+
+    def plain(values):
+        text, n = lambda n: "\x1d".join(f"1.{k:03d}:{n if k == 1 else v}" for k, v in values) + "\x1c", ""
+        while n != str(len(text(n))):
+            n = str(len(text(n)))
+        return text(n)
+
+    cases = [[(1, ""), (2, "x"), (1, "9")], [(1, "7"), (2, "y" * k)] if (k := 84) else [], [(1, ""), (1, ""), (1, ""), (2, "z" * 70)], [(1, ""), (3, "")]]
+    rows = spark.createDataFrame([(i, [(1, k, v) for k, v in c]) for i, c in enumerate(cases)], "i int, f array<struct<record_type:int,field_number:int,value:string>>")
+    got = {r["i"]: r["t"] for r in rows.select("i", transactions.encode_record(F.col("f")).alias("t")).collect()}
+    assert got == {i: plain(c) for i, c in enumerate(cases)}
+
+
+def test_types_that_were_not_announced_and_files_without_records(spark):
+    wrong = FIRST + LAST + IMAGE
+    df = spark.createDataFrame([("w", wrong), ("e", b""), ("n", None), ("x", b"1.002:5\x1c")], "path string, content binary")
+    got = {(r["path"], r["record_index"]): r["error"] for r in transactions.decode_files(df).collect()}
+    assert got == {("w", 0): None, ("w", 1): 1001, ("w", 2): 1001, ("e", None): None, ("n", None): 1000, ("x", 0): 1004}
+    seen = {r["path"]: (r["record_count"], r["error"]) for r in transactions.inspect_files(transactions.decode_files(df)).collect()}
+    assert seen == {"w": (3, 1001), "e": (0, None), "n": (0, 1000), "x": (1, 1004)}
+    assert {r["path"]: bytes(r["content"]) for r in transactions.encode_files(transactions.decode_files(df.where("path = 'e'"))).collect()} == {"e": b""}
+
+
+def test_an_empty_batch_and_values_beyond_a_byte(spark):
+    from pyspark.sql import functions as F
+
+    from whorl.functions import measures
+
+    with pytest.raises(ValueError):
+        reports.batch_paths(spark.createDataFrame([(" ",)], "path string"), "/d")
+    name = next(iter(next(iter(measures.RANGES.values()))))
+    row = spark.createDataFrame([(name, 1e9), (name, -1e9), ("other", 5.0)], "n string, v double").select(measures.block_overflow(F.col("n"), F.col("v")).alias("o"), measures.quality_block(F.col("n"), F.col("v")).alias("q")).collect()
+    assert [tuple(r) for r in row] == [(True, None), (True, None), (False, None)]

@@ -26,15 +26,25 @@ SIGMOIDS = ("RVUP_Bin10_Mean", "RVUP_Bin10_StdDev")
 TOLERANCES = {"FDA_Bin10_": 0.1, "LCS_Bin10_": 0.1, "RVUP_Bin10_": 0.1, "OCL_Bin10_": 0.02, "OF_Bin10_": 0.02, "ImgProcROIArea_Mean": 0.02, "OrientationMap_ROIFilter_Coherence": 0.5, "SufficientFingerprintForeground": 100.0}
 
 
-def quality_block(name: Column, value: Column) -> Column:
-    """Quality-block value of a measure, null for other names or beyond a byte."""
+def _block_value(name: Column, value: Column) -> Column:
     out = F.when(name.isin(*COUNTS), F.floor(F.least(value, F.lit(100.0))))
     for (low, high), names in RANGES.items():
         out = out.when(name.isin(*names), F.floor(101.0 * ((value - low) / (high - low))))
-    out = out.when(name.isin(*SIGMOIDS), F.floor(100.0 / (1.0 + F.exp((1.0 - value) / 0.5)) + 0.5))
+    return out.when(name.isin(*SIGMOIDS), F.floor(100.0 / (1.0 + F.exp((1.0 - value) / 0.5)) + 0.5))
+
+
+def quality_block(name: Column, value: Column) -> Column:
+    """Quality-block value of a measure, null for other names or beyond a byte (see ``block_overflow``)."""
+    out = _block_value(name, value)
     return F.when((out >= 0) & (out <= 255), out).cast("int")
 
 
+def block_overflow(name: Column, value: Column) -> Column:
+    """Whether a measure's quality-block value is no byte, which the format cannot hold."""
+    out = _block_value(name, value)
+    return F.coalesce((out < 0) | (out > 255), F.lit(False))
+
+
 def tolerance(name: Column) -> Column:
     out = F.lit(0.001)
     for start, width in TOLERANCES.items():

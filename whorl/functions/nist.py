@@ -61,11 +61,11 @@ def latin1(text: Column) -> Column:
     return F.encode(F.regexp_replace(text, r"[^\x00-\xFF]", "?"), "ISO-8859-1")
 
 
-def record_length(rest: Column) -> Column:
-    """Smallest length that counts its own digits: ``rest`` is all but the digits."""
+def record_length(rest: Column, times: Column | int = 1) -> Column:
+    """Smallest length that counts its own digits wherever it stands (``times``): ``rest`` is all but these digits."""
     out = None
     for digits in range(8, 0, -1):
-        total = rest + digits
+        total = rest + digits * times
         fits = F.length(total.cast("string")) == digits
         out = F.when(fits, total) if out is None else F.when(fits, total).otherwise(out)
     return out

@@ -197,6 +197,8 @@ def assessments(rows: DataFrame, fixed: list[str], actionable: list[str], mapped
 
 
 def batch_paths(paths: DataFrame, folder: str, path_col: str = "path") -> DataFrame:
-    """Trimmed paths without blank ones; relative ones are taken from ``folder``."""
+    """Trimmed paths without blank ones; relative ones are taken from ``folder``. A batch without any path is an error."""
     path = F.trim(F.col(path_col))
+    if paths.where(path != "").isEmpty():
+        raise ValueError("a batch needs at least one path")
     return paths.where(path != "").select(F.when(F.startswith(path, F.lit("/")) | path.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), path).otherwise(F.concat(F.lit(folder.rstrip("/") + "/"), path)).alias(path_col))

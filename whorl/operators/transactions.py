@@ -19,16 +19,20 @@ from ..functions import nist
 def encode_record(fields: Column) -> Column:
     """Text of a fielded record from an array of (record_type, field_number, value).
 
-    A length field is put first, or rewritten if the record starts with one.
+    A length field is put first, or rewritten if the record starts with one;
+    every later field of the same tag gets the length too.
     """
     first = F.get(fields, 0)
     rest = F.when(first["field_number"] == 1, F.slice(fields, 2, F.greatest(F.size(fields) - 1, F.lit(0)))).otherwise(fields)
-    body = F.array_join(F.transform(rest, lambda f: F.concat(F.lit(nist.GS), nist.tag(f["record_type"], f["field_number"]), F.lit(":"), F.coalesce(f["value"], F.lit("")))), "")
+    is_length = lambda f: (f["field_number"] == 1) & (f["record_type"] == first["record_type"])
+    piece = lambda f: F.struct(F.concat(F.lit(nist.GS), nist.tag(f["record_type"], f["field_number"]), F.lit(":")).alias("tag"), F.when(~is_length(f), F.coalesce(f["value"], F.lit(""))).alias("value"))
     head = F.concat(nist.tag(first["record_type"], F.lit(1)), F.lit(":"))
     # Parts are bound to lambda variables, so that each is evaluated once.
-    whole = lambda p: F.concat(p["head"], nist.record_length(p["rest"]).cast("string"), p["body"], F.lit(nist.FS))
-    sized = lambda p: nist.bound(F.struct(p["head"].alias("head"), p["body"].alias("body"), (F.length(p["head"]) + F.length(p["body"]) + 1).alias("rest")), whole)
-    return nist.bound(F.struct(head.alias("head"), body.alias("body")), sized)
+    text = lambda p, n: F.concat(p["head"], n, F.array_join(F.transform(p["pieces"], lambda f: F.concat(f["tag"], F.coalesce(f["value"], n))), ""), F.lit(nist.FS))
+    size = lambda p: F.length(p["head"]) + 1 + F.aggregate(p["pieces"], F.lit(0), lambda n, f: n + F.length(f["tag"]) + F.coalesce(F.length(f["value"]), F.lit(0)))
+    times = lambda p: 1 + F.size(F.filter(p["pieces"], lambda f: f["value"].isNull()))
+    sized = lambda p: nist.bound(nist.record_length(size(p), times(p)).cast("string"), lambda n: text(p, n))
+    return nist.bound(F.struct(head.alias("head"), F.transform(rest, piece).alias("pieces")), sized)
 
 
 _TAG = re.compile(rb"([0-9]{1,9})\.([0-9]{3}):")
@@ -54,7 +58,9 @@ def frames(content: bytes) -> list[dict]:
             tag = _TAG.match(content, at)
             kind = int(tag[1]) if tag else None
             ends = [e for e in (content.find(b"\x1d", tag.end()), content.find(b"\x1c", tag.end())) if e >= 0] if tag else []
-            if not tag or int(tag[2]) != 1:
+            if not tag:
+                error = 1000
+            elif int(tag[2]) != 1:
                 error = 1004
             elif not ends:
                 error = 1005
@@ -64,6 +70,8 @@ def frames(content: bytes) -> list[dict]:
                 error, size = 1002, 0
             elif content[at + size - 1 : at + size] != b"\x1c":
                 error, size = 1003, 0
+            elif 0 < len(out) <= len(types) and types[len(out) - 1] not in (None, kind):
+                error = 1001
         else:
             kind = types[len(out) - 1] if len(out) <= len(types) else None
             size = int.from_bytes(content[at : at + 4], "big", signed=True) if rest >= 4 else 0
@@ -95,16 +103,20 @@ def decode_files(files: DataFrame, path_col: str = "path", content_col: str = "c
     binary: a 4-byte length, the type announced by the first record, no
     ``pieces``, the whole record in ``data`` (null for fielded ones).
 
-    ``error``: 1002 length beyond the file or not positive, 1003 no FS at the
+    ``error``: 1000 no tag at the start of a record, or no content, 1001 a type
+    other than the announced one, 1002 length beyond the file or not positive, 1003 no FS at the
     end, 1004 no length field first, 1005 length not ended, 1006 length no
     integer, 1007 binary length cut off, 1010 or 1011 bad announced type, 1012
     binary record that was not announced. A record without a frame takes the
-    rest of the file into ``data`` and has no ``pieces``.
+    rest of the file into ``data`` and has no ``pieces``. An empty or null file is one row without a
+    record, the null one with error 1000. A framed record starts with a tag, so it is never empty and each of
+    its fields has one: there are no errors 1008 and 1009.
     """
-    rows = files.select(F.col(path_col).alias("path"), F.posexplode(_framed(F.col(content_col).cast("binary"))).alias("record_index", "r"))
+    content = F.col(content_col).cast("binary")
+    rows = files.select(F.col(path_col).alias("path"), content.isNull().alias("none"), F.posexplode_outer(_framed(content)).alias("record_index", "r"))
     body = F.decode(F.expr("substring(r.data, 1, r.size - 1)"), "ISO-8859-1")
     pieces = F.when(F.col("r.fielded"), nist.split_fields(body)).otherwise(F.array().cast("array<string>"))
-    return rows.select("path", "record_index", "r.type", "r.byte_offset", "r.size", pieces.alias("pieces"), "r.error", F.when(~F.col("r.fielded"), F.col("r.data")).alias("data"))
+    return rows.select("path", "record_index", "r.type", "r.byte_offset", "r.size", pieces.alias("pieces"), F.when(F.col("none"), 1000).otherwise(F.col("r.error")).alias("error"), F.when(~F.col("r.fielded"), F.col("r.data")).alias("data"))
 
 
 def inspect_fields(fields: DataFrame) -> DataFrame:
@@ -116,7 +128,7 @@ def inspect_fields(fields: DataFrame) -> DataFrame:
 def inspect_files(records: DataFrame) -> DataFrame:
     """One row per file: ``record_count``, ``field_count``, ``opaque_count``, ``version`` (1.002), ``content`` (1.003) and the first error."""
     first = lambda tag: F.max(F.when(F.col("record_index") == 0, F.regexp_replace(F.get(F.filter("pieces", lambda p: F.startswith(p, F.lit(tag))), 0), f"^{tag}", "")))
-    return records.groupBy("path").agg(F.count("*").alias("record_count"), F.sum(F.size("pieces")).cast("long").alias("field_count"), F.count_if(F.col("data").isNotNull() & F.col("error").isNull()).alias("opaque_count"), first("1.002:").alias("version"), first("1.003:").alias("content"), F.min_by("error", F.when(F.col("error").isNotNull(), F.col("record_index"))).alias("error"))
+    return records.groupBy("path").agg(F.count("record_index").alias("record_count"), F.sum(F.coalesce(F.size("pieces"), F.lit(0))).cast("long").alias("field_count"), F.count_if(F.col("data").isNotNull() & F.col("error").isNull()).alias("opaque_count"), first("1.002:").alias("version"), first("1.003:").alias("content"), F.min_by("error", F.when(F.col("error").isNotNull(), F.coalesce("record_index", F.lit(-1)))).alias("error"))
 
 
 def encode_files(records: DataFrame) -> DataFrame:
@@ -126,7 +138,7 @@ def encode_files(records: DataFrame) -> DataFrame:
     """
     at = lambda p: F.instr(p, ":")
     field = lambda p: nist.bound(nist.parse_tag(F.substring(p, F.lit(1), at(p) - 1)), lambda t: F.struct(t["record_type"].alias("record_type"), t["field_number"].alias("field_number"), F.substring(p, at(p) + 1, F.length(p)).alias("value")))
-    encoded = F.coalesce(F.col("data"), nist.latin1(nist.bound(F.transform("pieces", field), encode_record)))
+    encoded = F.coalesce(F.col("data"), F.when(F.size("pieces") > 0, nist.latin1(nist.bound(F.transform("pieces", field), encode_record))), F.lit(b""))
     held = records.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("record_index", encoded.alias("bytes")))).alias("records"))
     return held.select("path", F.aggregate("records", F.lit(b"").cast("binary"), lambda a, r: F.concat(a, r["bytes"])).alias("content"))
 

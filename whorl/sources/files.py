@@ -26,22 +26,42 @@ def read_records(spark: SparkSession, path: str, pattern: str = "*") -> DataFram
     return transactions.decode_files(binary_files(spark, path, pattern))
 
 
+def _shared_uri(spark: SparkSession, folder: str) -> str:
+    """The folder as Hadoop's file systems name it: one without a scheme lies in the default one, not on each executor."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).makeQualified(path).toString()
+
+
 def write_files(files: DataFrame, folder: str) -> DataFrame:
-    """Writes one file per (path, content) row under its last path part, in the tasks; returns path and bytes written."""
+    """Writes one file per (path, content) row, in the tasks; returns path and bytes written.
+
+    Files keep their place below the folder that all paths share. Repeated
+    paths, paths that leave the folder and null paths are errors before anything is written.
+    """
+    spark = files.sparkSession
+    named = files.select(F.col("path").cast("string").alias("path"), F.col("content").cast("binary").alias("content"))
+    low, high, n_null = named.agg(F.min("path"), F.max("path"), F.count_if(F.col("path").isNull() | F.col("path").rlike(r"(^|/)\.\.(/|$)|/$"))).first()
+    repeated = named.groupBy("path").count().where("count > 1").select("path").limit(1).collect()
+    if n_null or repeated:
+        raise ValueError(f"not a path of one file: {repeated[0]['path'] if repeated else 'null, .. or a folder'}")
+    import os
+
+    # The paths between the first and the last one share what these two share.
+    shared = os.path.commonprefix([low or "", high or ""])
+    start, uri = shared.rfind("/") + 1, _shared_uri(spark, folder)
 
     def run(batches):
-        import os
         import uuid
 
         import pyarrow as pa
         from pyarrow import fs
 
-        system, root = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), os.path.abspath(folder))
+        system, root = fs.FileSystem.from_uri(uri)
         for batch in batches:
             sizes = []
             for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                where = f"{root}/{name.rsplit('/', 1)[-1]}"
-                system.create_dir(root, recursive=True)
+                where = f"{root}/{name[start:]}"
+                system.create_dir(where.rsplit("/", 1)[0], recursive=True)
                 part = f"{where}.{uuid.uuid4().hex}"
                 with system.open_output_stream(part) as out:
                     out.write(content or b"")
@@ -49,7 +69,7 @@ def write_files(files: DataFrame, folder: str) -> DataFrame:
                 sizes.append(len(content or b""))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64())], names=["path", "n_bytes"])
 
-    return files.select(F.col("path").cast("string"), F.col("content").cast("binary")).mapInArrow(run, "path string, n_bytes bigint")
+    return named.mapInArrow(run, "path string, n_bytes bigint")
 
 
 def raw_rasters(files: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -108,9 +128,10 @@ def measure_text(text: Column) -> Column:
 
 
 def read_report(spark: SparkSession, path: str) -> DataFrame:
-    """A quality report in CSV, all columns as text; ``NA`` in any case is null."""
+    """A quality report in CSV, all columns as text; ``NA`` in any case is null, an empty cell stays empty."""
     found = spark.read.csv(path, header=True, quote='"', escape='"', multiLine=False, mode="FAILFAST", ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True)
-    return found.select(*(F.when(F.upper(F.col(f"`{c}`")) != "NA", F.col(f"`{c}`")).alias(c) for c in found.columns))
+    cell = lambda c: F.coalesce(F.col(f"`{c}`"), F.lit(""))
+    return found.select(*(F.when(F.upper(cell(c)) != "NA", cell(c)).alias(c) for c in found.columns))
 
 
 def number_text(value: Column) -> Column:
@@ -126,12 +147,53 @@ def report_line(cells: list[Column]) -> Column:
 
 
 def report_cells(line: Column) -> Column:
-    """Array of the cells of one CSV line; quotes are undone, ``NA`` in any case is null."""
-    raw = F.regexp_extract_all(F.concat(F.trim(line), F.lit(",")), F.lit(r'("(?:[^"]|"")*"|[^",]*),'), F.lit(1))
-    plain = F.transform(raw, lambda c: F.when(F.startswith(c, F.lit('"')), F.replace(F.substring(c, F.lit(2), F.length(c) - 2), F.lit('""'), F.lit('"'))).otherwise(c))
+    """Array of the cells of one CSV line; ``NA`` in any case is null.
+
+    A quote anywhere in a cell begins or ends a quoted stretch, in which commas
+    belong to the cell and a doubled quote is one; an open stretch runs to the end.
+    """
+    stretch = r'"((?:[^"]++|"")*+)(?:"|$)'
+    # The comma in front makes every cell a match of its own.
+    raw = F.regexp_extract_all(F.concat(F.lit(","), F.trim(line)), F.lit(f",((?:[^\",]++|{stretch})*+)"), F.lit(1))
+    plain = F.transform(raw, lambda c: F.replace(F.regexp_replace(c, stretch, "$1"), F.lit('""'), F.lit('"')))
     return F.transform(plain, lambda c: F.when(F.upper(c) != "NA", c))
 
 
+# The first columns of a report.
+FIXED = ("Filename", "FingerCode", "UnifiedQualityScore", "OptionalError", "Quantized", "Resampled")
+ACTIONABLE = ("UniformImage", "EmptyImageOrContrastTooLow", "FingerprintImageWithMinutiae", "SufficientFingerprintForeground")
+
+
+def report_columns(results: DataFrame, mapped: bool = True) -> list[str]:
+    """Columns of a whole report: the fixed and actionable ones, then all native and all mapped names, each sorted.
+
+    Only names of measures come to the driver, of which an algorithm has a fixed number.
+    """
+    names = lambda c: sorted(r[0] for r in results.select(F.explode(F.map_keys(c))).distinct().collect())
+    return [*FIXED, *ACTIONABLE, *names("native"), *(names("mapped") if mapped else [])]
+
+
+def report_lines(results: DataFrame, columns: list[str]) -> DataFrame:
+    """``line`` and ``place`` of a whole report: the header has place -1, rows have the ``place`` of ``results``.
+
+    ``results``: place, a column for each fixed one, and the maps ``actionable``,
+    ``native`` and ``mapped`` of numbers. A name is looked up in this order; what is in none is NA.
+    """
+    number = lambda c: number_text(F.coalesce(*(F.try_element_at(m, F.lit(c)) for m in ("actionable", "native", "mapped"))))
+    flag = lambda c: F.when(F.col(c), "1").otherwise("0")
+    cell = lambda c: flag(c) if c in ("Quantized", "Resampled") else F.col(c).cast("string") if c in FIXED else number(c)
+    rows = results.select(F.col("place").cast("long").alias("place"), report_line([cell(c) for c in columns]).alias("line"))
+    head = results.sparkSession.range(1).select(F.lit(-1).cast("long").alias("place"), report_line([F.lit(c) for c in columns]).alias("line"))
+    return head.union(rows)
+
+
+def write_report(results: DataFrame, folder: str, mapped: bool = True) -> list[str]:
+    """Writes a report as text files that follow each other in the order of their names; returns its columns."""
+    columns = report_columns(results, mapped)
+    report_lines(results, columns).orderBy("place").select("line").write.mode("overwrite").text(folder)
+    return columns
+
+
 FILE_JSON = "struct<records:array<struct<type:int,fields:array<struct<tag:string,value:string>>>>>"
 
 
