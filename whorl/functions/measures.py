@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .nist import bound
+
 # Histogram bounds of the measures with ten bins.
 BOUNDS = {
     "FDA": (0.268, 0.304, 0.33, 0.355, 0.38, 0.407, 0.44, 0.50, 1.0),
@@ -105,12 +107,17 @@ def documentation(base: str, code: Column) -> Column:
 
 def scaled(value: Column, top: int = 65535) -> Column:
     """Struct (raw, scale) with value = raw / 10^scale, as fine as ``top`` allows; null if too large."""
-    steps = F.sequence(F.lit(0), F.lit(40))
-    ends = lambda s: value * F.pow(F.lit(10.0), s) >= top
-    scale = F.get(F.filter(steps, ends), 0) - 1
-    raw = F.floor(value * F.pow(F.lit(10.0), scale) + 0.5).cast("long")
     made = lambda r, s: F.struct(r.cast("long").alias("raw"), s.cast("int").alias("scale"))
-    return F.when(value == 0, made(F.lit(0), F.lit(0))).when((value > 0) & (value < top), made(raw, scale))
+
+    def whole(v: Column) -> Column:
+        reaches = lambda s: v * F.pow(F.lit(10.0), s) >= top
+        # The logarithm is off by one step at most.
+        near = F.ceil(F.log10(top / F.when((v > 0) & (v < top), v)))
+        least = bound(near, lambda s: F.when((s > 0) & reaches(s - 1), s - 1).when(reaches(s), s).otherwise(s + 1))
+        fine = bound(least - 1, lambda s: F.when(s < 40, made(F.floor(v * F.pow(F.lit(10.0), s) + 0.5), s)))
+        return F.when(v == 0, made(F.lit(0), F.lit(0))).when((v > 0) & (v < top), fine)
+
+    return bound(value, whole)
 
 
 def comment(width: Column, height: Column, depth: Column, ppi: Column, rate: Column) -> Column:

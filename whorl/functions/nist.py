@@ -41,10 +41,9 @@ def tag(record_type: Column, field_number: Column) -> Column:
 
 def parse_tag(text: Column) -> Column:
     """Struct (record_type, field_number), or null if the tag is malformed."""
-    pattern = r"^([0-9]+)\.([0-9]{3})$"
-    ok = text.rlike(pattern)
-    part = lambda i: F.regexp_extract(text, pattern, i).try_cast("int")
-    return F.when(ok & part(1).isNotNull(), F.struct(part(1).alias("record_type"), part(2).alias("field_number")))
+    record_type = F.substring_index(text, ".", 1).try_cast("int")
+    parts = F.struct(record_type.alias("record_type"), F.substring_index(text, ".", -1).try_cast("int").alias("field_number"))
+    return F.when(text.rlike(r"^[0-9]+\.[0-9]{3}$") & record_type.isNotNull(), parts)
 
 
 def split_fields(body: Column) -> Column:

@@ -177,8 +177,8 @@ def fields_of(records: DataFrame) -> DataFrame:
     """One row per field: record_type, field_number and value."""
     each = records.select("path", "record_index", F.posexplode("pieces").alias("field_index", "piece"))
     at = F.instr("piece", ":")
-    t = nist.parse_tag(F.substring("piece", F.lit(1), at - 1))
-    return each.select("path", "record_index", "field_index", t["record_type"].alias("record_type"), t["field_number"].alias("field_number"), F.substring("piece", at + 1, F.length("piece")).alias("value"))
+    each = each.withColumn("t", nist.parse_tag(F.substring("piece", F.lit(1), at - 1)))
+    return each.select("path", "record_index", "field_index", F.col("t.record_type").alias("record_type"), F.col("t.field_number").alias("field_number"), F.substring("piece", at + 1, F.length("piece")).alias("value"))
 
 
 def expected_types(content: Column) -> Column:
@@ -192,3 +192,14 @@ def content_mismatches(fields: DataFrame, records: DataFrame) -> DataFrame:
     told = fields.where("record_type = 1 and field_number = 3 and record_index = 0").select("path", F.posexplode(expected_types(F.col("value"))).alias("i", "expected"))
     have = records.select("path", (F.col("record_index") - 1).alias("i"), "type")
     return told.join(have, ["path", "i"]).where("expected is null or type <> expected").select("path", "i", "expected", "type")
+
+
+def announced_mismatches(records: DataFrame) -> DataFrame:
+    """Like ``content_mismatches``, from the records alone: the types of a file meet in one row."""
+    content = F.regexp_replace(F.get(F.filter("pieces", lambda p: F.startswith(p, F.lit("1.003:"))), 0), "^1.003:", "")
+    of = F.when((F.col("record_index") == 0) & (F.col("type") == 1), expected_types(content))
+    types = F.array_sort(F.collect_list(F.struct("record_index", "type")))
+    files = records.groupBy("path").agg(F.max(of).alias("expected"), types.alias("types"))
+    places = F.transform("expected", lambda e, i: F.struct(i.alias("i"), e.alias("expected"), F.get("types", i + 1).alias("r")))
+    each = files.select("path", F.inline(places)).where("r is not null").select("path", "i", "expected", F.col("r.type").alias("type"))
+    return each.where("expected is null or type <> expected")

@@ -68,8 +68,9 @@ def w2_segments(spark, sf_dir):
 
 def w6_filters(spark, sf_dir):
     found = cs.segments(_files(spark, sf_dir)).where(F.col("marker") == cs.TRANSFORM).select("path", cs.filters(F.col("payload")).alias("f"))
-    side = lambda c: found.select(F.col("path").cast("long").alias("path"), F.lit(c).alias("filter"), F.posexplode(f"f.{c}").alias("j", "tap"))
-    return side("high").union(side("low")).select("path", "filter", F.col("j").cast("long").alias("j"), F.round("tap", 6).alias("tap"))
+    sides = F.inline(F.array(*(F.struct(F.lit(c).alias("filter"), F.col(f"f.{c}").alias("taps")) for c in ("high", "low"))))
+    taps = found.select(F.col("path").cast("long").alias("path"), sides).select("path", "filter", F.posexplode("taps").alias("j", "tap"))
+    return taps.select("path", "filter", F.col("j").cast("long").alias("j"), F.round("tap", 6).alias("tap"))
 
 
 def w7_bins(spark, sf_dir):

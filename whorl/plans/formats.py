@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import nist
 from ..operators import reports
-from ..sources import files
+from ..sources import files, forests
 from ..streaming.files import measure_windows
 
 
@@ -97,9 +97,28 @@ def n24_preview_classes(spark, sf_dir):
     return _table(spark, sf_dir, "orders").select("o_orderkey", nist.is_binary_like(value, nist.image_field(key % 17, F.lit(999), value)).alias("binary_like"))
 
 
-QUERIES = {f.__name__: f for f in (s8_gray_map, s9_report_cells, s10_report_line, s11_model, s16_json, s17_side_file, s19_measure_text, c5_assessment, q36_batch, c8_sizes, st_event_windows, n24_preview_classes)}
+def _forest_text() -> Column:
+    """Two trees per supplier: a split with two leaves, and one whose right child is split again over two lines; every seventh file states three."""
+    key = F.col("s_suppkey")
+    number = lambda c: c.cast("string")
+    node = lambda depth, label, *split: [f"            -\n              depth:{depth}\n              norm_class_idx:{label}\n              splits:\n", *split] if split else [f"            -\n              depth:{depth}\n              norm_class_idx:{label}\n"]
+    parts = ["%YAML:1.0\nheader: 1\nmy_random_trees:\n   ntrees:", F.when(key % 7 == 0, "3").otherwise("2"), "\n   trees:\n      -\n         nodes:\n"]
+    parts += node(0, 1, "                 - { var:", number(key % 69), ", quality:0.5, le:", number(key / 8), " }\n") + node(1, 0) + ["\n"] + node(1, 1)
+    parts += ["      -\n         nodes:\n"] + node(0, 0, "                 - { var:3, quality:1.0,\n                    le:-1.5e-2 }\n") + node(1, 1) + node(1, 0, "                 - { var:4, le:", number(key), " }\n") + node(2, 0) + node(2, 1)
+    return F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
+
+
+def s12_forest(spark, sf_dir):
+    """Nodes of model texts."""
+    texts = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").alias("path"), _forest_text().alias("content"))
+    found = forests.forest_nodes(texts)
+    return found.select("path", *(F.col(c).cast("long") for c in ("tree", "node", "depth", "class")), F.coalesce("feature", F.lit(-1)).cast("long").alias("feature"), F.coalesce("threshold", F.lit(0.0)).alias("threshold"), *(F.coalesce(c, F.lit(-1)).cast("long").alias(c) for c in ("left", "right")), "error")
+
+
+QUERIES = {f.__name__: f for f in (s12_forest, s8_gray_map, s9_report_cells, s10_report_line, s11_model, s16_json, s17_side_file, s19_measure_text, c5_assessment, q36_batch, c8_sizes, st_event_windows, n24_preview_classes)}
 
 ORACLES = {
+    "s12_forest": "select s_suppkey as path, tree, node, depth, label as class, case when feature = -2 then s_suppkey % 69 else feature end as feature, case when threshold = -8 then s_suppkey / 8.0::double when threshold = -9 then s_suppkey::double else threshold::double end as threshold, l as \"left\", r as \"right\", case when s_suppkey % 7 = 0 then 'count' end as error from supplier, (values (0::bigint, 0::bigint, 0::bigint, 1::bigint, -2::bigint, -8.0, 1::bigint, 2::bigint), (0, 1, 1, 0, -1, 0, -1, -1), (0, 2, 1, 1, -1, 0, -1, -1), (1, 0, 0, 0, 3, -0.015, 1, 2), (1, 1, 1, 1, -1, 0, -1, -1), (1, 2, 1, 0, 4, -9, 3, 4), (1, 3, 2, 0, -1, 0, -1, -1), (1, 4, 2, 1, -1, 0, -1, -1)) t(tree, node, depth, label, feature, threshold, l, r)",
     "s8_gray_map": "select p_partkey, case when p_partkey % 4 < 2 then 4 else 0 end::bigint as width, case when p_partkey % 4 < 2 then md5(p_partkey::varchar) end as pixels from part",
     "s9_report_cells": "select p_partkey, replace(p_name, ' ', ', ') as c0, 'say \"' || p_brand || '\"' as c1, case when p_partkey % 3 <> 0 then p_size::varchar end as c2, '' as c3, null::varchar as c4, 5::bigint as n from part",
     "s10_report_line": "select p_partkey, case when p_partkey % 3 = 0 then '\"' || p_brand || ', \"\"x\"\"\"' else p_brand end || ',' || case when p_partkey % 5 = 0 then 'NA' else regexp_replace((p_partkey / 8.0::double)::varchar, '[.]0$', '') end || ',' || case when p_partkey % 2 = 0 then p_size::varchar else 'NA' end || ',' || p_type as line from part",
