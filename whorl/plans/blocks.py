@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import slanted
+from ..operators.checkpoints import saved
 
 WIDTH, HEIGHT = 100, 136
 
@@ -66,18 +67,18 @@ def q21_blocks(spark, sf_dir):
 
 
 def q23_clarity(spark, sf_dir):
-    found = slanted.local_clarity(slanted.turned_blocks(*_blocks(spark, sf_dir)))
+    found = slanted.local_clarity(saved(slanted.turned_blocks(*_blocks(spark, sf_dir))))
     return _NAMES(found, F.round("value", 6).alias("value"))
 
 
 def q23_features(spark, sf_dir):
-    values = slanted.local_clarity(slanted.turned_blocks(*_blocks(spark, sf_dir)))
+    values = slanted.local_clarity(saved(slanted.turned_blocks(*_blocks(spark, sf_dir))))
     found = slanted.block_features(values, slanted.CLARITY_BOUNDS, "LCS_Bin10_")
     return found.select("image_id", *(F.col(f"LCS_Bin10_{i}").cast("long").alias(f"n{i}") for i in range(10)), F.round("LCS_Bin10_Mean", 6).alias("mean"), F.round("LCS_Bin10_StdDev", 6).alias("sd"))
 
 
 def q24_uniformity(spark, sf_dir):
-    found = slanted.uniformity_ratios(slanted.turned_blocks(*_blocks(spark, sf_dir), border=2))
+    found = slanted.uniformity_ratios(saved(slanted.turned_blocks(*_blocks(spark, sf_dir), border=2)))
     return _NAMES(found, F.col("turn").cast("long"), F.round("value", 6).alias("value"))
 
 

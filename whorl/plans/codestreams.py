@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import codestream as cs
+from ..operators import dumps
 
 
 def _key() -> Column:
@@ -92,7 +93,18 @@ def w13_blocks(spark, sf_dir):
     return found.select("image_id", F.col("block").cast("long").alias("block"), "n")
 
 
-QUERIES = {f.__name__: f for f in (s3_inspect, w2_segments, w6_filters, w7_bins, w9_codes, w13_blocks)}
+def c10_differences(spark, sf_dir):
+    """Digests of parts and copies with two bytes changed, of which every fifth has two more at its end."""
+    parts, key = spark.read.parquet(f"{sf_dir}/part.parquet"), F.col("p_partkey")
+    content = F.md5(key.cast("string").cast("binary"))
+    at = lambda text, place, byte: F.overlay(text, F.lit(byte), (2 * place + 1).cast("int"), F.lit(2))
+    changed = at(at(content, key % 16, "ff"), key * 3 % 16, "00")
+    copy = F.when(key % 5 == 0, F.concat(changed, F.lit("abcd"))).otherwise(changed)
+    found = dumps.byte_differences(parts.select(key.alias("path"), F.unhex(content).alias("content")), parts.select(key.alias("path"), F.unhex(copy).alias("content")))
+    return found.select(F.col("path").cast("long").alias("path"), "byte_offset", "length", F.lower(F.hex("expected")).alias("expected"), F.lower(F.hex("actual")).alias("actual"))
+
+
+QUERIES = {f.__name__: f for f in (c10_differences, s3_inspect, w2_segments, w6_filters, w7_bins, w9_codes, w13_blocks)}
 
 _GOOD = "p_partkey % 7 > 4"
 _FF = "len(list_filter(range(16), lambda i: substr(md5(p_partkey::varchar), 2 * i::int + 1, 2) = 'ff'))"
@@ -103,6 +115,9 @@ _VALUES = {
 _SCALED = "floor({v} * 10.0::double ** {s} + 0.5) / 10.0::double ** {s}"
 _STEP = "case when {v} * 100000 < 65535 then 5 when {v} * 10000 < 65535 then 4 else 3 end"
 ORACLES = {
+    "c10_differences": """with b as (select p_partkey as path, i, case when i < 16 then substr(md5(p_partkey::varchar), 2 * i + 1, 2) else '' end as e, case when i >= 16 then ['ab', 'cd'][i - 15] when i = p_partkey * 3 % 16 then '00' when i = p_partkey % 16 then 'ff' else substr(md5(p_partkey::varchar), 2 * i + 1, 2) end as a from part, range(18) r(i) where i < 16 or p_partkey % 5 = 0),
+d as (select *, i - row_number() over (partition by path order by i) as g from b where e <> a)
+select path, min(i) as byte_offset, count(*) as length, string_agg(e, '' order by i) as expected, string_agg(a, '' order by i) as actual from d group by path, g""",
     "s3_inspect": "select p_partkey as path, case p_partkey % 7 when 0 then 'start' when 1 then 'order' when 2 then 'table' when 3 then 'data' when 4 then 'quantization' end as error, "
     + ", ".join(f"case when {_GOOD} then cast({v} as bigint) else -1 end as {k}" for k, v in _VALUES.items())
     + f", case when {_GOOD} then (p_partkey % 1000) / 10.0::double end as shift, case when {_GOOD} then p_size / 100.0::double end as scale, case when {_GOOD} then 0.44::double end as bin_center, case when {_GOOD} then '0,1' end as table_ids from part",
