@@ -16,7 +16,11 @@ from whorl.llm.queries import ranks
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail the base rules or a certified cutoff go."""
+    """Documents that fail the base rules or a certified cutoff go.
+
+    Null and empty texts have no words, fail the base rules and go; repeated
+    rows share their verdict; extra columns of any name stay; an empty table stays empty; texts are measured whole.
+    """
     return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
@@ -42,17 +46,29 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a benchmark item in them go."""
+    """Documents with a benchmark item in them go.
+
+    Each row is tested for itself, also where ids are null or repeated; null
+    and empty texts hold no item and stay; extra columns of any name stay; an empty table stays empty.
+    """
     return decontaminate.keep_clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data are replaced by their kind; ``n_chars`` follows the text."""
+    """Personal data are replaced by their kind; ``n_chars`` follows the text.
+
+    Null texts stay null, with a null ``n_chars``; spans that overlap are
+    replaced once, by the first kind; no row goes; extra columns of any name stay.
+    """
     return pii.redact(docs).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids of every text, their number and digest, and the digest of the decoded bytes."""
+    """Ids of every text, their number and digest, and the digest of the decoded bytes.
+
+    One row per row of ``docs``: null and empty texts have no ids and the
+    digests of nothing; null and repeated ids are kept as they are; other columns end here.
+    """
     encoded = tokens.encode(docs, **ranks())
     return tokens.digests(tokens.decode(encoded, **ranks()))
 

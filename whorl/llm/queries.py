@@ -17,6 +17,7 @@ def ranks() -> dict:
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the benchmark items in it."""
     return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
@@ -37,6 +38,7 @@ def list_changes(pages: DataFrame) -> DataFrame:
 
 
 def op2_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict of every page by the lists of ``list_changes`` at a fetch day made from its id."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     fetched = F.timestamp_seconds(F.lit(1704067200) + F.pmod(F.col("page_id") * 7919, F.lit(365)) * 86400)
     found = url_lists.url_filter(pages.withColumn("fetched", fetched), list_changes(pages))
@@ -45,38 +47,46 @@ def op2_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License of every whole text and of its lines. The given texts are no whole licenses: only lines hit there; the tests hold whole ones."""
     known = spark.createDataFrame(licenses.known_texts(), "license_id string, text string")
     found = licenses.license_scan(table(spark, sf_dir, "documents"), known)
     return found.withColumn("notices", F.array_join("notices", ","))
 
 
 def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
     return html_text.extract_text(table(spark, sf_dir, "pages"))
 
 
 def op6_extendible_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard of every document within the default limit of bytes."""
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the ids and of the decoded bytes of every document."""
     own = ranks()
     return tokens.digests(tokens.decode(tokens.encode(table(spark, sf_dir, "documents"), **own), **own))
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdict of every document, with cutoffs certified on ``labels``."""
     found = quality.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return found.withColumn("rules_failed", F.array_join("rules_failed", ","))
 
 
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of secrets of every document."""
     return secrets.span_columns(secrets.secret_scan(table(spark, sf_dir, "documents")))
 
 
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Set size and component of every document, three words and 90 percent."""
     return jaccard.jaccard_join(table(spark, sf_dir, "documents"))
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of personal data of every document."""
     return pii.span_columns(pii.pii_spans(table(spark, sf_dir, "documents")))
 
 
