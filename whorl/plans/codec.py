@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import binning, entropy, wavelets
+from ..operators.checkpoints import saved
 
 WIDTH, HEIGHT, COEFFICIENTS = 64, 72, 600
 
@@ -92,12 +93,13 @@ def _variances(spark, sf_dir: str) -> DataFrame:
 
 
 def w21_bins(spark, sf_dir):
-    found = binning.bins(_variances(spark, sf_dir)).select("image_id", F.posexplode(F.arrays_zip("q", "z")).alias("subband", "s"))
+    found = saved(binning.bins(_variances(spark, sf_dir))).select("image_id", F.posexplode(F.arrays_zip("q", "z")).alias("subband", "s"))
     return found.select("image_id", F.col("subband").cast("long"), F.round("s.q", 6).alias("q"), F.round("s.z", 6).alias("z"))
 
 
 def w22_trace(spark, sf_dir):
-    found = binning.bins(_variances(spark, sf_dir)).select("image_id", F.inline("rounds"))
+    # A generator over the fold itself would repeat it for each of its columns.
+    found = saved(binning.bins(_variances(spark, sf_dir))).select("image_id", F.inline("rounds"))
     return found.select("image_id", F.col("round").cast("long"), F.col("n_active").cast("long"), *(F.round(c, 6).alias(c) for c in ("area", "product", "scale")), F.array_join("removed", ",").alias("removed"))
 
 
