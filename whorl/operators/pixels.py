@@ -6,9 +6,12 @@ be spread over tasks and no task holds more than the rows of a block or line.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .tiles import gradients, packed, small
+
 BLOCK = 32
 #: Mean above which a row or column is blank; largest size after the crop.
 BLANK, LARGEST = 250, (800, 1000)
@@ -41,7 +44,7 @@ def crop_bounds(pixels: DataFrame) -> DataFrame:
 def crop(pixels: DataFrame) -> DataFrame:
     """Pixels inside the bounds, moved to the origin; images with errors are left out."""
     bounds = crop_bounds(pixels).where("size(errors) = 0").drop("errors")
-    return pixels.join(bounds, "image_id").where("x between left and right and y between top and bottom").select("image_id", (F.col("x") - F.col("left")).alias("x"), (F.col("y") - F.col("top")).alias("y"), "v")
+    return pixels.join(small(bounds), "image_id").where("x between left and right and y between top and bottom").select("image_id", (F.col("x") - F.col("left")).alias("x"), (F.col("y") - F.col("top")).alias("y"), "v")
 
 
 def pad(pixels: DataFrame, least: int = 196) -> DataFrame:
@@ -67,7 +70,7 @@ def normalize(pixels: DataFrame) -> DataFrame:
     """image_id, x, y, c = (v - mean) / scale; scale is the largest distance from the mean / 128, a flat image becomes zeros."""
     stats = pixels.groupBy("image_id").agg(F.avg("v").alias("shift"), F.min("v").alias("low"), F.max("v").alias("high"))
     stats = stats.select("image_id", "shift", (F.greatest(F.col("shift") - F.col("low"), F.col("high") - F.col("shift")) / 128).alias("scale"))
-    return pixels.join(stats, "image_id").select("image_id", "x", "y", F.when(F.col("scale") == 0, 0.0).otherwise((F.col("v") - F.col("shift")) / F.col("scale")).alias("c"))
+    return pixels.join(small(stats), "image_id").select("image_id", "x", "y", F.when(F.col("scale") == 0, 0.0).otherwise((F.col("v") - F.col("shift")) / F.col("scale")).alias("c"))
 
 
 def segmentation(pixels: DataFrame, block: int = BLOCK, threshold: float = 0.1) -> DataFrame:
@@ -75,7 +78,7 @@ def segmentation(pixels: DataFrame, block: int = BLOCK, threshold: float = 0.1)
     blocks = pixels.groupBy("image_id", _block("x", block).alias("bx"), _block("y", block).alias("by")).agg(F.stddev_pop("v").alias("own"))
     whole = pixels.groupBy("image_id").agg(F.stddev_pop("v").alias("all"))
     sd = F.when(F.col("all") > 0, F.col("own") / F.col("all")).otherwise(0.0)
-    return blocks.join(whole, "image_id").select("image_id", "bx", "by", sd.alias("sd"), (sd > threshold).alias("foreground"))
+    return blocks.join(small(whole), "image_id").select("image_id", "bx", "by", sd.alias("sd"), (sd > threshold).alias("foreground"))
 
 
 def block_gradients(pixels: DataFrame, size: int = BLOCK, offset: int = 0) -> DataFrame:
@@ -83,16 +86,19 @@ def block_gradients(pixels: DataFrame, size: int = BLOCK, offset: int = 0) -> Da
 
     Gradients are central differences, one-sided at the borders of a block.
     """
-    shifted = pixels.where((F.col("x") >= offset) & (F.col("y") >= offset)).select("image_id", F.floor((F.col("x") - offset) / size).cast("int").alias("bx"), F.floor((F.col("y") - offset) / size).cast("int").alias("by"), "x", "y", "v")
-    row, column = Window.partitionBy("image_id", "bx", "by", "y").orderBy("x"), Window.partitionBy("image_id", "bx", "by", "x").orderBy("y")
+    x, y = F.col("x") - offset, F.col("y") - offset
+    shifted = pixels.where((x >= 0) & (y >= 0)).select("image_id", F.floor(x / size).cast("int").alias("bx"), F.floor(y / size).cast("int").alias("by"), x.alias("x"), y.alias("y"), "v")
+    listed = shifted.groupBy("image_id", "bx", "by").agg(packed(F.col("x") - F.col("bx") * size, F.col("y") - F.col("by") * size, size).alias("listed"))
+
+    @F.pandas_udf("a double, b double, c double")
+    def means(values):
+        import pandas as pd
 
-    def slope(line) -> Column:
-        left, right = F.lag("v").over(line), F.lead("v").over(line)
-        near = F.coalesce(right - F.col("v"), F.col("v") - left, F.lit(0)).cast("double")
-        return F.when(left.isNotNull() & right.isNotNull(), (right - left) / 2.0).otherwise(near)
+        group, gx, gy = gradients(values, size)
+        return pd.DataFrame({name: np.bincount(group, g, len(values)) / size**2 for name, g in (("a", gx * gx), ("b", gy * gy), ("c", gx * gy))})
 
-    both = shifted.withColumn("gx", slope(row)).withColumn("gy", slope(column))
-    return both.groupBy("image_id", "bx", "by").agg(F.avg(F.col("gx") * F.col("gx")).alias("a"), F.avg(F.col("gy") * F.col("gy")).alias("b"), F.avg(F.col("gx") * F.col("gy")).alias("c"), F.count("*").alias("n")).where(F.col("n") == size * size).drop("n")
+    full = listed.where(F.size("listed") == size * size)
+    return full.withColumn("means", means("listed")).select("image_id", "bx", "by", "means.*")
 
 
 def orientation_certainty(pixels: DataFrame, size: int = BLOCK) -> DataFrame:
@@ -105,7 +111,7 @@ def orientation_certainty(pixels: DataFrame, size: int = BLOCK) -> DataFrame:
 def ridge_orientation(pixels: DataFrame, size: int = BLOCK, offset: int = 2) -> DataFrame:
     """image_id, bx, by, ``theta`` of the full blocks of a grid that leaves ``offset`` pixels at each side."""
     ends = pixels.groupBy("image_id").agg(F.max("x").alias("mx"), F.max("y").alias("my"))
-    inside = block_gradients(pixels, size, offset).join(ends, "image_id").where(((F.col("bx") + 1) * size + 2 * offset <= F.col("mx") + 1) & ((F.col("by") + 1) * size + 2 * offset <= F.col("my") + 1))
+    inside = block_gradients(pixels, size, offset).join(small(ends), "image_id").where(((F.col("bx") + 1) * size + 2 * offset <= F.col("mx") + 1) & ((F.col("by") + 1) * size + 2 * offset <= F.col("my") + 1))
     delta = F.col("a") - F.col("b")
     return inside.select("image_id", "bx", "by", (F.atan2(F.col("c"), delta) / 2).alias("theta"))
 
@@ -115,12 +121,14 @@ def orientation_flow(blocks: DataFrame) -> DataFrame:
 
     ``blocks``: image_id, bx, by, theta.
     """
-    moves = [F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx in (-1, 0, 1) for dy in (-1, 0, 1)]
-    asked = blocks.select("image_id", "bx", "by", "theta", F.inline(F.array(*moves)))
-    near = blocks.select("image_id", F.col("bx").alias("nx"), F.col("by").alias("ny"), F.col("theta").alias("near"))
-    both = asked.withColumns({"nx": F.col("bx") + F.col("dx"), "ny": F.col("by") + F.col("dy")}).join(near, ["image_id", "nx", "ny"], "left")
-    apart = F.abs(F.col("theta") - F.coalesce("near", F.lit(0.0)))
-    return both.groupBy("image_id", "bx", "by").agg((F.sum(F.least(apart, 2 * F.pi() - apart)) / 8).alias("flow"))
+    # Every block is dealt to the nine places that ask for it, so neighbours meet in a grouping.
+    places = [(dx, dy) for dx in (-1, 0, 1) for dy in (-1, 0, 1)]
+    moves = [F.struct(F.lit(i).alias("move"), F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for i, (dx, dy) in enumerate(places)]
+    dealt = blocks.select("image_id", "bx", "by", "theta", F.inline(F.array(*moves))).select("image_id", (F.col("bx") - F.col("dx")).alias("bx"), (F.col("by") - F.col("dy")).alias("by"), "move", "theta")
+    own = places.index((0, 0))
+    both = dealt.groupBy("image_id", "bx", "by").agg(F.count_if(F.col("move") == own).alias("n"), *(F.max(F.when(F.col("move") == i, F.col("theta"))).alias(f"theta{i}") for i in range(len(places))))
+    apart = [F.abs(F.col(f"theta{own}") - F.coalesce(f"theta{i}", F.lit(0.0))) for i in range(len(places)) if i != own]
+    return both.where("n > 0").select("image_id", "bx", "by", (sum((F.least(a, 2 * F.pi() - a) for a in apart), F.lit(0.0)) / 8).alias("flow"))
 
 
 def flow_measures(flow: DataFrame, foreground: DataFrame, least_degrees: float = 4.0) -> DataFrame:
@@ -131,7 +139,7 @@ def flow_measures(flow: DataFrame, foreground: DataFrame, least_degrees: float =
     moves = [F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx in (-1, 0, 1) for dy in (-1, 0, 1)]
     lit = foreground.where("foreground").select("image_id", F.inline(F.array(*moves)), "bx", "by").select("image_id", (F.col("bx") + F.col("dx")).alias("bx"), (F.col("by") + F.col("dy")).alias("by")).groupBy("image_id", "bx", "by").agg(F.count("*").alias("n")).where("n = 9")
     least = F.radians(F.lit(least_degrees))
-    return flow.join(lit, ["image_id", "bx", "by"], "left_semi").where(F.col("flow") > least).select("image_id", "bx", "by", ((F.col("flow") - least) / (F.pi() / 2 - least)).alias("value"))
+    return flow.join(lit.hint("merge"), ["image_id", "bx", "by"], "left_semi").where(F.col("flow") > least).select("image_id", "bx", "by", ((F.col("flow") - least) / (F.pi() / 2 - least)).alias("value"))
 
 
 def ridge_valleys(pixels: DataFrame) -> DataFrame:
@@ -145,7 +153,7 @@ def ridge_valleys(pixels: DataFrame) -> DataFrame:
     slope = F.when(under == 0, 0.0).otherwise((F.col("n") * F.col("sxy") - F.col("sx") * F.col("sy")) / (under * F.col("h")))
     line = line.withColumn("slope", slope).select("image_id", F.round("slope", 10).alias("slope"), F.round((F.col("sy") / F.col("h") - F.col("slope") * F.col("sx")) / F.col("n"), 10).alias("intercept"))
     trend = (F.col("x") + 1) * F.col("slope") + F.col("intercept")
-    return means.join(line, "image_id").select("image_id", "x", "mean", trend.alias("trend"), (F.col("mean") < trend).alias("ridge"))
+    return means.join(small(line), "image_id").select("image_id", "x", "mean", trend.alias("trend"), (F.col("mean") < trend).alias("ridge"))
 
 
 def unpack_bits(images: DataFrame, id_col: str = "image_id", data_col: str = "bits") -> DataFrame:

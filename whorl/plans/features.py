@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import measures
 from ..operators import minutiae, pixels, reports, subbands
+from ..operators.tiles import spread
 
 WIDTH, HEIGHT = 100, 104
 
@@ -22,7 +23,7 @@ def _table(spark, sf_dir: str, name: str) -> DataFrame:
 def _raster(spark, sf_dir: str) -> DataFrame:
     """A raster per supplier with a white border of 0 to 4 pixels."""
     key, x, y = F.col("image_id"), F.col("x"), F.col("y")
-    each = _table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("image_id"), F.explode(F.sequence(F.lit(0), F.lit(HEIGHT - 1))).alias("y")).withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(WIDTH - 1))))
+    each = spread(_table(spark, sf_dir, "supplier"), "s_suppkey", WIDTH * HEIGHT).select(F.col("s_suppkey").alias("image_id"), F.explode(F.sequence(F.lit(0), F.lit(HEIGHT - 1))).alias("y")).withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(WIDTH - 1))))
     border = (key % 5).cast("int")
     white = (x < border) | (y < border) | (x >= WIDTH - border) | (y >= HEIGHT - border)
     return each.select("image_id", "x", "y", F.when(white, 255).otherwise((key * 31 + x * 7 + y * 13 + F.floor(x * y / 5)) % 256).cast("int").alias("v"))
@@ -71,7 +72,7 @@ def q20_flow(spark, sf_dir):
 
 
 def _angles(spark, sf_dir):
-    cells = _table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("image_id"), F.explode(F.sequence(F.lit(0), F.lit(9))).alias("bx")).withColumn("by", F.explode(F.sequence(F.lit(0), F.lit(9))))
+    cells = spread(_table(spark, sf_dir, "supplier"), "s_suppkey", 900).select(F.col("s_suppkey").alias("image_id"), F.explode(F.sequence(F.lit(0), F.lit(9))).alias("bx")).withColumn("by", F.explode(F.sequence(F.lit(0), F.lit(9))))
     return cells.withColumn("theta", ((F.col("bx") * 7 + F.col("by") * F.col("by") * 3 + F.col("image_id")) % 31) / 10.0 - 1.5)
 
 
