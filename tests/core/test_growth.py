@@ -13,6 +13,7 @@ from whorl.operators import tiles  # noqa: E402
 from whorl.plans import registry  # noqa: E402
 
 SPREAD = [
+    "q22_ridges",
     "q14_mu",
     "q20_flow",
     "q15_otsu",
