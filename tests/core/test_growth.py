@@ -13,6 +13,12 @@ from whorl.operators import tiles  # noqa: E402
 from whorl.plans import registry  # noqa: E402
 
 SPREAD = [
+    "w19_wavelet",
+    "w15_round_trip",
+    "q25_features",
+    "q25_frequencies",
+    "q21_blocks",
+    "q28_mean_quality",
     "q22_ridges",
     "q14_mu",
     "q20_flow",
@@ -24,6 +30,15 @@ SPREAD = [
     "w20_subbands",
     "q4_pad",
 ]
+HELD = [
+    "q16_coherence",
+    "q15_runs",
+    "q15_region",
+    "q24_uniformity",
+    "q23_features",
+    "q23_clarity",
+    "c9_tolerances",
+]
 
 
 @pytest.fixture(scope="module")
@@ -40,3 +55,8 @@ def test_pixels_are_spread_and_not_broadcast(spark, monkeypatch, name):
     monkeypatch.setattr(tiles, "PER_TASK", 50)
     plan = registry.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "REPARTITION_BY_NUM" in plan and "BroadcastExchange" not in plan
+
+
+@pytest.mark.parametrize("name", HELD)
+def test_joins_do_not_rely_on_estimated_sizes(spark, name):
+    assert "BroadcastExchange" not in registry.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()

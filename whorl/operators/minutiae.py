@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .tiles import small
+
 #: Half sides of the window around the centre of mass and of a minutia's neighbourhood.
 CENTRE, NEAR = 100, 16
 
@@ -48,19 +50,22 @@ def minutia_counts(minutiae: DataFrame, images: DataFrame) -> DataFrame:
     return placed.groupBy("image_id").agg(F.count("x").alias("n"), F.count_if(side("x", "cx", "width") & side("y", "cy", "height")).alias("n_centre"))
 
 
-def mean_quality(minutiae: DataFrame, pixels: DataFrame, block: int = 32) -> DataFrame:
+def mean_quality(minutiae: DataFrame, pixels: DataFrame) -> DataFrame:
     """image_id and ``share`` of minutiae with 0 < (image mean - own mean) / sd <= 0.5, over a 32 x 32 neighbourhood.
 
-    A minutia meets pixels by the blocks that its neighbourhood touches, at most
-    four, so no image is paired with all of its minutiae.
+    Minutiae at one place share a neighbourhood. Its sum is made of line sums: a
+    pixel adds to the columns whose neighbourhoods hold it and their sums to the
+    rows, so the work follows the pixels of the images with minutiae.
     """
+    ids = minutiae.select("image_id").distinct()
+    pixels = pixels.join(small(ids), "image_id", "left_semi")
     stats = pixels.groupBy("image_id").agg(F.avg("v").alias("mean"), F.stddev_pop("v").alias("sd"))
     low = lambda c: F.greatest(F.lit(0), F.col(c) - NEAR)
-    own = minutiae.select("image_id", F.monotonically_increasing_id().alias("m"), low("x").alias("x0"), low("y").alias("y0"))
-    cells = lambda c: F.sequence(F.floor(F.col(c) / block).cast("int"), F.floor((F.col(c) + 2 * NEAR - 1) / block).cast("int"))
-    asked = own.withColumn("bx", F.explode(cells("x0"))).withColumn("by", F.explode(cells("y0")))
-    tiles = pixels.withColumns({"bx": F.floor(F.col("x") / block).cast("int"), "by": F.floor(F.col("y") / block).cast("int")})
-    near = asked.join(tiles, ["image_id", "bx", "by"]).where(f"x >= x0 and x < x0 + {2 * NEAR} and y >= y0 and y < y0 + {2 * NEAR}")
-    each = near.groupBy("image_id", "m").agg(F.avg("v").alias("own")).join(stats, "image_id")
-    z = (F.col("mean") - F.col("own")) / F.col("sd")
-    return each.groupBy("image_id").agg((F.count_if((z > 0) & (z <= 0.5)) / F.count("*")).alias("share"))
+    asked = minutiae.select("image_id", low("x").alias("x0"), low("y").alias("y0")).groupBy("image_id", "x0", "y0").agg(F.count("*").alias("times"))
+    begins = lambda c: F.explode(F.sequence(F.greatest(F.lit(0), F.col(c) - 2 * NEAR + 1), F.col(c)))
+    across = pixels.where("x >= 0 and y >= 0").select("image_id", "y", "v", begins("x").alias("x0"))
+    sums = across.groupBy("image_id", "x0", "y").agg(F.sum("v").alias("s"), F.count("v").alias("n"))
+    near = sums.select("image_id", "x0", "s", "n", begins("y").alias("y0")).groupBy("image_id", "x0", "y0").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
+    each = asked.join(near.hint("merge"), ["image_id", "x0", "y0"]).join(small(stats), "image_id")
+    z = (F.col("mean") - F.try_divide("s", "n")) / F.col("sd")
+    return each.groupBy("image_id").agg((F.sum(F.when((z > 0) & (z <= 0.5), F.col("times")).otherwise(0)) / F.sum("times")).alias("share"))

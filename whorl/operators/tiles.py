@@ -20,9 +20,10 @@ def spread(df: DataFrame, key: str, each: int) -> DataFrame:
     """``df`` dealt by ``key`` to so many tasks that none makes many more than ``PER_TASK`` rows, where each row becomes ``each``.
 
     A small file is one task however much is made of it. All rows of a key stay
-    together, so groupings by the key and more find them where they are.
+    together, so groupings by the key and more find them where they are. Never fewer
+    tasks than a shuffle has, or a join would shuffle the pixels to have more.
     """
-    tasks = max(df.sparkSession.sparkContext.defaultParallelism, math.ceil(df.count() * each / PER_TASK))
+    tasks = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(df.count() * each / PER_TASK))
     return df.repartition(tasks, key)
 
 
