@@ -8,11 +8,13 @@ Everything is joins, groupings and windows on (image, block).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .pixels import BLOCK, ridge_orientation, ridge_valleys, segmentation
 from .reports import histogram_features
+from .tiles import packed, small, unpacked
 
 # Side of the turned square, its distance from the block, bits of its fixed point, sizes of the middle.
 SQUARE, OFFSET, BITS, LONG, SHORT = 36, 2, 10, 32, 16
@@ -32,8 +34,8 @@ def valid_blocks(pixels: DataFrame) -> DataFrame:
     corners = F.array(*(F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx in (0, 1) for dy in (0, 1)))
     touched = found.select(*KEY, F.inline(corners)).select("image_id", (F.col("bx") + F.col("dx")).alias("sx"), (F.col("by") + F.col("dy")).alias("sy"), "bx", "by")
     lit = segmentation(pixels).where("foreground").select("image_id", F.col("bx").alias("sx"), F.col("by").alias("sy"))
-    inside = touched.join(lit, ["image_id", "sx", "sy"]).groupBy(*KEY).agg(F.count("*").alias("n")).where("n = 4")
-    return found.join(inside, list(KEY), "left_semi")
+    inside = touched.join(lit.hint("merge"), ["image_id", "sx", "sy"]).groupBy(*KEY).agg(F.count("*").alias("n")).where("n = 4")
+    return found.join(inside.hint("merge"), list(KEY), "left_semi")
 
 
 def turned_blocks(pixels: DataFrame, blocks: DataFrame, width: int = LONG, height: int = SHORT, border: int = 0, turn: float = 0.0) -> DataFrame:
@@ -51,20 +53,34 @@ def turned_blocks(pixels: DataFrame, blocks: DataFrame, width: int = LONG, heigh
     placed = blocks.select(*KEY, (a / det).alias("a"), (b / det).alias("b"), e.alias("e"), f.alias("f"))
     placed = placed.withColumns({"shift_x": -F.col("a") * F.col("e") + F.col("b") * F.col("f"), "shift_y": -F.col("b") * F.col("e") - F.col("a") * F.col("f")})
     left, top = SQUARE // 2 - (width // 2 - 1) - 1, SQUARE // 2 - (height // 2 - 1) - 1
-    each = placed.withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(height - 1)))).withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(width - 1))))
-    x, y, unit = F.col("x") + left, F.col("y") + top, 1 << BITS
-
-    def source(per_x: Column, per_y: Column, shift: Column) -> Column:
+    # A block begins two pixels from the grid and its square two pixels before it; a pixel lies in the squares of up to four blocks.
+    near = lambda c: F.sequence(F.floor((F.col(c) + border - side) / BLOCK).cast("int") + 1, F.floor((F.col(c) + border) / BLOCK).cast("int"))
+    each = pixels.select("image_id", "x", "y", "v", F.explode(near("x")).alias("bx")).withColumn("by", F.explode(near("y")))
+    inner = lambda c, at: F.col(c) - F.col(at) * BLOCK + border
+    squares = each.where("v is not null").groupBy(*KEY).agg(packed(inner("x", "bx"), inner("y", "by"), side).alias("square"))
+    both = placed.join(squares.hint("merge"), list(KEY), "left").withColumn("square", F.coalesce("square", F.array().cast("array<bigint>")))
+    x, y, unit = np.arange(width)[None, :] + left, np.arange(height)[:, None] + top, 1 << BITS
+
+    def source(per_x, per_y, shift) -> np.ndarray:
         """Fixed point: line start and step are rounded to even, their sum to the nearest place."""
-        start = F.rint((per_y * y + shift) * unit) + unit / 2
-        return F.floor((start + F.rint(per_x * x * unit)) / unit).cast("int")
+        per_x, per_y, shift = (c.to_numpy()[:, None, None] for c in (per_x, per_y, shift))
+        start = np.rint((per_y * y + shift) * unit) + unit / 2
+        return np.floor((start + np.rint(per_x * x * unit)) / unit).astype(int)
+
+    @F.pandas_udf("array<int>")
+    def middle(square, a, b, shift_x, shift_y):
+        import pandas as pd
+
+        group, place, v = unpacked(square)
+        black = np.zeros((len(square), side * side), np.int32)
+        black[group, place] = v
+        sx, sy = source(a, -b, shift_x), source(b, a, shift_y)
+        inside = (sx >= 0) & (sx < side) & (sy >= 0) & (sy < side)
+        found = black[np.arange(len(square))[:, None, None], np.where(inside, sy * side + sx, 0)]
+        return pd.Series(list(np.where(inside, found, 0).reshape(len(square), -1)))
 
-    sx, sy = source(F.col("a"), -F.col("b"), F.col("shift_x")), source(F.col("b"), F.col("a"), F.col("shift_y"))
-    inside = (F.col("sx") >= 0) & (F.col("sx") < side) & (F.col("sy") >= 0) & (F.col("sy") < side)
-    # A block begins two pixels from the grid and its square two pixels before it.
-    asked = each.withColumns({"sx": sx, "sy": sy}).select(*KEY, "x", "y", F.when(inside, F.col("bx") * BLOCK + F.col("sx") - border).alias("px"), F.when(inside, F.col("by") * BLOCK + F.col("sy") - border).alias("py"))
-    have = pixels.select("image_id", F.col("x").alias("px"), F.col("y").alias("py"), "v")
-    return asked.join(have, ["image_id", "px", "py"], "left").select(*KEY, "x", "y", F.coalesce("v", F.lit(0)).alias("v"))
+    turned = both.select(*KEY, F.posexplode(middle("square", "a", "b", "shift_x", "shift_y")).alias("i", "v"))
+    return turned.select(*KEY, (F.col("i") % width).alias("x"), F.floor(F.col("i") / width).cast("int").alias("y"), "v")
 
 
 def _structure(turned: DataFrame) -> DataFrame:
@@ -95,9 +111,9 @@ def local_clarity(turned: DataFrame) -> DataFrame:
     fits = lambda c, widths: F.col(c).between(widths[0] / scale, widths[1] / scale)
     usual = means.where(fits("ridge_width", RIDGE_WIDTHS) & fits("valley_width", VALLEY_WIDTHS)).select(*KEY)
     high = F.col("v") >= F.col("trend")
-    counts = turned.join(structure, [*KEY, "x"]).groupBy(*KEY).agg(F.count_if(F.col("ridge") & high).alias("ridge_bad"), F.count_if("ridge").alias("n_ridge"), F.count_if(~F.col("ridge") & ~high).alias("valley_bad"), F.count_if(~F.col("ridge")).alias("n_valley"))
+    counts = turned.join(structure.hint("merge"), [*KEY, "x"]).groupBy(*KEY).agg(F.count_if(F.col("ridge") & high).alias("ridge_bad"), F.count_if("ridge").alias("n_ridge"), F.count_if(~F.col("ridge") & ~high).alias("valley_bad"), F.count_if(~F.col("ridge")).alias("n_valley"))
     score = 1 - (F.try_divide("valley_bad", "n_valley") + F.try_divide("ridge_bad", "n_ridge")) / 2
-    return counts.join(usual.withColumn("usual", F.lit(True)), list(KEY), "left").select(*KEY, F.when(F.col("usual") & score.isNotNull(), score).otherwise(0.0).alias("value"))
+    return counts.join(usual.withColumn("usual", F.lit(True)).hint("merge"), list(KEY), "left").select(*KEY, F.when(F.col("usual") & score.isNotNull(), score).otherwise(0.0).alias("value"))
 
 
 def uniformity_ratios(turned: DataFrame) -> DataFrame:
@@ -108,7 +124,7 @@ def uniformity_ratios(turned: DataFrame) -> DataFrame:
     """
     structure = _structure(turned)
     last = structure.groupBy(*KEY).agg(F.max("x").alias("end"))
-    changes = _changes(structure).join(last, list(KEY)).where("at < end - 1")
+    changes = _changes(structure).join(last.hint("merge"), list(KEY)).where("at < end - 1")
     line = Window.partitionBy(*KEY).orderBy("at")
     whole = line.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     widths = changes.select(*KEY, "at", (F.col("at") - F.lag("at").over(line)).alias("width"), (~F.first("ended").over(whole)).cast("int").alias("ridge_first"), F.row_number().over(line).alias("n"), F.count("*").over(whole).alias("m"))
@@ -143,6 +159,6 @@ def frequencies(turned: DataFrame) -> DataFrame:
 def block_features(values: DataFrame, bounds: tuple[float, ...], prefix: str, fewest: int = 0) -> DataFrame:
     """Histogram features of one row per image, with ``error`` for images with fewer than ``fewest`` values."""
     counted = values.groupBy("image_id").agg(F.count("*").alias("n"))
-    found = histogram_features(values, "value", bounds, prefix).join(counted, "image_id")
+    found = histogram_features(values, "value", bounds, prefix).join(small(counted), "image_id")
     short = F.col("n") < fewest
     return found.select("image_id", F.when(short, "not enough blocks").alias("error"), *(F.when(~short, F.col(c)).alias(c) for c in found.columns if c.startswith(prefix)))

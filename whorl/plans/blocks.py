@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import slanted
 from ..operators.checkpoints import saved
+from ..operators.tiles import spread
 
 WIDTH, HEIGHT = 100, 136
 
@@ -16,7 +17,7 @@ WIDTH, HEIGHT = 100, 136
 def _raster(spark, sf_dir: str) -> DataFrame:
     """Waves of a direction and width of their own per supplier, with some noise; a white margin at the right."""
     key, x, y = F.col("image_id"), F.col("x"), F.col("y")
-    each = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").alias("image_id"), F.explode(F.sequence(F.lit(0), F.lit(HEIGHT - 1))).alias("y")).withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(WIDTH - 1))))
+    each = spread(spark.read.parquet(f"{sf_dir}/supplier.parquet"), "s_suppkey", WIDTH * HEIGHT).select(F.col("s_suppkey").alias("image_id"), F.explode(F.sequence(F.lit(0), F.lit(HEIGHT - 1))).alias("y")).withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(WIDTH - 1))))
     wave = F.abs((x * (2 + key % 3) + y * (key % 4)) % 26 - 13) * 17
     return each.select("image_id", "x", "y", F.when(x >= WIDTH - key % 5, 255).otherwise(wave + (x * y + key) % 29).cast("int").alias("v"))
 
