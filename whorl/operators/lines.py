@@ -16,14 +16,14 @@ from pyspark.sql import functions as F
 def lines(pixels: DataFrame, along: str = "x", value: str = "v") -> DataFrame:
     """Rows (``along`` x) or columns (y) of full rasters; ``line`` is the other coordinate."""
     other = "y" if along == "x" else "x"
-    each = F.array_sort(F.collect_list(F.struct(F.col(along).alias("at"), F.col(value).cast("double").alias("v"))))
-    return pixels.groupBy("image_id", F.col(other).cast("int").alias("line")).agg(F.transform(each, lambda p: p.v).alias("v"))
+    each = F.sort_array(F.collect_list(F.struct(F.col(along).alias("at"), F.col(value).cast("double").alias("v"))))
+    return pixels.groupBy("image_id", F.col(other).cast("int").alias("line")).agg(each.v.alias("v"))
 
 
 def turned(rows: DataFrame) -> DataFrame:
     """The lines across: place i of line j becomes place j of line i."""
     each = rows.select("image_id", F.col("line").alias("at"), F.posexplode("v").alias("line", "v"))
-    return each.groupBy("image_id", "line").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "v"))), lambda p: p.v).alias("v"))
+    return each.groupBy("image_id", "line").agg(F.sort_array(F.collect_list(F.struct("at", "v"))).v.alias("v"))
 
 
 def long_form(rows: DataFrame, along: str = "x", value: str = "v") -> DataFrame:

@@ -2,9 +2,8 @@
 
 Trees are a table of paths: every node halves the width and the height along a
 path of its own, so all sizes are split by column expressions. The transform
-works on lines: on each of the five levels the parts of a row that belong to the
-level's nodes are filtered, then those of the columns. Between them pixels
-are turned by one shuffle.
+gathers the lines of each image once; on each of the five levels the parts of the
+rows that belong to the level's nodes are filtered, then those of the columns.
 """
 
 from __future__ import annotations
@@ -13,7 +12,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .lines import lines, long_form, mirrored
+from .lines import lines, mirrored
 
 # The analysis filters of the format, from their first tap to the middle.
 LOW_HALF = (0.03782845550699546, -0.02384946501938000, -0.11062440441842342, 0.37740285561265380, 0.85269867900940344)
@@ -60,11 +59,16 @@ def _left(path: Column, length: Column) -> Column:
 
 def trees(sizes: DataFrame) -> DataFrame:
     """width, height, kind, node, x, y, node_width, node_height, turned_rows, turned_columns of every distinct size."""
+    return placed(sizes.select("width", "height").distinct())
+
+
+def placed(sizes: DataFrame) -> DataFrame:
+    """The trees of every row; its own columns stay."""
     nodes = F.array(*(F.struct(F.lit(kind).alias("kind"), F.lit(node).alias("node"), F.lit(x).alias("x_path"), F.lit(y).alias("y_path")) for kind, node, x, y in paths()))
-    rows = sizes.select("width", "height").distinct().select("width", "height", F.inline(nodes))
+    rows = sizes.select("*", F.inline(nodes))
     rows = rows.withColumns({"ax": _left(F.col("x_path"), F.col("width")), "ay": _left(F.col("y_path"), F.col("height"))})
     flag = lambda chosen: (F.col("kind") == "node") & F.col("node").isin(*chosen)
-    return rows.select("width", "height", "kind", "node", F.col("ax.at").alias("x"), F.col("ay.at").alias("y"), F.col("ax.n").alias("node_width"), F.col("ay.n").alias("node_height"), flag(TURNED_ROWS).alias("turned_rows"), flag(TURNED_COLUMNS).alias("turned_columns"))
+    return rows.select(*sizes.columns, "kind", "node", F.col("ax.at").alias("x"), F.col("ay.at").alias("y"), F.col("ax.n").alias("node_width"), F.col("ay.n").alias("node_height"), flag(TURNED_ROWS).alias("turned_rows"), flag(TURNED_COLUMNS).alias("turned_columns"))
 
 
 def analysed(m: np.ndarray, swap: bool) -> np.ndarray:
@@ -91,57 +95,61 @@ def joined(m: np.ndarray, swap: bool) -> np.ndarray:
     return np.einsum("lnk,nk->ln", mixed[:, mirrored(place, n)], weight)
 
 
-def _pass(rows: DataFrame, level: tuple[int, ...], along: str, kernel) -> DataFrame:
-    """``kernel`` on the parts of the lines that belong to nodes of the level.
-
-    ``rows``: image_id, line, across (number of lines), v. ``along``: x for rows, y for columns.
-    """
-    of = {node: (x, y) for kind, node, x, y in paths() if kind == "node"}
+def _places(level: tuple[int, ...], along: str, width: int, height: int) -> list[tuple[int, int, int, int, bool]]:
+    """(x, y, width, height, swap) of the nodes of a level; ``along``: x for rows, y for columns."""
     turned = TURNED_ROWS if along == "x" else TURNED_COLUMNS
-    listed = []
-    for node in level:
-        mine, cross = of[node] if along == "x" else of[node][::-1]
-        listed.append(F.struct(F.lit(mine).alias("mine"), F.lit(cross).alias("cross"), F.lit(int(node in turned)).alias("swap")))
-    placed = F.transform(F.array(*listed), lambda k: F.struct(_left(k.mine, F.size("v")).alias("own"), _left(k.cross, F.col("across")).alias("lines"), k.swap.alias("swap")))
-    mine = F.filter(placed, lambda k: (F.col("line") >= k["lines"].at) & (F.col("line") < k["lines"].at + k["lines"].n) & (k.own.n > 0))
-    parts = F.flatten(F.transform(mine, lambda k: F.array(k.own.at, k.own.n, k.swap)))
+    of = {node: (x, y) for kind, node, x, y in paths() if kind == "node"}
+    return [(*(v for pair in zip(halved(of[k][0], width), halved(of[k][1], height), strict=True) for v in pair), k in turned) for k in level]
+
+
+def halved(path: str, n: int) -> tuple[int, int]:
+    """Place and length of what a path leaves of a length."""
+    at = 0
+    for step in path:
+        first = (n + 1) // 2 if step in "fs" else n // 2
+        at, n = (at + first, n - first) if step in "sS" else (at, first)
+    return at, n
+
+
+def _sheets(pixels: DataFrame, value: str) -> DataFrame:
+    """image_id, ``height`` and ``v``: the lines of an image one after the other."""
+    rows = lines(pixels, "x", value).groupBy("image_id").agg(F.sort_array(F.collect_list(F.struct("line", "v"))).alias("rows"))
+    return rows.select("image_id", F.size("rows").alias("height"), F.flatten(F.col("rows").v).alias("v"))
+
+
+def _run(pixels: DataFrame, value: str, steps: list, kernel) -> DataFrame:
+    """image_id, height, v after the steps (level, along) in order: an image is gathered once and filtered as a whole."""
 
     @F.pandas_udf("array<double>")
-    def run(values, parts):
+    def run(values, heights):
         import pandas as pd
 
         out, of = [None] * len(values), {}
-        for i, (row, part) in enumerate(zip(values, parts, strict=True)):
-            of.setdefault((len(row), tuple(part)), []).append(i)
-        for (_, part), places in of.items():
-            made = np.stack([values.iloc[i] for i in places]).astype(float)
-            for at, n, swap in zip(*[iter(part)] * 3, strict=True):
-                made[:, at : at + n] = kernel(made[:, at : at + n], bool(swap))
-            for i, row in zip(places, made, strict=True):
+        for i, (row, height) in enumerate(zip(values, heights, strict=True)):
+            of.setdefault((len(row) // height, height), []).append(i)
+        for (width, height), places in of.items():
+            made = np.stack([values.iloc[i] for i in places]).astype(float).reshape(-1, height, width)
+            for level, along in steps:
+                for x, y, w, h, swap in _places(level, along, width, height):
+                    part = made[:, y : y + h, x : x + w]
+                    if not part.size:
+                        continue
+                    if along == "x":
+                        part[:] = kernel(part.reshape(-1, w), swap).reshape(part.shape)
+                    else:
+                        part[:] = kernel(part.transpose(0, 2, 1).reshape(-1, h), swap).reshape(-1, w, h).transpose(0, 2, 1)
+            for i, row in zip(places, made.reshape(len(places), -1), strict=True):
                 out[i] = row
         return pd.Series(out)
 
-    return rows.withColumn("v", run("v", parts))
-
+    return _sheets(pixels, value).withColumn("v", run("v", "height"))
 
-def _turned(rows: DataFrame) -> DataFrame:
-    """Lines across, with the number of them."""
-    each = rows.select("image_id", F.size("v").alias("across"), F.col("line").alias("at"), F.posexplode("v").alias("line", "v"))
-    return each.groupBy("image_id", "line", "across").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "v"))), lambda p: p.v).alias("v"))
 
-
-def _rows(pixels: DataFrame, value: str) -> DataFrame:
-    height = pixels.groupBy("image_id").agg((F.max("y") + 1).cast("int").alias("across"))
-    return lines(pixels, "x", value).join(height, "image_id").select("image_id", "line", "across", "v")
-
-
-def _run(pixels: DataFrame, value: str, steps: list, kernel) -> DataFrame:
-    """Steps (level, along) in order; neighbouring steps along one axis need no shuffle between them."""
-    rows, now = _rows(pixels, value), "x"
-    for level, along in steps:
-        rows, now = (rows if along == now else _turned(rows)), along
-        rows = _pass(rows, level, along, kernel)
-    return long_form(rows, now, "c")
+def _long(sheets: DataFrame, value: str = "c") -> DataFrame:
+    """image_id, x, y and the value of each pixel."""
+    width = F.col("width")
+    each = sheets.select("image_id", F.floor(F.size("v") / F.col("height")).alias("width"), F.posexplode("v").alias("i", value))
+    return each.select("image_id", (F.col("i") % width).cast("int").alias("x"), F.floor(F.col("i") / width).cast("int").alias("y"), value)
 
 
 def _steps(levels: tuple) -> list:
@@ -151,12 +159,12 @@ def _steps(levels: tuple) -> list:
 
 def decompose(pixels: DataFrame, levels: tuple = LEVELS, value: str = "c") -> DataFrame:
     """image_id, x, y, c: the coefficients of full rasters (image_id, x, y and ``value``), in double precision."""
-    return _run(pixels, value, _steps(levels), analysed)
+    return _long(_run(pixels, value, _steps(levels), analysed))
 
 
 def reconstruct(coefficients: DataFrame, levels: tuple = LEVELS, value: str = "c") -> DataFrame:
     """image_id, x, y, c: the raster of the coefficients."""
-    return _run(coefficients, value, _steps(levels)[::-1], joined)
+    return _long(_run(coefficients, value, _steps(levels)[::-1], joined))
 
 
 def slots_of(coefficients: DataFrame, value: str = "c") -> DataFrame:
@@ -165,6 +173,6 @@ def slots_of(coefficients: DataFrame, value: str = "c") -> DataFrame:
     Each row of a slot meets one line of its image; empty slots have no rows.
     """
     size = coefficients.groupBy("image_id").agg((F.max("x") + 1).cast("int").alias("width"), (F.max("y") + 1).cast("int").alias("height"))
-    slots = trees(size).where("kind = 'slot' and node_width > 0 and node_height > 0").withColumn("row", F.explode(F.sequence(F.lit(0), F.col("node_height") - 1)))
-    asked = size.join(slots, ["width", "height"]).select("image_id", F.col("node").alias("slot"), "row", (F.col("y") + F.col("row")).alias("line"), "x", "node_width")
-    return lines(coefficients, "x", value).join(asked, ["image_id", "line"]).select("image_id", "slot", "row", F.slice("v", F.col("x") + 1, F.col("node_width")).alias("v"))
+    slots = placed(size).where("kind = 'slot' and node_width > 0 and node_height > 0").withColumn("row", F.explode(F.sequence(F.lit(0), F.col("node_height") - 1)))
+    asked = slots.select("image_id", F.col("node").alias("slot"), "row", (F.col("y") + F.col("row")).alias("line"), "x", "node_width")
+    return lines(coefficients, "x", value).join(asked.hint("merge"), ["image_id", "line"]).select("image_id", "slot", "row", F.slice("v", F.col("x") + 1, F.col("node_width")).alias("v"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..operators import binning, entropy, wavelets
 from ..operators.checkpoints import saved
+from ..operators.tiles import spread
 
 WIDTH, HEIGHT, COEFFICIENTS = 64, 72, 600
 
@@ -21,7 +22,7 @@ def _keys(spark, sf_dir: str, table: str = "supplier") -> DataFrame:
 
 def _raster(spark, sf_dir: str) -> DataFrame:
     x, y, key = F.col("x"), F.col("y"), F.col("image_id")
-    each = _keys(spark, sf_dir).select(F.col("s_suppkey").alias("image_id"), F.explode(F.sequence(F.lit(0), F.lit(HEIGHT - 1))).alias("y")).withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(WIDTH - 1))))
+    each = spread(_keys(spark, sf_dir), "s_suppkey", WIDTH * HEIGHT).select(F.col("s_suppkey").alias("image_id"), F.explode(F.sequence(F.lit(0), F.lit(HEIGHT - 1))).alias("y")).withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(WIDTH - 1))))
     return each.select("image_id", "x", "y", ((key * 31 + x * 7 + y * 13 + F.floor(x * y / 5)) % 256 - 128).cast("double").alias("c"))
 
 
@@ -81,7 +82,7 @@ def w15_round_trip(spark, sf_dir):
     """Largest distance of each raster from itself after the transform and back."""
     raster = _raster(spark, sf_dir)
     back = wavelets.reconstruct(wavelets.decompose(raster)).withColumnRenamed("c", "back")
-    both = raster.join(back, ["image_id", "x", "y"])
+    both = raster.join(back.hint("merge"), ["image_id", "x", "y"])
     return both.groupBy("image_id").agg(F.count("*").alias("n"), F.round(F.max(F.abs(F.col("c") - F.col("back"))), 6).alias("worst"))
 
 
@@ -114,7 +115,7 @@ ended as (select image_id, bands, scale from rounds where round > 0 qualify row_
 def _coefficients(spark, sf_dir: str) -> DataFrame:
     """600 coefficients per supplier in blocks of 100, 200 and 300, with a zero run of up to 280 and values of every symbol class."""
     key, i = F.col("image_id"), F.col("i")
-    each = _keys(spark, sf_dir).select(F.col("s_suppkey").alias("image_id"), F.explode(F.sequence(F.lit(0), F.lit(COEFFICIENTS - 1))).alias("i"))
+    each = spread(_keys(spark, sf_dir), "s_suppkey", COEFFICIENTS).select(F.col("s_suppkey").alias("image_id"), F.explode(F.sequence(F.lit(0), F.lit(COEFFICIENTS - 1))).alias("i"))
     v = F.when((i >= 310) & (i <= 310 + key * 37 % 280), 0).when((i * 7 + key * 3) % 10 < 5, 0).when(i % 97 == 5, 76 + i * key % 170).when(i % 89 == 7, -(300 + key % 500)).when(i % 83 == 11, 256 + key % 700).when(i % 79 == 3, -(74 + i % 100)).otherwise((i * i + key) % 21 - 10)
     block = F.when(i < 100, 0).when(i < 300, 1).otherwise(2)
     return each.select("image_id", block.alias("block"), (i - F.when(i < 100, 0).when(i < 300, 100).otherwise(300)).alias("place"), v.cast("int").alias("v"))
