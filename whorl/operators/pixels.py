@@ -7,10 +7,11 @@ be spread over tasks and no task holds more than the rows of a block or line.
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .tiles import gradients, packed, small
+from .tiles import gradients, listed, sheets, small
 
 BLOCK = 32
 #: Mean above which a row or column is blank; largest size after the crop.
@@ -86,18 +87,16 @@ def block_gradients(pixels: DataFrame, size: int = BLOCK, offset: int = 0) -> Da
 
     Gradients are central differences, one-sided at the borders of a block.
     """
-    x, y = F.col("x") - offset, F.col("y") - offset
-    shifted = pixels.where((x >= 0) & (y >= 0)).select("image_id", F.floor(x / size).cast("int").alias("bx"), F.floor(y / size).cast("int").alias("by"), x.alias("x"), y.alias("y"), "v")
-    listed = shifted.groupBy("image_id", "bx", "by").agg(packed(F.col("x") - F.col("bx") * size, F.col("y") - F.col("by") * size, size).alias("listed"))
 
-    @F.pandas_udf("a double, b double, c double")
-    def means(values):
-        import pandas as pd
+    @F.arrow_udf("struct<a:double,b:double,c:double>")
+    def means(values: pa.Array) -> pa.Array:
+        found = [np.empty((3, 0))]
+        for v, there in sheets(values, size):
+            gx, gy = gradients(v, there)
+            found.append(np.stack([(g * h).sum((1, 2)) for g, h in ((gx, gx), (gy, gy), (gx, gy))]) / size**2)
+        return pa.StructArray.from_arrays([pa.array(m) for m in np.concatenate(found, 1)], ["a", "b", "c"])
 
-        group, gx, gy = gradients(values, size)
-        return pd.DataFrame({name: np.bincount(group, g, len(values)) / size**2 for name, g in (("a", gx * gx), ("b", gy * gy), ("c", gx * gy))})
-
-    full = listed.where(F.size("listed") == size * size)
+    full = listed(pixels.where((F.col("x") >= offset) & (F.col("y") >= offset)), size, offset).where(F.size("listed") == size * size)
     return full.withColumn("means", means("listed")).select("image_id", "bx", "by", "means.*")
 
 
@@ -146,14 +145,18 @@ def ridge_valleys(pixels: DataFrame) -> DataFrame:
     """image_id, x, ``mean`` of the column, ``trend`` (least squares over 1-based columns, rounded to ten places) and ``ridge`` (mean below trend)."""
     # Sums stay whole numbers up to the one division, so the rounding does not depend on their order.
     columns = pixels.groupBy("image_id", "x").agg(F.sum("v").alias("s"), F.count("*").alias("h"))
-    means = columns.select("image_id", "x", (F.col("s") / F.col("h")).alias("mean"))
+    return with_trend(columns, ["image_id"]).select("image_id", "x", "mean", "trend", "ridge")
+
+
+def with_trend(columns: DataFrame, key: list[str]) -> DataFrame:
+    """Columns (``key``, x, sum ``s`` and height ``h``) with ``mean``, ``trend`` and ``ridge``; see ``ridge_valleys``."""
     n, x = F.count("*"), F.col("x").cast("long") + 1
-    line = columns.groupBy("image_id").agg(F.first("h").alias("h"), n.alias("n"), F.sum(x).alias("sx"), F.sum(x * x).alias("sxx"), F.sum("s").alias("sy"), F.sum(x * F.col("s")).alias("sxy"))
+    line = columns.groupBy(*key).agg(F.first("h").alias("lh"), n.alias("n"), F.sum(x).alias("sx"), F.sum(x * x).alias("sxx"), F.sum("s").alias("sy"), F.sum(x * F.col("s")).alias("sxy"))
     under = F.col("n") * F.col("sxx") - F.col("sx") * F.col("sx")
-    slope = F.when(under == 0, 0.0).otherwise((F.col("n") * F.col("sxy") - F.col("sx") * F.col("sy")) / (under * F.col("h")))
-    line = line.withColumn("slope", slope).select("image_id", F.round("slope", 10).alias("slope"), F.round((F.col("sy") / F.col("h") - F.col("slope") * F.col("sx")) / F.col("n"), 10).alias("intercept"))
-    trend = (F.col("x") + 1) * F.col("slope") + F.col("intercept")
-    return means.join(small(line), "image_id").select("image_id", "x", "mean", trend.alias("trend"), (F.col("mean") < trend).alias("ridge"))
+    slope = F.when(under == 0, 0.0).otherwise((F.col("n") * F.col("sxy") - F.col("sx") * F.col("sy")) / (under * F.col("lh")))
+    line = line.withColumn("slope", slope).select(*key, F.round("slope", 10).alias("slope"), F.round((F.col("sy") / F.col("lh") - F.col("slope") * F.col("sx")) / F.col("n"), 10).alias("intercept"))
+    mean, trend = F.col("s") / F.col("h"), (F.col("x") + 1) * F.col("slope") + F.col("intercept")
+    return columns.join(small(line), key).withColumns({"mean": mean, "trend": trend, "ridge": mean < trend})
 
 
 def unpack_bits(images: DataFrame, id_col: str = "image_id", data_col: str = "bits") -> DataFrame:

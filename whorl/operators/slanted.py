@@ -9,12 +9,13 @@ Everything is joins, groupings and windows on (image, block).
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .pixels import BLOCK, ridge_orientation, ridge_valleys, segmentation
+from .pixels import BLOCK, ridge_orientation, segmentation, with_trend
 from .reports import histogram_features
-from .tiles import packed, small, unpacked
+from .tiles import listed, sheets
 
 # Side of the turned square, its distance from the block, bits of its fixed point, sizes of the middle.
 SQUARE, OFFSET, BITS, LONG, SHORT = 36, 2, 10, 32, 16
@@ -38,8 +39,8 @@ def valid_blocks(pixels: DataFrame) -> DataFrame:
     return found.join(inside.hint("merge"), list(KEY), "left_semi")
 
 
-def turned_blocks(pixels: DataFrame, blocks: DataFrame, width: int = LONG, height: int = SHORT, border: int = 0, turn: float = 0.0) -> DataFrame:
-    """image_id, bx, by, x, y, v: the middle of each block turned by ``theta`` + ``turn``.
+def turned_lines(pixels: DataFrame, blocks: DataFrame, width: int = LONG, height: int = SHORT, border: int = 0, turn: float = 0.0, along: str = "y") -> DataFrame:
+    """image_id, bx, by, x, v: the columns of the middle of each block turned by ``theta`` + ``turn``; its rows (y, v) with ``along`` x.
 
     ``border``: pixels around the square that may be sampled too. Places
     outside it and outside the image are black.
@@ -54,39 +55,52 @@ def turned_blocks(pixels: DataFrame, blocks: DataFrame, width: int = LONG, heigh
     placed = placed.withColumns({"shift_x": -F.col("a") * F.col("e") + F.col("b") * F.col("f"), "shift_y": -F.col("b") * F.col("e") - F.col("a") * F.col("f")})
     left, top = SQUARE // 2 - (width // 2 - 1) - 1, SQUARE // 2 - (height // 2 - 1) - 1
     # A block begins two pixels from the grid and its square two pixels before it; a pixel lies in the squares of up to four blocks.
-    near = lambda c: F.sequence(F.floor((F.col(c) + border - side) / BLOCK).cast("int") + 1, F.floor((F.col(c) + border) / BLOCK).cast("int"))
-    each = pixels.select("image_id", "x", "y", "v", F.explode(near("x")).alias("bx")).withColumn("by", F.explode(near("y")))
-    inner = lambda c, at: F.col(c) - F.col(at) * BLOCK + border
-    squares = each.where("v is not null").groupBy(*KEY).agg(packed(inner("x", "bx"), inner("y", "by"), side).alias("square"))
-    both = placed.join(squares.hint("merge"), list(KEY), "left").withColumn("square", F.coalesce("square", F.array().cast("array<bigint>")))
+    squares = listed(pixels, BLOCK, -border, side)
+    both = placed.join(squares.hint("merge"), list(KEY), "left").withColumn("listed", F.coalesce("listed", F.array().cast("array<bigint>")))
     x, y, unit = np.arange(width)[None, :] + left, np.arange(height)[:, None] + top, 1 << BITS
 
     def source(per_x, per_y, shift) -> np.ndarray:
         """Fixed point: line start and step are rounded to even, their sum to the nearest place."""
-        per_x, per_y, shift = (c.to_numpy()[:, None, None] for c in (per_x, per_y, shift))
+        per_x, per_y, shift = (c[:, None, None] for c in (per_x, per_y, shift))
         start = np.rint((per_y * y + shift) * unit) + unit / 2
         return np.floor((start + np.rint(per_x * x * unit)) / unit).astype(int)
 
-    @F.pandas_udf("array<int>")
-    def middle(square, a, b, shift_x, shift_y):
-        import pandas as pd
+    @F.arrow_udf("array<array<int>>")
+    def middle(values: pa.Array, a: pa.Array, b: pa.Array, shift_x: pa.Array, shift_y: pa.Array) -> pa.Array:
+        found, at = [np.empty(0, np.int32)], 0
+        turns = [c.to_numpy(zero_copy_only=False) for c in (a, b, shift_x, shift_y)]
+        for black, _ in sheets(values, side):
+            n = len(black)
+            a, b, to_x, to_y = (c[at : at + n] for c in turns)
+            sx, sy = source(a, -b, to_x), source(b, a, to_y)
+            inside = (sx >= 0) & (sx < side) & (sy >= 0) & (sy < side)
+            made = np.where(inside, black[np.arange(n)[:, None, None], np.where(inside, sy, 0), np.where(inside, sx, 0)], 0).astype(np.int32)
+            found.append((made if along == "x" else made.transpose(0, 2, 1)).ravel())
+            at += n
+        lines, length = (height, width) if along == "x" else (width, height)
+        each = pa.ListArray.from_arrays(np.arange(at * lines + 1, dtype=np.int32) * length, np.concatenate(found))
+        return pa.ListArray.from_arrays(np.arange(at + 1, dtype=np.int32) * lines, each)
+
+    return both.select(*KEY, F.posexplode(middle("listed", "a", "b", "shift_x", "shift_y")).alias("y" if along == "x" else "x", "v"))
+
+
+def turned_blocks(pixels: DataFrame, blocks: DataFrame, width: int = LONG, height: int = SHORT, border: int = 0, turn: float = 0.0) -> DataFrame:
+    """image_id, bx, by, x, y, v: the pixels of ``turned_lines``."""
+    rows = turned_lines(pixels, blocks, width, height, border, turn, "x")
+    return rows.select(*KEY, "y", F.posexplode("v").alias("x", "v")).select(*KEY, "x", "y", "v")
 
-        group, place, v = unpacked(square)
-        black = np.zeros((len(square), side * side), np.int32)
-        black[group, place] = v
-        sx, sy = source(a, -b, shift_x), source(b, a, shift_y)
-        inside = (sx >= 0) & (sx < side) & (sy >= 0) & (sy < side)
-        found = black[np.arange(len(square))[:, None, None], np.where(inside, sy * side + sx, 0)]
-        return pd.Series(list(np.where(inside, found, 0).reshape(len(square), -1)))
 
-    turned = both.select(*KEY, F.posexplode(middle("square", "a", "b", "shift_x", "shift_y")).alias("i", "v"))
-    return turned.select(*KEY, (F.col("i") % width).alias("x"), F.floor(F.col("i") / width).cast("int").alias("y"), "v")
+def _gathered(turned: DataFrame, line: str) -> DataFrame:
+    """Turned blocks as lines (KEY, ``line``, list v); pixels are grouped, lines stay."""
+    if turned.schema["v"].dataType.typeName() == "array":
+        return turned
+    return turned.groupBy(*KEY, line).agg(F.collect_list("v").alias("v"))
 
 
-def _structure(turned: DataFrame) -> DataFrame:
-    """image_id, bx, by, x, trend, ridge of turned blocks."""
-    found = ridge_valleys(turned.select(F.struct(*KEY).alias("image_id"), "x", "v"))
-    return found.select("image_id.*", "x", "trend", "ridge")
+def _structure(columns: DataFrame) -> DataFrame:
+    """image_id, bx, by, x, v, trend, ridge of the columns of turned blocks."""
+    summed = columns.select(*KEY, "x", "v", F.aggregate("v", F.lit(0).cast("long"), lambda s, v: s + v).alias("s"), F.size("v").cast("long").alias("h"))
+    return with_trend(summed, list(KEY)).select(*KEY, "x", "v", "trend", "ridge")
 
 
 def _changes(structure: DataFrame) -> DataFrame:
@@ -102,7 +116,7 @@ def local_clarity(turned: DataFrame) -> DataFrame:
     0 for blocks without a change, with a mean width of ridges or valleys
     that is none of a finger, or with one kind only.
     """
-    structure = _structure(turned)
+    structure = _structure(_gathered(turned, "x"))
     line = Window.partitionBy(*KEY).orderBy("at")
     widths = _changes(structure).withColumn("width", F.col("at") - F.coalesce(F.lag("at").over(line), F.lit(0)))
     scale = PPI / 125.0 * WIDEST
@@ -110,8 +124,9 @@ def local_clarity(turned: DataFrame) -> DataFrame:
     means = widths.groupBy(*KEY).agg(mean(F.col("ended")).alias("ridge_width"), mean(~F.col("ended")).alias("valley_width"))
     fits = lambda c, widths: F.col(c).between(widths[0] / scale, widths[1] / scale)
     usual = means.where(fits("ridge_width", RIDGE_WIDTHS) & fits("valley_width", VALLEY_WIDTHS)).select(*KEY)
-    high = F.col("v") >= F.col("trend")
-    counts = turned.join(structure.hint("merge"), [*KEY, "x"]).groupBy(*KEY).agg(F.count_if(F.col("ridge") & high).alias("ridge_bad"), F.count_if("ridge").alias("n_ridge"), F.count_if(~F.col("ridge") & ~high).alias("valley_bad"), F.count_if(~F.col("ridge")).alias("n_valley"))
+    size, high = F.size("v"), F.size(F.filter("v", lambda v: v >= F.col("trend")))
+    of = lambda kind, n: F.coalesce(F.sum(F.when(kind, n)), F.lit(0))
+    counts = structure.groupBy(*KEY).agg(of(F.col("ridge"), high).alias("ridge_bad"), of(F.col("ridge"), size).alias("n_ridge"), of(~F.col("ridge"), size - high).alias("valley_bad"), of(~F.col("ridge"), size).alias("n_valley"))
     score = 1 - (F.try_divide("valley_bad", "n_valley") + F.try_divide("ridge_bad", "n_ridge")) / 2
     return counts.join(usual.withColumn("usual", F.lit(True)).hint("merge"), list(KEY), "left").select(*KEY, F.when(F.col("usual") & score.isNotNull(), score).otherwise(0.0).alias("value"))
 
@@ -122,7 +137,7 @@ def uniformity_ratios(turned: DataFrame) -> DataFrame:
     Widths lie between the first and the last change; a change at the last
     column does not count.
     """
-    structure = _structure(turned)
+    structure = _structure(_gathered(turned, "x"))
     last = structure.groupBy(*KEY).agg(F.max("x").alias("end"))
     changes = _changes(structure).join(last.hint("merge"), list(KEY)).where("at < end - 1")
     line = Window.partitionBy(*KEY).orderBy("at")
@@ -138,16 +153,31 @@ def uniformity_ratios(turned: DataFrame) -> DataFrame:
 def frequencies(turned: DataFrame) -> DataFrame:
     """image_id, bx, by, ``value``: share of the strongest frequency of the row means, with parts of its neighbours, in the lower half.
 
-    1 where the strongest one is the first or the last of the spectrum. A row
-    mean meets every frequency once; sums over the block are partial first.
+    1 where the strongest one is the first or the last of the spectrum.
     """
-    means = turned.groupBy(*KEY, "y").agg(F.avg("v").alias("mean"))
-    n = F.max("y").over(Window.partitionBy(*KEY)) + 1
-    each = means.withColumn("n", n).where("n > 1").withColumn("f", F.explode(F.sequence(F.lit(1), F.col("n") - 1)))
-    angle = -2 * F.pi() * (F.col("f") * F.col("y") % F.col("n")) / F.col("n")
-    spectrum = each.groupBy(*KEY, "n", "f").agg(F.sum(F.col("mean") * F.cos(angle)).alias("re"), F.sum(F.col("mean") * F.sin(angle)).alias("im"))
+    total = F.aggregate("v", F.lit(0.0), lambda s, v: s + v)
+    means = _gathered(turned, "y").groupBy(*KEY).agg(F.collect_list(F.struct("y", (total / F.size("v")).alias("mean"))).alias("means"))
+
+    @F.pandas_udf("array<double>")
+    def amplitudes(places, values):
+        import pandas as pd
+
+        out, of = [None] * len(places), {}
+        for i, place in enumerate(places):
+            of.setdefault(int(max(place)) + 1, []).append(i)
+        for n, chosen in of.items():
+            rows = np.zeros((len(chosen), n))
+            for row, i in zip(rows, chosen, strict=True):
+                row[places.iloc[i]] = values.iloc[i]
+            angle = -2 * np.pi * (np.outer(np.arange(n), np.arange(1, n)) % n) / n
+            for i, a in zip(chosen, np.hypot(rows @ np.cos(angle), rows @ np.sin(angle)), strict=True):
+                out[i] = a
+        return pd.Series(out)
+
+    found = means.select(*KEY, F.size("means").alias("n"), F.posexplode(amplitudes("means.y", "means.mean")).alias("f", "a"))
+    spectrum = found.withColumns({"f": F.col("f") + 1, "n": F.max("f").over(Window.partitionBy(*KEY)) + 2})
     # Equal amplitudes are equal whatever their sums' rounding; the first one counts.
-    spectrum = spectrum.select(*KEY, "n", "f", F.round(F.sqrt(F.col("re") * F.col("re") + F.col("im") * F.col("im")), 9).alias("a"))
+    spectrum = spectrum.select(*KEY, "n", "f", F.round("a", 9).alias("a"))
     line = Window.partitionBy(*KEY).orderBy("f")
     near = spectrum.withColumns({"left": F.lag("a").over(line), "right": F.lead("a").over(line)})
     peak = near.groupBy(*KEY, "n").agg(F.max(F.struct("a", (-F.col("f")).alias("f"), "left", "right")).alias("top"), F.sum(F.when(F.col("f") <= F.floor((F.col("n") - 1) / 2), F.col("a"))).alias("total"))
@@ -158,7 +188,7 @@ def frequencies(turned: DataFrame) -> DataFrame:
 
 def block_features(values: DataFrame, bounds: tuple[float, ...], prefix: str, fewest: int = 0) -> DataFrame:
     """Histogram features of one row per image, with ``error`` for images with fewer than ``fewest`` values."""
-    counted = values.groupBy("image_id").agg(F.count("*").alias("n"))
-    found = histogram_features(values, "value", bounds, prefix).join(small(counted), "image_id")
-    short = F.col("n") < fewest
-    return found.select("image_id", F.when(short, "not enough blocks").alias("error"), *(F.when(~short, F.col(c)).alias(c) for c in found.columns if c.startswith(prefix)))
+    counted = values.select(F.struct("image_id", F.count("*").over(Window.partitionBy("image_id")).alias("n")).alias("image"), "value")
+    found = histogram_features(counted, "value", bounds, prefix, "image")
+    short = F.col("image.n") < fewest
+    return found.select("image.image_id", F.when(short, "not enough blocks").alias("error"), *(F.when(~short, F.col(c)).alias(c) for c in found.columns if c.startswith(prefix)))

@@ -9,7 +9,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Rows that a task makes from the keys dealt to it.
@@ -32,32 +32,50 @@ def small(df: DataFrame) -> DataFrame:
     return df.hint("shuffle_hash")
 
 
-def packed(x: Column, y: Column, side: int, v: str = "v") -> Column:
-    """List of the pixels of a group: place (row by row) times 2^32 plus the whole-numbered value, offset by 2^31."""
-    return F.collect_list((y * side + x).cast("long") * F.lit(1 << 32) + F.col(v).cast("long") + F.lit(1 << 31))
+def listed(pixels: DataFrame, size: int, origin: int = 0, side: int | None = None) -> DataFrame:
+    """image_id, bx, by, ``listed``: the pixels of the squares that begin at ``origin`` + b * ``size`` on both axes.
 
-
-def unpacked(values) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Number of the group, place and value of all pixels of packed lists."""
-    sizes = np.fromiter(map(len, values), np.int64, len(values))
-    flat = np.concatenate([np.empty(0, np.int64), *values])
-    return np.repeat(np.arange(len(values)), sizes), flat >> 32, (flat & 0xFFFFFFFF) - (1 << 31)
-
-
-def _slope(line: np.ndarray, v: np.ndarray) -> np.ndarray:
-    """Half the difference of both neighbours in the line, the whole one of the only neighbour, or 0."""
-    near = np.append(line[1:] == line[:-1], False)
-    left, right = np.roll(near, 1), near
-    before, after = np.where(left, v - np.roll(v, 1), 0.0), np.where(right, np.roll(v, -1) - v, 0.0)
-    return np.where(left & right, (before + after) / 2, before + after)
-
-
-def gradients(values, side: int) -> tuple[np.ndarray, ...]:
-    """Number of the group and both central differences of each pixel of packed lists, one-sided at the borders."""
-    group, place, v = unpacked(values)
-    order = np.argsort(group * side * side + place, kind="stable")
-    group, y, x, v = group[order], place[order] // side, place[order] % side, v[order].astype(float)
-    gx, gy = _slope(group * side + y, v), np.empty_like(v)
-    across = np.argsort((group * side + x) * side + y, kind="stable")
-    gy[across] = _slope((group * side + x)[across], v[across])
-    return group, gx, gy
+    ``side``: length of a square where squares overlap. A pixel is place (row by row)
+    times 2^32 plus the whole-numbered value, offset by 2^31. Pixels without a value are left out.
+    """
+    side = side or size
+    at = lambda c: F.col(c) - origin
+    if side == size:
+        each = pixels.select("image_id", "x", "y", "v", *(F.floor(at(c) / size).cast("int").alias(f"b{c}") for c in "xy"))
+    else:
+        near = lambda c: F.sequence(F.floor((at(c) - side) / size).cast("int") + 1, F.floor(at(c) / size).cast("int"))
+        each = pixels.select("image_id", "x", "y", "v", F.explode(near("x")).alias("bx")).withColumn("by", F.explode(near("y")))
+    place = (at("y") - F.col("by") * size) * side + at("x") - F.col("bx") * size
+    number = place.cast("long") * F.lit(1 << 32) + F.col("v").cast("long") + F.lit(1 << 31)
+    return each.where("v is not null").groupBy("image_id", "bx", "by").agg(F.collect_list(number).alias("listed"))
+
+
+#: Squares that a kernel holds at once.
+AT_ONCE = 256
+
+
+def sheets(values, side: int):
+    """Arrays (squares, side, side) of values and of what is there, for ``AT_ONCE`` lists of an Arrow array at a time."""
+    for at in range(0, len(values), AT_ONCE):
+        part = values.slice(at, AT_ONCE)
+        flat = part.flatten().to_numpy()
+        group = np.repeat(np.arange(len(part)), part.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+        v, there = np.zeros((len(part), side * side)), np.zeros((len(part), side * side), bool)
+        v[group, flat >> 32], there[group, flat >> 32] = (flat & 0xFFFFFFFF) - (1 << 31), True
+        yield v.reshape(-1, side, side), there.reshape(-1, side, side)
+
+
+def _slope(v: np.ndarray, there: np.ndarray, axis: int) -> np.ndarray:
+    """Half the difference of both neighbours along an axis, the whole one of the only neighbour, or 0."""
+    v, there = np.moveaxis(v, axis, 2), np.moveaxis(there, axis, 2)
+    near = there[:, :, 1:] & there[:, :, :-1]
+    step, total, n = np.where(near, np.diff(v), 0.0), np.zeros(v.shape), np.zeros(v.shape, np.int8)
+    for part in (np.s_[:, :, 1:], np.s_[:, :, :-1]):
+        total[part] += step
+        n[part] += near
+    return np.moveaxis(np.where(n == 2, total / 2, total), 2, axis)
+
+
+def gradients(v: np.ndarray, there: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Both central differences of each pixel of squares, one-sided at the borders."""
+    return _slope(v, there, 2), _slope(v, there, 1)

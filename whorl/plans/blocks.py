@@ -68,29 +68,29 @@ def q21_blocks(spark, sf_dir):
 
 
 def q23_clarity(spark, sf_dir):
-    found = slanted.local_clarity(saved(slanted.turned_blocks(*_blocks(spark, sf_dir))))
+    found = slanted.local_clarity(saved(slanted.turned_lines(*_blocks(spark, sf_dir))))
     return _NAMES(found, F.round("value", 6).alias("value"))
 
 
 def q23_features(spark, sf_dir):
-    values = slanted.local_clarity(saved(slanted.turned_blocks(*_blocks(spark, sf_dir))))
+    values = slanted.local_clarity(saved(slanted.turned_lines(*_blocks(spark, sf_dir))))
     found = slanted.block_features(values, slanted.CLARITY_BOUNDS, "LCS_Bin10_")
     return found.select("image_id", *(F.col(f"LCS_Bin10_{i}").cast("long").alias(f"n{i}") for i in range(10)), F.round("LCS_Bin10_Mean", 6).alias("mean"), F.round("LCS_Bin10_StdDev", 6).alias("sd"))
 
 
 def q24_uniformity(spark, sf_dir):
-    found = slanted.uniformity_ratios(saved(slanted.turned_blocks(*_blocks(spark, sf_dir), border=2)))
+    found = slanted.uniformity_ratios(saved(slanted.turned_lines(*_blocks(spark, sf_dir), border=2)))
     return _NAMES(found, F.col("turn").cast("long"), F.round("value", 6).alias("value"))
 
 
 def q25_frequencies(spark, sf_dir):
-    turned = slanted.turned_blocks(*_blocks(spark, sf_dir), slanted.SHORT, slanted.LONG, 2, math.pi / 2)
+    turned = slanted.turned_lines(*_blocks(spark, sf_dir), slanted.SHORT, slanted.LONG, 2, math.pi / 2, "x")
     return _NAMES(slanted.frequencies(turned), F.round("value", 6).alias("value"))
 
 
 def q25_features(spark, sf_dir):
     """Features of the frequencies; images with fewer than ten blocks have the error."""
-    turned = slanted.turned_blocks(*_blocks(spark, sf_dir), slanted.SHORT, slanted.LONG, 2, math.pi / 2)
+    turned = slanted.turned_lines(*_blocks(spark, sf_dir), slanted.SHORT, slanted.LONG, 2, math.pi / 2, "x")
     found = slanted.block_features(slanted.frequencies(turned), slanted.FREQUENCY_BOUNDS, "FDA_Bin10_", slanted.FEWEST)
     return found.select("image_id", "error", F.round("FDA_Bin10_Mean", 6).alias("mean"), F.round("FDA_Bin10_StdDev", 6).alias("sd"))
 
