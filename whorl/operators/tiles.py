@@ -23,8 +23,12 @@ def spread(df: DataFrame, key: str, each: int) -> DataFrame:
     together, so groupings by the key and more find them where they are. Never fewer
     tasks than a shuffle has, or a join would shuffle the pixels to have more.
     """
-    tasks = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(df.count() * each / PER_TASK))
-    return df.repartition(tasks, key)
+    return df.repartition(tasks(df, each), key)
+
+
+def tasks(df: DataFrame, each: int) -> int:
+    """Number of tasks for rows that cost as much as ``each`` made rows."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(df.count() * each / PER_TASK))
 
 
 def small(df: DataFrame) -> DataFrame:

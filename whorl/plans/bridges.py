@@ -7,18 +7,27 @@ from pyspark.sql import functions as F
 
 from ..functions import images, nist
 from ..operators import reports, transactions
+from ..operators.tiles import tasks
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Made rows that cost as much as the records of one order.
+FILE_COST = 100
+
+
 def order_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One transaction per order: a type 1 record and a type 2 record per line."""
+    """One transaction per order: a type 1 record and a type 2 record per line.
+
+    Orders have few bytes and much work, so their number sets the tasks, not their size.
+    """
     orders, lines = _table(spark, sf_dir, "orders"), _table(spark, sf_dir, "lineitem")
     value = F.concat(F.col("l_returnflag"), F.lit(nist.US), F.col("l_linestatus"), F.lit(nist.RS), F.col("l_quantity").cast("int").cast("string"))
-    held = lines.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.array_sort(F.collect_list(value)).alias("lines"))
-    df = orders.join(held, "o_orderkey", "left").withColumn("lines", F.coalesce("lines", F.array().cast("array<string>")))
+    n = tasks(orders, FILE_COST)
+    held = lines.select(F.col("l_orderkey").alias("o_orderkey"), value.alias("value")).repartition(n, "o_orderkey").groupBy("o_orderkey").agg(F.array_sort(F.collect_list("value")).alias("lines"))
+    df = orders.repartition(n, "o_orderkey").join(held.hint("merge"), "o_orderkey", "left").withColumn("lines", F.coalesce("lines", F.array().cast("array<string>")))
     field = lambda t, n, v: F.struct(F.lit(t).alias("record_type"), F.lit(n).alias("field_number"), v.alias("value"))
     index = lambda i: F.lpad((i + 1).cast("string"), 2, "0")
     count = F.concat(F.lit(f"1{nist.US}"), F.size("lines").cast("string"), F.array_join(F.transform("lines", lambda _, i: F.concat(F.lit(f"{nist.RS}2{nist.US}"), index(i))), ""))

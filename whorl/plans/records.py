@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import images, nist
 from ..operators import transactions
-from .bridges import order_files
+from ..operators.tiles import spread
+from .bridges import FILE_COST, order_files
 
 
 def _orders(spark, sf_dir: str) -> DataFrame:
@@ -36,7 +37,7 @@ def card_files(spark, sf_dir: str, mixed: bool = False) -> DataFrame:
     if mixed:
         second = F.when(key % 11 == 0, transactions.encode_record(F.array(_field(10, 2, F.lit("01")), _field(2, 3, F.lit("x")), image))).otherwise(second)
     third = F.unhex(F.concat(_hex(F.lit(28), 4), _hex(key % 256, 1), F.lit("00"), _hex(key % 11, 1), F.lit("FFFFFFFFFF"), F.lit("01"), _hex(key % 65536, 2), _hex(F.lit(500), 2), F.lit("00"), F.lit("1C" * 10)))
-    return _orders(spark, sf_dir).select(key.alias("path"), F.concat(nist.latin1(F.concat(first, second)), third).alias("content"))
+    return spread(_orders(spark, sf_dir), "o_orderkey", FILE_COST).select(key.alias("path"), F.concat(nist.latin1(F.concat(first, second)), third).alias("content"))
 
 
 def n3_binary(spark, sf_dir):
