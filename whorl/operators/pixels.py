@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.nist import bound
 from .tiles import gradients, listed, sheets, small
 
 BLOCK = 32
@@ -177,3 +178,23 @@ def otsu(pixels: DataFrame) -> DataFrame:
     cuts = hist.select("image_id", "v", w0.alias("w0"), s0.alias("s0"), n.alias("n"), s.alias("s")).where("w0 < n")
     between = F.round(F.col("w0") * (F.col("n") - F.col("w0")) * (F.col("s0") / F.col("w0") - (F.col("s") - F.col("s0")) / (F.col("n") - F.col("w0"))) ** 2, 6)
     return cuts.groupBy("image_id").agg(F.max(F.struct(between.alias("b"), (-F.col("v")).alias("v"))).alias("best")).select("image_id", (-F.col("best.v")).cast("int").alias("threshold"))
+
+
+def otsu_of(counts: Column) -> Column:
+    """The threshold of ``otsu`` from the array of the counts of the values 0, 1, ... of an image; null for a flat one."""
+    zero, number = F.lit(0.0), lambda c: c.cast("double")
+    there = F.filter(F.transform(counts, lambda n, v: F.struct(v.alias("v"), number(n).alias("n"))), lambda p: p.n > 0)
+    start = F.struct(zero.alias("w0"), zero.alias("s0"), F.lit(None).cast("double").alias("b"), F.lit(None).cast("int").alias("v"))
+
+    def best(of: Column) -> Column:
+        def step(a: Column, p: Column) -> Column:
+            w0, s0 = a.w0 + p.n, a.s0 + p.n * p.v
+            between = F.when(w0 < of.n, F.round(w0 * (of.n - w0) * (s0 / w0 - (of.s - s0) / (of.n - w0)) ** 2, 6))
+            better = lambda b: b.isNotNull() & (a.b.isNull() | (b > a.b))
+            chosen = lambda b: F.struct(w0.alias("w0"), s0.alias("s0"), F.when(better(b), b).otherwise(a.b).alias("b"), F.when(better(b), p.v).otherwise(a.v).alias("v"))
+            return bound(between, chosen)
+
+        return F.aggregate(of.there, start, step, lambda a: a.v)
+
+    whole = lambda t: F.struct(t.alias("there"), F.aggregate(t, zero, lambda n, p: n + p.n).alias("n"), F.aggregate(t, zero, lambda s, p: s + p.n * p.v).alias("s"))
+    return bound(there, lambda t: bound(whole(t), best))

@@ -7,8 +7,10 @@ already (``spread``) it needs no shuffle, and what follows shuffles blocks.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -69,6 +71,50 @@ def sheets(values, side: int):
         yield v.reshape(-1, side, side), there.reshape(-1, side, side)
 
 
+def gathered(pixels: DataFrame) -> DataFrame:
+    """image_id and ``columns`` (x, listed): the pixels of an image in one row, for ``images``.
+
+    A pixel is its y times 2^32 plus the whole-numbered value, offset by 2^31. Pixels without a value are left out.
+    """
+    number = F.col("y").cast("long") * F.lit(1 << 32) + F.col("v").cast("long") + F.lit(1 << 31)
+    columns = pixels.where("v is not null").groupBy("image_id", F.col("x").cast("int").alias("x")).agg(F.collect_list(number).alias("listed"))
+    return columns.groupBy("image_id").agg(F.collect_list(F.struct("x", "listed")).alias("columns"))
+
+
+#: Pixels that a kernel over whole images holds at once, if it is not one larger image.
+PIXELS_AT_ONCE = 1 << 18
+
+
+def chunks(pixels: np.ndarray) -> Iterator[slice]:
+    """Stretches of images of about ``PIXELS_AT_ONCE`` pixels; ``pixels``: how many each one has."""
+    at, end = 0, np.cumsum(pixels)
+    while at < len(pixels):
+        upto = max(at + 1, int(np.searchsorted(end, (end[at - 1] if at else 0) + PIXELS_AT_ONCE, side="right")))
+        yield slice(at, upto)
+        at = upto
+
+
+def images(values: pa.Array, blank: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(places, images x, y) of the images of one size in a stretch of ``gathered`` columns; what is missing is ``blank``."""
+    starts = np.concatenate([[0], np.cumsum(values.value_lengths().to_numpy(zero_copy_only=False))])
+    per_column = values.flatten().field("listed").value_lengths().to_numpy(zero_copy_only=False)
+    for part in chunks(np.add.reduceat(per_column, starts[:-1]) if len(values) else np.empty(0)):
+        held = values.slice(part.start, part.stop - part.start)
+        begin = starts[part] - starts[part.start]
+        columns = held.flatten()
+        x, size = columns.field("x").to_numpy(), per_column[starts[part.start] : starts[part.stop]]
+        flat = columns.field("listed").flatten().to_numpy()
+        y = flat >> 32
+        width, height = np.maximum.reduceat(x, begin) + 1, np.maximum.reduceat(y, (np.cumsum(size) - size)[begin]) + 1
+        of = np.repeat(np.repeat(np.arange(len(held)), np.diff(np.append(begin, len(x)))), size)
+        for w, h in {*zip(width.tolist(), height.tolist(), strict=True)}:
+            mine = (width == w) & (height == h)
+            at, pick = np.cumsum(mine) - 1, mine[of]
+            made = np.full((int(mine.sum()), w, h), blank)
+            made[at[of[pick]], np.repeat(x, size)[pick], y[pick]] = (flat[pick] & 0xFFFFFFFF) - (1 << 31)
+            yield part.start + np.flatnonzero(mine), made
+
+
 def _slope(v: np.ndarray, there: np.ndarray, axis: int) -> np.ndarray:
     """Half the difference of both neighbours along an axis, the whole one of the only neighbour, or 0."""
     v, there = np.moveaxis(v, axis, 2), np.moveaxis(there, axis, 2)
