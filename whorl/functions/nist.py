@@ -31,12 +31,19 @@ def field_value(items: Column) -> Column:
     return F.array_join(F.transform(items, lambda s: F.array_join(s, US, "")), RS, "")
 
 
+def subfield_count(value: Column) -> Column:
+    return F.size(F.split(value, RS, -1))
+
+
 def item_count(value: Column) -> Column:
-    return F.aggregate(subfields(value), F.lit(0), lambda a, s: a + F.size(s))
+    """One more than separators of both kinds, as every one of them begins an item."""
+    return F.length(value) - F.length(F.replace(F.replace(value, F.lit(RS), F.lit("")), F.lit(US), F.lit(""))) + 1
 
 
 def tag(record_type: Column, field_number: Column) -> Column:
-    return F.format_string("%d.%03d", record_type, field_number)
+    # A pattern is parsed for each row, so the usual numbers go without one.
+    usual = record_type.isNotNull() & field_number.between(0, 999)
+    return F.when(usual, F.concat(record_type.cast("string"), F.lit("."), F.lpad(field_number.cast("string"), 3, "0"))).otherwise(F.format_string("%d.%03d", record_type, field_number))
 
 
 def parse_tag(text: Column) -> Column:
@@ -57,7 +64,8 @@ def split_fields(body: Column) -> Column:
 
 def latin1(text: Column) -> Column:
     """Bytes of a text; characters beyond Latin-1 become question marks."""
-    return F.encode(F.regexp_replace(text, r"[^\x00-\xFF]", "?"), "ISO-8859-1")
+    other = lambda t: F.encode(F.regexp_replace(t, r"[^\x00-\xFF]", "?"), "ISO-8859-1")
+    return bound(text, lambda t: F.when(F.octet_length(t) == F.length(t), t.cast("binary")).otherwise(other(t)))
 
 
 def record_length(rest: Column, times: Column | int = 1) -> Column:

@@ -8,6 +8,7 @@ an error row, never a failed job.
 from __future__ import annotations
 
 import re
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -31,7 +32,8 @@ def encode_record(fields: Column) -> Column:
     text = lambda p, n: F.concat(p["head"], n, F.array_join(F.transform(p["pieces"], lambda f: F.concat(f["tag"], F.coalesce(f["value"], n))), ""), F.lit(nist.FS))
     size = lambda p: F.length(p["head"]) + 1 + F.aggregate(p["pieces"], F.lit(0), lambda n, f: n + F.length(f["tag"]) + F.coalesce(F.length(f["value"]), F.lit(0)))
     times = lambda p: 1 + F.size(F.filter(p["pieces"], lambda f: f["value"].isNull()))
-    sized = lambda p: nist.bound(nist.record_length(size(p), times(p)).cast("string"), lambda n: text(p, n))
+    length = lambda p: nist.bound(F.struct(size(p).alias("size"), times(p).alias("times")), lambda s: nist.record_length(s["size"], s["times"]).cast("string"))
+    sized = lambda p: nist.bound(length(p), lambda n: text(p, n))
     return nist.bound(F.struct(head.alias("head"), F.transform(rest, piece).alias("pieces")), sized)
 
 
@@ -48,8 +50,17 @@ def _announced(record: bytes) -> tuple[list[int | None], int | None]:
     return types, (1010 if b"" in items else 1011) if None in types else None
 
 
+#: What is known of a record.
+FRAME = ("type", "byte_offset", "size", "fielded", "data", "error")
+
+
 def frames(content: bytes) -> list[dict]:
     """Logical records of one file; one that cannot be framed holds the rest and is the last."""
+    return [dict(zip(FRAME, r, strict=True)) for r in _frames(content)]
+
+
+def _frames(content: bytes) -> list[tuple]:
+    """Like ``frames``, as tuples."""
     out, at, types = [], 0, []
     while at < len(content):
         rest, size, error, kind = len(content) - at, 0, None, None
@@ -81,16 +92,20 @@ def frames(content: bytes) -> list[dict]:
         framed = content[at : at + (size or rest)]
         if not out and fielded and size and kind == 1:
             types, error = _announced(framed[:-1])
-        out.append({"type": kind, "byte_offset": at, "size": len(framed), "fielded": fielded and size > 0, "data": framed, "error": error})
+        out.append((kind, at, len(framed), fielded and size > 0, framed, error))
         at += len(framed)
     return out
 
 
 def _framed(content: Column) -> Column:
-    kind = pa.list_(pa.struct([("type", pa.int32()), ("byte_offset", pa.int64()), ("size", pa.int64()), ("fielded", pa.bool_()), ("data", pa.binary()), ("error", pa.int32())]))
+    kinds = (pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.int32())
 
     def run(files: pa.Array) -> pa.Array:
-        return pa.array([None if f is None else frames(f) for f in files.to_pylist()], kind)
+        found = [[] if f is None else _frames(f) for f in files.to_pylist()]
+        columns = list(zip(*(r for records in found for r in records), strict=True)) or [()] * len(FRAME)
+        records = pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], FRAME)
+        ends = pa.array([0, *accumulate(map(len, found))], pa.int32())
+        return pa.ListArray.from_arrays(ends, records, mask=files.is_null())
 
     return F.arrow_udf(run, "array<struct<type:int,byte_offset:bigint,size:bigint,fielded:boolean,data:binary,error:int>>")(content)
 
@@ -122,7 +137,7 @@ def decode_files(files: DataFrame, path_col: str = "path", content_col: str = "c
 def inspect_fields(fields: DataFrame) -> DataFrame:
     """path, record_index, field_index, tag, preview, ``n_subfields`` and ``n_items`` of every field."""
     value = F.col("value")
-    return fields.select("path", "record_index", "field_index", nist.tag(F.col("record_type"), F.col("field_number")).alias("tag"), nist.preview(value).alias("preview"), F.size(nist.subfields(value)).cast("long").alias("n_subfields"), nist.item_count(value).cast("long").alias("n_items"))
+    return fields.select("path", "record_index", "field_index", nist.tag(F.col("record_type"), F.col("field_number")).alias("tag"), nist.preview(value).alias("preview"), nist.subfield_count(value).cast("long").alias("n_subfields"), nist.item_count(value).cast("long").alias("n_items"))
 
 
 def inspect_files(records: DataFrame) -> DataFrame:
@@ -177,7 +192,8 @@ def fields_of(records: DataFrame) -> DataFrame:
     """One row per field: record_type, field_number and value."""
     each = records.select("path", "record_index", F.posexplode("pieces").alias("field_index", "piece"))
     at = F.instr("piece", ":")
-    each = each.withColumn("t", nist.parse_tag(F.substring("piece", F.lit(1), at - 1)))
+    # Exploded as a list of one, so that a tag is parsed once and not again for every use of its numbers.
+    each = each.select("*", F.explode(F.array(nist.parse_tag(F.substring("piece", F.lit(1), at - 1)))).alias("t"))
     return each.select("path", "record_index", "field_index", F.col("t.record_type").alias("record_type"), F.col("t.field_number").alias("field_number"), F.substring("piece", at + 1, F.length("piece")).alias("value"))
 
 
