@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 SIGNATURES = {"png": "89504E47", "jpeg": "FFD8FF", "gif": "474946", "bmp": "424D", "wsq": "FFA0FFA8", "j2k": "FF4FFF51", "jp2": "0000000C6A502020", "tiff-le": "49492A00", "tiff-be": "4D4D002A"}
 # File endings of transaction files.
 TRANSACTION_ENDINGS = ("nist", "nst", "an2", "eft")
+#: Resolution where none is stated.
+PPI = 500
 
 
 def image_format(data: Column) -> Column:
@@ -46,15 +48,19 @@ def comment_fields(text: Column) -> Column:
 
 def comment_value(text: Column, key: str) -> Column:
     """Value of a key; the last of equal keys wins."""
-    hits = F.filter(comment_fields(text), lambda p: p["key"] == key)
-    return F.try_element_at(hits, F.lit(-1))["value"]
+    return value_in(comment_fields(text), key)
 
 
-def ppi(text: Column, default: int = 500) -> Column:
+def value_in(fields: Column, key: str) -> Column:
+    """``comment_value`` of fields that are there already."""
+    return F.try_element_at(F.filter(fields, lambda p: p["key"] == key), F.lit(-1))["value"]
+
+
+def ppi(text: Column, default: int = PPI) -> Column:
     return F.coalesce(comment_value(text, "PPI").try_cast("int"), F.lit(default))
 
 
-def ppi_of(comments: Column, default: int = 500) -> Column:
+def ppi_of(comments: Column, default: int = PPI) -> Column:
     """Resolution of the first of several comments that states one as a whole number."""
     stated = F.filter(F.transform(comments, lambda text: comment_value(text, "PPI").try_cast("int")), lambda v: v.isNotNull())
     return F.coalesce(F.get(stated, 0), F.lit(default))

@@ -7,9 +7,13 @@ from pyspark.sql import functions as F
 
 from ..functions import nist
 from ..operators import reports
+from ..operators.tiles import spread
 from ..sources import files, forests
 from ..streaming.files import measure_windows
 
+#: Made rows that cost as much as taking a side file apart.
+SIDE_FILE_COST = 64
+
 
 def _table(spark, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -53,7 +57,8 @@ def s16_json(spark, sf_dir):
 def s17_side_file(spark, sf_dir):
     key = F.col("p_partkey")
     text = F.concat(F.lit("NIST_COM 7\nPIX_WIDTH "), (key % 800).cast("string"), F.lit("\nPIX_HEIGHT "), F.col("p_size").cast("string"), F.lit("\nPIX_DEPTH 8\nPPI -1\nLOSSY 0\n"))
-    return files.side_files(_table(spark, sf_dir, "part").select(key.alias("path"), text.cast("binary").alias("content"))).select("path", *(F.col(c).cast("long") for c in ("width", "height", "depth", "ppi")))
+    part = spread(_table(spark, sf_dir, "part").select("p_partkey", "p_size"), "p_partkey", SIDE_FILE_COST)
+    return files.side_files(part.select(key.alias("path"), text.cast("binary").alias("content"))).select("path", *(F.col(c).cast("long") for c in ("width", "height", "depth", "ppi")))
 
 
 def s19_measure_text(spark, sf_dir):

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import images
+from ..functions.nist import bound
 from ..operators import transactions
 
 #: Schema of ``nist`` records as ``decode_files`` gives them.
@@ -102,9 +103,11 @@ def gray_map(content: Column) -> Column:
 
 def side_files(files: DataFrame) -> DataFrame:
     """path and width, height, depth, ppi of NIST_COM side files."""
-    text = F.decode("content", "UTF-8")
-    value = lambda key: images.comment_value(text, key).try_cast("int")
-    return files.select("path", value("PIX_WIDTH").alias("width"), value("PIX_HEIGHT").alias("height"), value("PIX_DEPTH").alias("depth"), images.ppi(text).alias("ppi"))
+    number = lambda fields, key: images.value_in(fields, key).try_cast("int")
+    values = lambda fields: F.struct(*(number(fields, f"PIX_{c.upper()}").alias(c) for c in ("width", "height", "depth")), F.coalesce(number(fields, "PPI"), F.lit(images.PPI)).alias("ppi"))
+    # The lines of a text are taken apart once for all values.
+    found = bound(images.comment_fields(F.decode("content", "UTF-8")), values)
+    return files.select("path", found.alias("found")).select("path", "found.*")
 
 
 def key_values(text: Column, mark: str) -> Column:
