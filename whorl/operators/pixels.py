@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.nist import bound
-from .tiles import gradients, listed, sheets, small
+from .tiles import bands, gradients, small, squares
 
 BLOCK = 32
 #: Mean above which a row or column is blank; largest size after the crop.
@@ -89,16 +89,19 @@ def block_gradients(pixels: DataFrame, size: int = BLOCK, offset: int = 0) -> Da
     Gradients are central differences, one-sided at the borders of a block.
     """
 
-    @F.arrow_udf("struct<a:double,b:double,c:double>")
+    @F.arrow_udf("array<struct<bx:int,a:double,b:double,c:double>>")
     def means(values: pa.Array) -> pa.Array:
-        found = [np.empty((3, 0))]
-        for v, there in sheets(values, size):
-            gx, gy = gradients(v, there)
-            found.append(np.stack([(g * h).sum((1, 2)) for g, h in ((gx, gx), (gy, gy), (gx, gy))]) / size**2)
-        return pa.StructArray.from_arrays([pa.array(m) for m in np.concatenate(found, 1)], ["a", "b", "c"])
-
-    full = listed(pixels.where((F.col("x") >= offset) & (F.col("y") >= offset)), size, offset).where(F.size("listed") == size * size)
-    return full.withColumn("means", means("listed")).select("image_id", "bx", "by", "means.*")
+        of, found = [np.empty(0, int)], [np.empty((4, 0))]
+        for band, bx, v in squares(values, size):
+            gx, gy = gradients(v, np.ones(v.shape, bool))
+            of.append(band)
+            found.append(np.stack([bx, *((g * h).sum((1, 2)) / size**2 for g, h in ((gx, gx), (gy, gy), (gx, gy)))]))
+        bx, *sums = np.concatenate(found, 1)
+        each = pa.StructArray.from_arrays([pa.array(bx.astype(np.int32)), *map(pa.array, sums)], ["bx", "a", "b", "c"])
+        return pa.ListArray.from_arrays(np.searchsorted(np.concatenate(of), np.arange(len(values) + 1)).astype(np.int32), each)
+
+    found = bands(pixels, size, offset).select("image_id", "by", means("listed").alias("means"))
+    return found.select("image_id", "by", F.inline("means")).select("image_id", "bx", "by", "a", "b", "c")
 
 
 def orientation_certainty(pixels: DataFrame, size: int = BLOCK) -> DataFrame:
