@@ -18,9 +18,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .codestream import LONGEST
+from .tiles import small
 
 # Largest value and zero run with symbols of their own, longest run, the symbol that keeps the code of ones free.
 LARGEST, LONGEST_OWN, LONGEST_RUN, SENTINEL = 74, 100, 65535, 256
+#: More than any symbol, so that table * CODES + symbol names a code.
+CODES = 1024
 # Symbols of long values and runs with the bits that follow them.
 EXTRA = {101: 8, 102: 8, 103: 16, 104: 16, 105: 8, 106: 16}
 
@@ -49,7 +52,10 @@ def symbols(coefficients: DataFrame) -> DataFrame:
 def histogram(found: DataFrame) -> DataFrame:
     """image_id, table, symbol, n of the symbols of each table, with the sentinel once."""
     counted = found.groupBy("image_id", table_of(F.col("block")).alias("table"), "symbol").agg(F.count("*").alias("n"))
-    return counted.union(counted.select("image_id", "table").distinct().select("image_id", "table", F.lit(SENTINEL), F.lit(1).cast("long")))
+    # A second pass for the sentinel would make the symbols again; a table has at most 256 of them.
+    listed = counted.groupBy("image_id", "table").agg(F.collect_list(F.struct("symbol", "n")).alias("listed"))
+    sentinel = F.array(F.struct(F.lit(SENTINEL).alias("symbol"), F.lit(1).cast("long").alias("n")))
+    return listed.select("image_id", "table", F.inline(F.concat("listed", sentinel)))
 
 
 def code_lengths(counted: list[tuple[int, int]]) -> dict[int, int]:
@@ -118,7 +124,10 @@ def blocks(found: DataFrame, coded: DataFrame) -> DataFrame:
     Every symbol adds its bits to the bytes that it touches; places come from
     running sums, so no task writes a block bit by bit.
     """
-    rows = found.withColumn("table", table_of(F.col("block"))).join(coded, ["image_id", "table", "symbol"])
+    # All codes of an image are one row, so symbols are joined where they lie and need no shuffle.
+    of_image = coded.groupBy("image_id").agg(F.map_from_entries(F.collect_list(F.struct(F.col("table") * CODES + F.col("symbol"), F.struct("length", "code")))).alias("codes"))
+    rows = found.withColumn("table", table_of(F.col("block"))).join(small(of_image), "image_id")
+    rows = rows.withColumn("c", F.try_element_at("codes", F.col("table") * CODES + F.col("symbol"))).where("c is not null").select("image_id", "block", "place", "extra", "n_extra", "c.*")
     rows = rows.select("image_id", "block", "place", (F.expr("shiftleft(code, n_extra)") + F.col("extra")).alias("bits"), (F.col("length") + F.col("n_extra")).cast("long").alias("n"))
     line = Window.partitionBy("image_id", "block").orderBy("place")
     rows = rows.withColumn("end", F.sum("n").over(line)).withColumn("byte", F.explode(F.sequence(F.floor((F.col("end") - F.col("n")) / 8), F.floor((F.col("end") - 1) / 8))))
@@ -198,24 +207,31 @@ def coefficients(packed: DataFrame, found: DataFrame) -> DataFrame:
 
     A block that breaks a rule is one row with ``error`` (see ``decoded``; ``table``: it has none).
     """
-    out = pa.schema([("image_id", pa.int64()), ("block", pa.int32()), ("symbols", pa.list_(pa.int32())), ("extras", pa.list_(pa.int64())), ("error", pa.string())])
+    out = pa.schema([("image_id", pa.int64()), ("block", pa.int32()), ("symbols", pa.list_(pa.int32())), ("extras", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64())), ("error", pa.string())])
+
+    def ends(symbols: list[int], extras: list[int]) -> np.ndarray:
+        symbol = np.array(symbols, np.int64)
+        return np.cumsum(np.where(symbol <= LONGEST_OWN, symbol, np.where((symbol == 105) | (symbol == 106), np.array(extras, np.int64), 1)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for data, n, counts, values in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4, 5)), strict=True):
-                rows.append(decoded(data or b"", tuple(counts), tuple(values), n) if counts is not None or not n else ([], [], "table"))
+                symbols, extras, error = decoded(data or b"", tuple(counts or ()), tuple(values or ()), n) if counts is not None or not n else ([], [], "table")
+                rows.append((symbols, extras, ends(symbols, extras), error))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array([r[i] for r in rows], t.type) for i, t in enumerate(list(out)[2:]))], schema=out)
 
-    rows = packed.withColumn("table", table_of(F.col("block"))).join(found, ["image_id", "table"], "left")
-    rows = rows.select(F.col("image_id").cast("long"), F.col("block").cast("int"), "data", F.col("n").cast("int"), "counts", "symbols")
-    each = rows.mapInArrow(run, "image_id bigint, block int, symbols array<int>, extras array<bigint>, error string")
-    failed = each.where("error is not null").select("image_id", "block", F.lit(None).cast("long").alias("place"), F.lit(None).cast("int").alias("v"), "error")
-    listed = each.where("error is null").select("image_id", "block", F.posexplode(F.arrays_zip("symbols", "extras")).alias("turn", "s")).select("image_id", "block", "turn", "s.*")
+    # The tables of an image are one row, held where its blocks lie.
+    of_image = found.groupBy("image_id").agg(F.map_from_entries(F.collect_list(F.struct("table", F.struct("counts", "symbols")))).alias("tables"))
+    rows = packed.join(small(of_image), "image_id", "left").withColumn("t", F.try_element_at("tables", table_of(F.col("block"))))
+    rows = rows.select(F.col("image_id").cast("long"), F.col("block").cast("int"), "data", F.col("n").cast("int"), "t.counts", "t.symbols")
+    each = rows.mapInArrow(run, "image_id bigint, block int, symbols array<int>, extras array<bigint>, ends array<bigint>, error string")
+    # Failed blocks are an entry without a symbol, so the blocks are decoded once for both.
+    entries = F.when(F.col("error").isNull(), F.arrays_zip("symbols", "extras", "ends")).otherwise(F.array(F.struct(F.lit(None).cast("int").alias("symbols"), F.lit(None).cast("long").alias("extras"), F.lit(None).cast("long").alias("ends"))))
+    listed = each.select("image_id", "block", "error", F.inline(entries))
     symbol, extra = F.col("symbols"), F.col("extras")
     n = F.when(symbol <= LONGEST_OWN, symbol).when(symbol.isin(105, 106), extra).otherwise(1).cast("long")
-    v = F.when(symbol.isin(101, 103), extra).when(symbol.isin(102, 104), -extra).when(symbol > 106, symbol - 180).otherwise(0).cast("int")
-    end = F.sum("n").over(Window.partitionBy("image_id", "block").orderBy("turn"))
-    placed = listed.select("image_id", "block", "turn", n.alias("n"), v.alias("v")).withColumn("end", end)
-    values = placed.where("n > 0").withColumn("place", F.explode(F.sequence(F.col("end") - F.col("n"), F.col("end") - 1)))
-    return values.select("image_id", "block", "place", "v", F.lit(None).cast("string").alias("error")).union(failed)
+    v = F.when(symbol.isin(101, 103), extra).when(symbol.isin(102, 104), -extra).when(symbol > 106, symbol - 180).when(symbol.isNotNull(), 0).cast("int")
+    placed = listed.select("image_id", "block", n.alias("n"), v.alias("v"), F.col("ends").alias("end"), "error").where("n > 0")
+    place = F.explode_outer(F.when(F.col("error").isNull(), F.sequence(F.col("end") - F.col("n"), F.col("end") - 1)))
+    return placed.select("image_id", "block", place.alias("place"), "v", "error")
