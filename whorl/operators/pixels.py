@@ -142,7 +142,10 @@ def flow_measures(flow: DataFrame, foreground: DataFrame, least_degrees: float =
     moves = [F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx in (-1, 0, 1) for dy in (-1, 0, 1)]
     lit = foreground.where("foreground").select("image_id", F.inline(F.array(*moves)), "bx", "by").select("image_id", (F.col("bx") + F.col("dx")).alias("bx"), (F.col("by") + F.col("dy")).alias("by")).groupBy("image_id", "bx", "by").agg(F.count("*").alias("n")).where("n = 9")
     least = F.radians(F.lit(least_degrees))
-    return flow.join(lit.hint("merge"), ["image_id", "bx", "by"], "left_semi").where(F.col("flow") > least).select("image_id", "bx", "by", ((F.col("flow") - least) / (F.pi() / 2 - least)).alias("value"))
+    # Both meet in a grouping: a join would shuffle them to as many tasks as the session has, whatever their number.
+    both = flow.select("image_id", "bx", "by", "flow", F.lit(0).cast("long").alias("n")).union(lit.select("image_id", "bx", "by", F.lit(None).cast("double"), "n"))
+    met = both.groupBy("image_id", "bx", "by").agg(F.max("flow").alias("flow"), F.max("n").alias("n")).where("n = 9")
+    return met.where(F.col("flow") > least).select("image_id", "bx", "by", ((F.col("flow") - least) / (F.pi() / 2 - least)).alias("value"))
 
 
 def ridge_valleys(pixels: DataFrame) -> DataFrame:
