@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .pixels import BLOCK, ridge_orientation, segmentation, with_trend
@@ -117,11 +117,17 @@ def local_clarity(turned: DataFrame) -> DataFrame:
     that is none of a finger, or with one kind only.
     """
     structure = _structure(_gathered(turned, "x"))
-    line = Window.partitionBy(*KEY).orderBy("at")
-    widths = _changes(structure).withColumn("width", F.col("at") - F.coalesce(F.lag("at").over(line), F.lit(0)))
+    # Means often lie exactly on a bound, and the last digit of a sum depends on its order: widths are added from the first on, however a grouping is split.
+    changes = _changes(structure).groupBy(*KEY).agg(F.sort_array(F.collect_list(F.struct("at", "ended"))).alias("changes"))
+    width = lambda c, i: c.at - F.coalesce(F.get("changes", i - 1).at, F.lit(0))
+    widths = changes.select(*KEY, F.transform("changes", lambda c, i: F.struct(c.ended.alias("ended"), width(c, i).alias("width"))).alias("widths"))
     scale = PPI / 125.0 * WIDEST
-    mean = lambda kind: F.coalesce(F.avg(F.when(kind, F.col("width") / scale)), F.lit(0.0))
-    means = widths.groupBy(*KEY).agg(mean(F.col("ended")).alias("ridge_width"), mean(~F.col("ended")).alias("valley_width"))
+
+    def mean(ended: bool) -> Column:
+        chosen = F.filter("widths", lambda w: w.ended if ended else ~w.ended)
+        return F.coalesce(F.try_divide(F.aggregate(chosen, F.lit(0.0), lambda s, w: s + w.width / scale), F.size(chosen)), F.lit(0.0))
+
+    means = widths.select(*KEY, mean(True).alias("ridge_width"), mean(False).alias("valley_width"))
     fits = lambda c, widths: F.col(c).between(widths[0] / scale, widths[1] / scale)
     usual = means.where(fits("ridge_width", RIDGE_WIDTHS) & fits("valley_width", VALLEY_WIDTHS)).select(*KEY)
     size, high = F.size("v"), F.size(F.filter("v", lambda v: v >= F.col("trend")))
