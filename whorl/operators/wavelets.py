@@ -117,8 +117,8 @@ def _sheets(pixels: DataFrame, value: str) -> DataFrame:
     return rows.select("image_id", F.size("rows").alias("height"), F.flatten(F.col("rows").v).alias("v"))
 
 
-def _run(pixels: DataFrame, value: str, steps: list, kernel) -> DataFrame:
-    """image_id, height, v after the steps (level, along) in order: an image is gathered once and filtered as a whole."""
+def _run(sheets: DataFrame, steps: list, kernel, value: str = "v") -> DataFrame:
+    """``sheets`` with ``value`` after the steps (level, along) in order: an image is filtered as a whole."""
 
     @F.pandas_udf("array<double>")
     def run(values, heights):
@@ -142,7 +142,7 @@ def _run(pixels: DataFrame, value: str, steps: list, kernel) -> DataFrame:
                 out[i] = row
         return pd.Series(out)
 
-    return _sheets(pixels, value).withColumn("v", run("v", "height"))
+    return sheets.withColumn(value, run(value, "height"))
 
 
 def _long(sheets: DataFrame, value: str = "c") -> DataFrame:
@@ -159,12 +159,21 @@ def _steps(levels: tuple) -> list:
 
 def decompose(pixels: DataFrame, levels: tuple = LEVELS, value: str = "c") -> DataFrame:
     """image_id, x, y, c: the coefficients of full rasters (image_id, x, y and ``value``), in double precision."""
-    return _long(_run(pixels, value, _steps(levels), analysed))
+    return _long(_run(_sheets(pixels, value), _steps(levels), analysed))
 
 
 def reconstruct(coefficients: DataFrame, levels: tuple = LEVELS, value: str = "c") -> DataFrame:
     """image_id, x, y, c: the raster of the coefficients."""
-    return _long(_run(coefficients, value, _steps(levels)[::-1], joined))
+    return _long(_run(_sheets(coefficients, value), _steps(levels)[::-1], joined))
+
+
+def round_trip(pixels: DataFrame, levels: tuple = LEVELS, value: str = "c") -> DataFrame:
+    """image_id, ``v`` and ``back``: the values of full rasters line by line, and what ``reconstruct`` makes of ``decompose``.
+
+    Both lie in one row, so no pixel is joined.
+    """
+    there = _run(_sheets(pixels, value).withColumn("back", F.col("v")), _steps(levels), analysed, "back")
+    return _run(there, _steps(levels)[::-1], joined, "back").select("image_id", "v", "back")
 
 
 def slots_of(coefficients: DataFrame, value: str = "c") -> DataFrame:

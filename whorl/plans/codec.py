@@ -80,10 +80,9 @@ def _levels_sql() -> str:
 
 def w15_round_trip(spark, sf_dir):
     """Largest distance of each raster from itself after the transform and back."""
-    raster = _raster(spark, sf_dir)
-    back = wavelets.reconstruct(wavelets.decompose(raster)).withColumnRenamed("c", "back")
-    both = raster.join(back.hint("merge"), ["image_id", "x", "y"])
-    return both.groupBy("image_id").agg(F.count("*").alias("n"), F.round(F.max(F.abs(F.col("c") - F.col("back"))), 6).alias("worst"))
+    apart = F.zip_with("v", "back", lambda v, back: F.abs(v - back))
+    both = wavelets.round_trip(_raster(spark, sf_dir)).select("image_id", apart.alias("apart"))
+    return both.select("image_id", F.size(F.array_compact("apart")).cast("long").alias("n"), F.round(F.array_max("apart"), 6).alias("worst"))
 
 
 def _variances(spark, sf_dir: str) -> DataFrame:
